@@ -23,10 +23,10 @@ def date_dimension(orders: DataFrame) -> DataFrame:
         F.year(day).alias("year"))
 
 
-def seating_unit_version(seating: DataFrame, seating_units: DataFrame) -> DataFrame:
+def seating_unit_version(placed: DataFrame, seating_units: DataFrame) -> DataFrame:
     """Left as-of join: the seating-unit row in force on the service date."""
     unit = seating_units.select("seating_unit_key", "unit_name", "valid_from", "valid_to")
-    return seating.join(
+    return placed.join(
         unit, (F.col("unit_name") == F.col("seating_unit"))
         & in_force(F.col("service_date"), F.col("valid_from"), F.col("valid_to")),
         "left").drop("unit_name", "valid_from", "valid_to")
@@ -46,12 +46,12 @@ def order_measures(placed: DataFrame) -> DataFrame:
     })
 
 
-def order_facts(orders: DataFrame, seating: DataFrame, seating_units: DataFrame) -> DataFrame:
-    """One row per order with its placement, type and rates (orders and seating meet on the id)."""
-    placement = seating_unit_version(seating, seating_units).select(
-        "order_id", "section", "seating_fit", "seating_unit_key", "guests_implausible")
-    joined = orders.join(placement, "order_id")
-    return order_measures(joined).select(
+def order_facts(placed: DataFrame, seating_units: DataFrame) -> DataFrame:
+    """One row per order with its placement, type and rates.
+
+    Takes orders that already carry their placement, so nothing is shuffled here.
+    """
+    return order_measures(seating_unit_version(placed, seating_units)).select(
         "order_id", calendar.date_key(F.col("service_date")).alias("date_key"),
         "seating_unit_key", "table_code",
         F.coalesce("section", F.lit("No table")).alias("section"), "order_type", "seating_fit",

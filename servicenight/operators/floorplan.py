@@ -70,21 +70,20 @@ def with_best_options(orders: DataFrame, floor_combinations: DataFrame) -> DataF
             .drop("_option_code", "_options", "_current"))
 
 
-def place_orders(orders: DataFrame, floor_tables: DataFrame, floor_combinations: DataFrame) -> DataFrame:
-    """Placement per order: fit class, seating unit, its seats and the guest-count flag.
+def with_placement(orders: DataFrame, floor_tables: DataFrame, floor_combinations: DataFrame) -> DataFrame:
+    """Add section, fit class, seating unit, its seats and the guest-count flag to orders.
 
     A party larger than its table is taken to have used the smallest listed combination
     that seats it, then the whole room, then whatever is largest.
     """
-    base = orders.select("order_id", "service_date", "table_code", "guests")
     known = F.col("_code").isNotNull()
     fits_table = F.col("guests") <= F.col("seats_max")
     seated = known & (F.col("section") != "Bar")
-    rows = with_best_options(table_in_force(base, floor_tables), floor_combinations)
+    rows = with_best_options(table_in_force(orders, floor_tables), floor_combinations)
     chosen = lambda field, own: F.coalesce(
         F.col(f"_combo.{field}"), F.col(f"_room.{field}"), F.col(f"_largest.{field}"), own)
     return rows.select(
-        "order_id", "service_date", "table_code", "guests", "section",
+        *orders.columns, "section",
         F.when(F.col("table_code").isNull(), "no_table")
         .when(~known, "unknown_table")
         .when(F.col("section") == "Bar", "bar")
@@ -99,6 +98,12 @@ def place_orders(orders: DataFrame, floor_tables: DataFrame, floor_combinations:
         measures.guests_implausible(F.col("guests"), F.col("section")).alias("guests_implausible"))
 
 
+def place_orders(orders: DataFrame, floor_tables: DataFrame, floor_combinations: DataFrame) -> DataFrame:
+    """The placement table alone: one row per order."""
+    base = orders.select("order_id", "service_date", "table_code", "guests")
+    return with_placement(base, floor_tables, floor_combinations)
+
+
 def seating_unit_dimension(floor_tables: DataFrame, floor_combinations: DataFrame) -> DataFrame:
     """Tables, combinations and rooms per validity period, keyed in a fixed order."""
     single = floor_tables.select(
