@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from servicenight import rules
 from servicenight.functions import calendar
@@ -162,11 +162,17 @@ def event_price_verdict(blocks: DataFrame, by_weekday: bool) -> DataFrame:
 
 
 def arrival_conflicts(orders: DataFrame, held_table: str, held_max: int, party: tuple[int, int]) -> DataFrame:
-    """Larger parties that arrived while a table was held by a small one (semi join)."""
+    """Larger parties that arrived while a table was held by a small one (semi join).
+
+    Nobody arrives after the night's last slot, so a check left open for days is only
+    followed up to there.
+    """
+    last_arrival = (24 + rules.SERVICE_CUTOFF_HOURS) * 60 // rules.SLOT_MINUTES - 1
     stays = (orders.where((F.col("table_code") == held_table) & (F.col("guests") <= held_max)
                           & F.col("paid_at").isNotNull())
              .withColumns({"a": calendar.slot_of(F.col("opened_at"), F.col("service_date")),
-                           "b": calendar.slot_of(F.col("paid_at"), F.col("service_date"))})
+                           "b": F.least(calendar.slot_of(F.col("paid_at"), F.col("service_date")),
+                                        F.lit(last_arrival))})
              .where("a <= b"))
     held = stays.select("service_date", F.explode(F.sequence("a", "b")).alias("slot")).distinct()
     arrivals = orders.where(F.col("guests").between(*party)).withColumn(
