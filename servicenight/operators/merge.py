@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.functions import calendar, parse
+from servicenight.operators.joins import null_safe_join
 from servicenight.operators.ordering import HOT_GROUP_ROWS, with_position
 
 CONTENT = ["opened", "guests", "table_code", "discount_amount", "amount", "tax", "tip", "gratuity",
@@ -79,14 +80,13 @@ def supersession(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """
     content = content_columns(rows)
     ranks = rows.groupBy(*KEY).agg(F.min("pull_rank").alias("_first"), F.max("pull_rank").alias("_last"))
-    final = merged.select(*KEY, *[F.col(c).alias(f"m_{c}") for c in content]).join(ranks, KEY)
+    final = null_safe_join(merged.select(*KEY, *[F.col(c).alias(f"m_{c}") for c in content]),
+                           ranks, KEY, "inner")
     overwritten = F.lit(False)
     for c in content:
         overwritten = overwritten | (F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"m_{c}")))
     earlier = F.col("pull_rank") < F.col("_last")
-    same = [rows[k].eqNullSafe(final[k]) for k in KEY]
-    condition = same[0] & same[1] & same[2] & same[3]
-    joined = rows.join(final, condition).withColumn("_revised", earlier & overwritten)
+    joined = null_safe_join(rows, final, KEY, "inner").withColumn("_revised", earlier & overwritten)
     return joined.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("pull_rank") == F.col("_first")).alias("first_seen"),
@@ -145,12 +145,7 @@ def coverage(merged: DataFrame) -> DataFrame:
 
 def lost_identities(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """Identities of a pull that the merged frame lacks (must be empty)."""
-    keys = merged.select(*KEY)
-    condition = None
-    for k in KEY:
-        same = rows[k].eqNullSafe(keys[k])
-        condition = same if condition is None else condition & same
-    return rows.join(keys, condition, "left_anti").select("source_file", *KEY)
+    return null_safe_join(rows, merged.select(*KEY), KEY, "left_anti").select("source_file", *KEY)
 
 
 def revenue_drift(rows: DataFrame, merged: DataFrame) -> DataFrame:
