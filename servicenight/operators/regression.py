@@ -1,111 +1,127 @@
 """Least squares from distributed moments.
 
-Rows are reduced to sums of products in one pass, so the data never leaves Spark; the
-p-by-p system that remains (p is the number of design columns) is solved in a one-row task.
+Each task reduces its rows to sums of products; what is left to add up and solve is one
+p-by-p system (p is the number of design columns) per task, whatever the number of rows.
+
+A design is a constant followed by terms: the name of a numeric column, or a pair of a
+column and its levels, which becomes 0/1 columns for every level but the first.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 NORMAL_975 = 1.959963984540054
 
+Term = str | tuple[str, list]
 
-def _moments(design: DataFrame, names: list[str], y: str) -> DataFrame:
-    p = range(len(names))
-    # upper triangle only: the matrix is symmetric
-    products = F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i in p for j in p if i <= j])
-    return design.agg(
-        products.alias("xx"), F.array(*[F.sum(F.col(n) * F.col(y)) for n in names]).alias("xy"),
-        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y"))
 
+def design_names(terms: list[Term]) -> list[str]:
+    names = ["const"]
+    for term in terms:
+        names += [term] if isinstance(term, str) else [f"{term[0]}={level}" for level in term[1][1:]]
+    return names
 
-def _square(upper: np.ndarray, p: int) -> np.ndarray:
-    full = np.zeros((p, p))
-    full[np.triu_indices(p)] = upper
-    return full + np.triu(full, 1).T
 
+def _columns(terms: list[Term]) -> list[str]:
+    return [term if isinstance(term, str) else term[0] for term in terms]
+
+
+def _matrix(batch: pd.DataFrame, terms: list[Term]) -> np.ndarray:
+    columns = [np.ones(len(batch))]
+    for term in terms:
+        if isinstance(term, str):
+            columns.append(batch[term].to_numpy(dtype=float))
+        else:
+            value = batch[term[0]].to_numpy()
+            columns += [(value == level).astype(float) for level in term[1][1:]]
+    return np.column_stack(columns)
 
-def _solve_rows(p: int):
-    def solve(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                xx = _square(np.asarray(row.xx, dtype=float), p)
-                inverse = np.linalg.pinv(xx)
-                beta = np.linalg.lstsq(xx, np.asarray(row.xy, dtype=float), rcond=None)[0]
-                rows.append((beta.tolist(), inverse.ravel().tolist(), int(row.n), float(row.mean_y)))
-            yield pd.DataFrame(rows, columns=["beta", "inverse", "n", "mean_y"])
-    return solve
 
+def _total(batches, column: str) -> np.ndarray:
+    """Sum of an array column over every row of every batch."""
+    return sum(np.stack(b[column].to_numpy()).sum(axis=0) for b in batches if len(b))
 
-def solve(design: DataFrame, names: list[str], y: str) -> DataFrame:
+
+def complete_rows(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
+    return df.select(*_columns(terms), F.col(y).cast("double").alias(y)).dropna()
+
+
+def solve(rows: DataFrame, terms: list[Term], y: str) -> DataFrame:
     """One row: coefficients, inverse of X'X, row count and mean of y."""
-    moments = _moments(design, names, y).where(F.col("n") > 0)
-    return moments.mapInPandas(_solve_rows(len(names)),
-                               "beta array<double>, inverse array<double>, n bigint, mean_y double")
+    p = len(design_names(terms))
 
+    def partial(batches):
+        moments = np.zeros(p * p + p + 2)
+        for batch in batches:
+            x, target = _matrix(batch, terms), batch[y].to_numpy(dtype=float)
+            moments += np.concatenate([(x.T @ x).ravel(), x.T @ target, [len(x), target.sum()]])
+        yield pd.DataFrame({"moments": [moments.tolist()]})
 
-def fitted(names: list[str], beta: Column) -> Column:
-    total = F.lit(0.0)
-    for i, name in enumerate(names):
-        total = total + F.col(name) * beta[i]
-    return total
+    def finish(batches):
+        total = _total(list(batches), "moments")
+        xx, xy, n = total[:p * p].reshape(p, p), total[p * p:-2], total[-2]
+        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        yield pd.DataFrame({"beta": [beta.tolist()], "inverse": [np.linalg.pinv(xx).ravel().tolist()],
+                            "n": [int(n)], "mean_y": [total[-1] / n if n else 0.0]})
 
+    return (rows.mapInPandas(partial, "moments array<double>").repartition(1)
+            .mapInPandas(finish, "beta array<double>, inverse array<double>, n bigint, mean_y double"))
 
-def robust_fit(design: DataFrame, names: list[str], y: str) -> DataFrame:
+
+def robust_fit(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
     """Coefficients with heteroscedasticity-robust (HC1) standard errors, one row per column."""
-    rows = design.dropna(subset=[*names, y])
-    solution = solve(rows, names, y)
+    rows, names = complete_rows(df, terms, y), design_names(terms)
+    solution = solve(rows, terms, y)
     p = len(names)
-    residual = rows.withColumn("_beta", solution.select("beta").scalar()).withColumn(
-        "_e", F.col(y) - fitted(names, F.col("_beta")))
-    squared = F.col("_e") * F.col("_e")
-    meat = residual.agg(F.array(*[
-        F.sum(squared * F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(p) if i <= j
-    ]).alias("meat"))
-    both = solution.withColumn("meat", meat.scalar())
 
-    def sandwich(batches):
+    def partial(batches):
+        meat = np.zeros((p, p))
         for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                inverse = np.asarray(row.inverse, dtype=float).reshape(p, p)
-                covariance = inverse @ _square(np.asarray(row.meat, dtype=float), p) @ inverse
-                covariance *= row.n / (row.n - p)
-                for i, name in enumerate(names):
-                    b, se = float(row.beta[i]), float(np.sqrt(covariance[i, i]))
-                    out.append((name, int(row.n), b, se, b - NORMAL_975 * se, b + NORMAL_975 * se))
-            yield pd.DataFrame(out, columns=["term", "n", "coefficient", "std_error", "low", "high"])
-
-    return both.mapInPandas(
+            if len(batch):
+                x, target = _matrix(batch, terms), batch[y].to_numpy(dtype=float)
+                scores = x * (target - x @ np.asarray(batch["_beta"].iloc[0], dtype=float))[:, None]
+                meat += scores.T @ scores
+        yield pd.DataFrame({"meat": [meat.ravel().tolist()]})
+
+    def sandwich(batches):
+        batches = list(batches)
+        first = next(b.iloc[0] for b in batches if len(b))
+        beta, n = np.asarray(first["beta"], dtype=float), int(first["n"])
+        inverse = np.asarray(first["inverse"], dtype=float).reshape(p, p)
+        used = int((np.diag(inverse) != 0).sum())     # levels that never occur take no freedom
+        covariance = inverse @ _total(batches, "meat").reshape(p, p) @ inverse * n / (n - used)
+        error = np.sqrt(np.diag(covariance))
+        yield pd.DataFrame({"term": names, "n": n, "coefficient": beta, "std_error": error,
+                            "low": beta - NORMAL_975 * error, "high": beta + NORMAL_975 * error})
+
+    scored = rows.withColumn("_beta", solution.select("beta").scalar())
+    meats = scored.mapInPandas(partial, "meat array<double>").withColumn(
+        "_s", solution.select(F.struct("beta", "inverse", "n")).scalar())
+    return meats.select("meat", "_s.*").repartition(1).mapInPandas(
         sandwich, "term string, n bigint, coefficient double, std_error double, low double, high double")
 
 
-def r_squared(design: DataFrame, names: list[str], y: str) -> DataFrame:
+def r_squared(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
     """One row: R², row count and coefficients of an ordinary fit; rows with gaps are left out."""
-    rows = design.dropna(subset=[*names, y])
-    solution = solve(rows, names, y)
-    scored = rows.withColumns({"_beta": solution.select("beta").scalar(),
-                               "_mean": solution.select("mean_y").scalar()})
-    residual = F.col(y) - fitted(names, F.col("_beta"))
-    centred = F.col(y) - F.col("_mean")
-    return scored.agg(
-        (1 - F.sum(residual * residual) / F.sum(centred * centred)).alias("r2"),
-        F.count(F.lit(1)).alias("n"), F.first("_beta").alias("beta"))
-
-
-def dummies(df: DataFrame, column: str, values: list, prefix: str) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for every value but the first."""
-    names = [f"{prefix}{i}" for i in range(1, len(values))]
-    return df.withColumns({
-        n: (F.col(column) == v).cast("double") for n, v in zip(names, values[1:])}), names
+    rows = complete_rows(df, terms, y)
+    solution = solve(rows, terms, y)
 
+    def partial(batches):
+        squares = np.zeros(2)
+        for batch in batches:
+            if len(batch):
+                target, first = batch[y].to_numpy(dtype=float), batch["_s"].iloc[0]
+                fit = _matrix(batch, terms) @ np.asarray(first["beta"], dtype=float)
+                squares += [((target - fit) ** 2).sum(), ((target - first["mean_y"]) ** 2).sum()]
+        yield pd.DataFrame({"residual": [squares[0]], "centred": [squares[1]]})
 
-# Alphabetical order decides the reference level, as formula libraries do.
-WEEKDAYS = ["Friday", "Monday", "Saturday", "Sunday", "Thursday", "Tuesday", "Wednesday"]
+    scored = rows.withColumn("_s", solution.select(F.struct("beta", "mean_y")).scalar())
+    sums = scored.mapInPandas(partial, "residual double, centred double").agg(
+        (1 - F.sum("residual") / F.sum("centred")).alias("r2"))
+    return sums.withColumn("_s", solution.select(F.struct("n", "beta")).scalar()).select("r2", "_s.*")
 
 
 def log_trend(nights: DataFrame, column: str, season: str, weekdays: list[str]) -> DataFrame:
@@ -113,38 +129,31 @@ def log_trend(nights: DataFrame, column: str, season: str, weekdays: list[str])
 
     ``season`` is 'month' or 'temperature' (the day's high with its square).
     """
-    rows = nights.where(F.col(column) > 0).withColumns({
-        "_y": F.log(F.col(column).cast("double")), "const": F.lit(1.0),
-        "temp": F.col("temp_high_f"), "temp2": F.col("temp_high_f") * F.col("temp_high_f")})
-    rows, names = dummies(rows, "day_name", sorted(weekdays), "dow")
-    if season == "month":
-        rows, months = dummies(rows, "month_of_year", list(range(1, 13)), "month")
-        names += months
-    else:
-        names += ["temp", "temp2"]
-    fit = robust_fit(rows, ["const", *names, "years"], "_y")
+    rows = nights.where(F.col(column) > 0).select(
+        F.log(F.col(column).cast("double")).alias("_y"), "day_name", "month_of_year", "years",
+        "temp_high_f", (F.col("temp_high_f") * F.col("temp_high_f")).alias("temp_squared"))
+    seasonal: list[Term] = ([("month_of_year", list(range(1, 13)))] if season == "month"
+                            else ["temp_high_f", "temp_squared"])
+    fit = robust_fit(rows, [("day_name", sorted(weekdays)), *seasonal, "years"], "_y")
     pct = lambda c: (F.exp(c) - 1).alias(f"{c}_pct")
     return fit.where("term = 'years'").select(
         F.lit(column).alias("measure"), F.lit(season).alias("season"), "n",
         pct("coefficient"), pct("low"), pct("high"))
 
 
-TIME_TERMS = {"time": ["week"], "temperature": ["temp"], "both": ["week", "temp"]}
+TIME_TERMS = {"time": ["week"], "temperature": ["temp_high_f"], "both": ["week", "temp_high_f"]}
 
 
 def season_or_decline(nights: DataFrame, weekdays: list[str]) -> DataFrame:
     """R² of revenue on weekday plus time, temperature, or both, with the slope per week."""
     first = nights.agg(F.min("service_date")).scalar()
-    rows = nights.withColumns({
-        "week": F.datediff(F.col("service_date"), first) / F.lit(7.0), "temp": F.col("temp_high_f"),
-        "const": F.lit(1.0)})
-    rows, names = dummies(rows, "service_dow", sorted(weekdays), "dow")
+    rows = nights.withColumn("week", F.datediff(F.col("service_date"), first) / F.lit(7.0))
     out = None
-    for design, terms in TIME_TERMS.items():
-        columns = ["const", *names, *terms]
-        slope = (F.get("beta", F.lit(columns.index("week"))) if "week" in terms
+    for design, numeric in TIME_TERMS.items():
+        terms: list[Term] = [("service_dow", sorted(weekdays)), *numeric]
+        slope = (F.col("beta")[design_names(terms).index("week")] if "week" in numeric
                  else F.lit(None).cast("double"))
-        fit = r_squared(rows, columns, "revenue").select(
+        fit = r_squared(rows, terms, "revenue").select(
             F.lit(design).alias("design"), "n", "r2", slope.alias("per_week"))
         out = fit if out is None else out.unionByName(fit)
     return out

@@ -34,7 +34,8 @@ def plain(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            # the same arithmetic in SQL, so ties fall alike
+            c = F.floor(c.cast("double") * 1000000 + 0.5) / F.lit(1000000.0)
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(kind, T.TimestampNTZType):
