@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight import rules
 from servicenight.functions import calendar
 
 
+def _settled(total: Column) -> Column:
+    """A sum of doubles without the last digits that depend on the order of addition."""
+    return F.round(total, 6)
+
+
 def stay_slots(orders: DataFrame, minutes: int = rules.SLOT_MINUTES) -> DataFrame:
     """First and last slot of every plausible seated stay; the last slot is included."""
     seated = orders.where((F.col("order_type") == "Seated")
@@ -69,7 +74,7 @@ def utilization_by_slot(occupancy: DataFrame, sections: list[str], table_count:
         F.count(F.lit(1)).alias("table_nights"), F.sum("revenue").alias("revenue"))
     per_slot = per_table.groupBy("service_dow", "slot").agg(
         F.count("table_code").alias("tables_occupied"),
-        F.sum("table_nights").alias("table_nights"), F.sum("revenue").alias("revenue"))
+        F.sum("table_nights").alias("table_nights"), _settled(F.sum("revenue")).alias("revenue"))
     hundred = F.lit(100.0)
     floor = F.col("nights") * table_count
     clock = F.col("slot") * rules.SLOT_MINUTES
@@ -97,7 +102,7 @@ def unit_peak_share(occupancy: DataFrame, units: DataFrame, slots: tuple[int, in
 def hour_shape(occupancy: DataFrame, nights: DataFrame) -> DataFrame:
     """Revenue per night by weekday and clock hour, from slot-spread revenue."""
     hours = occupancy.groupBy("service_dow", F.floor(F.col("clock_minutes") / 60).cast("int").alias("hour")
-                              ).agg(F.sum("slot_revenue").alias("revenue"))
+                              ).agg(_settled(F.sum("slot_revenue")).alias("revenue"))
     return hours.join(nights, "service_dow").select(
         "service_dow", "hour", "revenue", (F.col("revenue") / F.col("nights")).alias("per_night"))
 

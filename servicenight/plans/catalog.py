@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from servicenight.plans import menu_mix, venue  # noqa: F401  (importing registers)
+from servicenight.plans import invariants, loading, menu_mix, service, upsert, venue  # noqa: F401  (importing registers)
 from servicenight.plans.registry import ORACLES, QUERIES, Query
 
 

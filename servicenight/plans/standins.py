@@ -141,7 +141,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_suppkey") % 6 != 0, F.concat(F.lit("Group "), (F.col("l_suppkey") % 6).cast("string"))
                ).alias("menu_group"),
         F.concat(F.lit("Menu "), F.col("l_linestatus")).alias("menu"),
-        pick(CATEGORIES, F.col("l_partkey") % 7).alias("sales_category"),
+        pick(CATEGORIES, F.col("l_partkey") % 50 % 7).alias("sales_category"),
         cents(F.col("_price")).alias("gross_price"), cents(F.col("_discount")).alias("discount"),
         cents(F.col("_net")).alias("net_price"),
         (F.col("_halves").cast("decimal(4,0)") * F.lit(Decimal("0.50"))).cast("decimal(6,2)").alias("qty"),
@@ -166,7 +166,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "Service": F.lit(""),
         "Item Selection Id": text(F.col("l_orderkey") * 10 + F.col("l_linenumber")),
         "Menu Item": F.col("_item"), "Menu Group": F.concat(F.lit("Group "), text(F.col("l_suppkey") % 6)),
-        "Menu": F.lit(""), "Sales Category": blank(pick(CATEGORIES, F.col("l_partkey") % 7)),
+        "Menu": F.lit(""), "Sales Category": blank(pick(CATEGORIES, F.col("l_partkey") % 50 % 7)),
         "Gross Price": text(cents(F.col("_price"))), "Discount": text(cents(F.col("_discount"))),
         "Net Price": text(cents(F.col("_net"))),
         "Qty": F.when(F.col("_halves") == 1, "0.5").when(F.col("_halves") == 4, "2.0").otherwise("1.0"),
