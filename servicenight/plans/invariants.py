@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from servicenight import rules
 from servicenight.operators import checks, floorplan, merge, occupancy, prices, staging
-from servicenight.plans import frames, standins as S
+from servicenight.plans import frames, standins as S, upsert  # noqa: F401  (defines the pull tables)
 from servicenight.plans.registry import query
 from servicenight.plans.sql_base import b, f, i, sql
 from servicenight.plans.service import _BLOCKS

@@ -14,7 +14,7 @@ _HEADER = ",".join(rules.LAYOUTS["C"])
 _MONEY = "printf('%d.%02d', {c} // 100, {c} % 100)"
 cte("x_lines", f"""
 SELECT order_id, order_id // {S.FILE_ROWS} AS n,
-  array_to_string(check_numbers, CASE WHEN order_id % 5 = 0 THEN ',' || chr(10) ELSE ', ' END) AS checks_text,
+  replace(array_to_string(check_numbers, ','), ',', CASE WHEN order_id % 5 = 0 THEN ',' || chr(10) ELSE ', ' END) AS checks_text,
   CASE WHEN order_id % 5 = 0 THEN checks - 1 ELSE 0 END AS breaks,
   strftime(opened_at, '%-m/%-d/%y %-I:%M %p') AS opened_text, coalesce(guests, 0)::VARCHAR AS guests_text,
   coalesce(table_code, '') AS table_text, order_number::VARCHAR AS number_text,

@@ -197,13 +197,15 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pull_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of three overlapping pulls; the second has no duration and later ones larger tips."""
+    """Rows of three pulls that share their boundary days; the second has no duration."""
     e, key = table(spark, sf_dir, "events"), F.col("event_id")
     rank = F.col("pull_rank")
     opened = (F.expr("ts - make_dt_interval(0, 0, minute(ts), extract(second from ts))")
               + F.expr(f"interval {VISIT_SHIFT_DAYS} days"))
     value = F.round(F.col("value") * 100).cast("bigint")
-    rows = e.withColumn("pull_rank", F.explode(F.sequence(F.lit(0), (key % 3).cast("int")))).withColumn(
+    covered = F.filter(F.array(*[F.lit(p) for p in range(3)]),
+                       lambda p: F.dayofmonth("ts").between(p * 10, p * 10 + 12))
+    rows = e.withColumn("pull_rank", F.explode(covered)).withColumn(
         "source_chunk", F.explode(F.sequence(F.lit(0), F.when(key % 40 == 0, 1).otherwise(0))))
     return rows.select(
         pick(PULL_FILES, rank).alias("source_file"), "pull_rank", "source_chunk",

@@ -23,7 +23,7 @@ SELECT {literal(S.PULL_FILES)}[pull_rank + 1] AS source_file, pull_rank, chunk A
   CASE WHEN event_id % 5 = 0 AND pull_rank > 0 THEN NULL ELSE pull_rank * 100 + event_id % 9 END AS tip_c,
   0 AS gratuity_c, date_trunc('hour', ts) + INTERVAL {S.VISIT_SHIFT_DAYS} DAY + to_days(CAST(pull_rank AS INTEGER)) AS closed,
   CASE WHEN pull_rank <> 1 THEN printf('1:%02d:00', event_id % 60) END AS duration_text
-FROM events e, LATERAL (SELECT unnest(range(0, e.event_id % 3 + 1)) AS pull_rank),
+FROM events e JOIN (VALUES (0), (1), (2)) AS p(pull_rank) ON day(ts) BETWEEN pull_rank * 10 AND pull_rank * 10 + 12,
   LATERAL (SELECT unnest(range(0, CASE WHEN e.event_id % 40 = 0 THEN 2 ELSE 1 END)) AS chunk)""")
 cte("u_pulls", f"""
 SELECT *, row_number() OVER (PARTITION BY source_file, opened, coalesce(table_code, ''), coalesce(guests, -1)
