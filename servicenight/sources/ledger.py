@@ -66,29 +66,31 @@ def load_files(files: DataFrame, root: str) -> DataFrame:
     """
     spark = files.sparkSession
     log = read_log(spark, root)
-    batch = assign_load_ids(unseen_files(files, log), log)
+    batch = materialize(assign_load_ids(unseen_files(files, log), log))
+    if batch.isEmpty():
+        return spark.createDataFrame([], LOG_SCHEMA)
     # Parsed once and stored: the checks, every layout and the log read the same records.
-    wanted = files.join(batch.select("source_file", "file_hash", "load_id"), ["source_file", "file_hash"])
-    parsed = exports.parse_files(wanted)
+    wanted = files.join(batch.drop("load_id"), ["source_file", "file_hash"], "left_semi")
+    records = materialize(exports.parse_files(wanted))
     layouts = exports.layout_table(spark)
-    records = materialize(parsed.join(batch.select("file_hash", "load_id"), "file_hash"))
     refused = exports.refused_files(records, layouts).limit(20).collect()
     if refused:
         raise RefusedExport("; ".join(f"{r.source_file}: {r.reason}" for r in refused))
 
-    typed = records.join(
-        exports.file_layouts(records, layouts).select("file_hash", "export_type"), "file_hash")
-    for export_type, table in rules.RAW_TABLES.items():
-        rows = typed.where((F.col("kind") == "row") & (F.col("export_type") == export_type))
+    known = exports.file_layouts(records, layouts).select("file_hash", "export_type")
+    loads = batch.join(known, "file_hash")
+    typed = records.where(F.col("kind") == "row").join(loads.drop("source_file"), "file_hash")
+    for export_type in [r.export_type for r in loads.select("export_type").distinct().collect()]:
+        rows = typed.where(F.col("export_type") == export_type)
         cells = [F.col("fields")[i].alias(n) for i, n in enumerate(rules.LAYOUTS[export_type])]
         (rows.select("source_file", "file_hash", "source_row_number", *cells, "load_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("load_id").parquet(f"{root}/raw/{table}"))
+         .partitionBy("load_id").parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}"))
 
-    added = typed.groupBy("load_id", "source_file", "file_hash", "export_type").agg(
-        F.count_if(F.col("kind") == "row").cast("int").alias("row_count"),
-    ).withColumn("loaded_at", F.current_timestamp())
-    added = materialize(added.coalesce(1))
+    sizes = records.groupBy("file_hash").agg(F.count_if(F.col("kind") == "row").cast("int").alias("row_count"))
+    added = materialize(loads.join(sizes, "file_hash").select(
+        "load_id", "source_file", "file_hash", "export_type", "row_count",
+        F.current_timestamp().alias("loaded_at")).coalesce(1))
     added.write.mode("append").parquet(f"{root}/raw/load_log")
     return added
 
