@@ -47,7 +47,7 @@ def is_fri_or_sat(day: Column) -> Column:
 
 
 def date_key(day: Column) -> Column:
-    return F.date_format(day, "yyyyMMdd").cast("int")
+    return F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
 
 
 def week_start(day: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.functions import calendar
 from servicenight.operators.ordering import number_rows
+from servicenight.session import materialize
 
 MIN_MONTH_SALES = 3
 
@@ -33,6 +34,11 @@ def price_counts(items: DataFrame) -> DataFrame:
           F.min("sent_at").alias("first_any"))
 
 
+def stored_price_counts(items: DataFrame) -> DataFrame:
+    """The summary every later step reads, stored so that the sales are scanned for it once."""
+    return materialize(price_counts(items))
+
+
 def established_prices(counts: DataFrame) -> DataFrame:
     """Months in which one price is more than half of at least three clean sales."""
     best = F.max_by(F.struct("price", "first_sale", "n"), F.struct("n", F.col("price").alias("p")))
@@ -83,16 +89,26 @@ def price_versions(counts: DataFrame) -> DataFrame:
             .where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
 
 
+def in_version(daily: DataFrame, versions: DataFrame) -> DataFrame:
+    """Item days with the start of the version they fall into.
+
+    Days and starts are put in one order per item; the last start seen is the day's version.
+    Both sides are summaries by day, so an item has at most a few rows for each day.
+    """
+    starts = versions.select("menu_item", F.col("valid_from").alias("sday"), F.col("valid_from").alias("_start"))
+    seen = Window.partitionBy("menu_item").orderBy("sday").rangeBetween(Window.unboundedPreceding, 0)
+    both = daily.unionByName(starts, allowMissingColumns=True)
+    return (both.withColumn("valid_from", F.max("_start").over(seen))
+            .where(F.col("_start").isNull()).drop("_start"))
+
+
 def describe_versions(versions: DataFrame, items: DataFrame) -> DataFrame:
     """Most frequent group, menu and category during each version; ties go to the smallest."""
     attributes = ["menu_group", "menu", "sales_category"]
     daily = items.groupBy("menu_item", calendar.service_date(F.col("sent_at")).alias("sday"),
                           *attributes).agg(F.count(F.lit(1)).alias("n"))
     key = ["menu_item", "valid_from"]
-    v = versions.select(F.col("menu_item").alias("_item"), "valid_from", "valid_to")
-    during = daily.join(v, (F.col("menu_item") == F.col("_item"))
-                        & (F.col("sday") >= F.col("valid_from"))
-                        & (F.col("valid_to").isNull() | (F.col("sday") < F.col("valid_to"))))
+    during = in_version(daily, versions)
     long = during.select(*key, "n", F.explode(F.array(*[
         F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])).alias("x"))
     counted = (long.where("x.value is not null").groupBy(*key, "x.attribute", "x.value")
@@ -108,8 +124,7 @@ def _most_frequent(attribute: str) -> Column:
 
 def menu_item_dimension(items: DataFrame) -> DataFrame:
     """The price-version dimension, keyed 1..n by item and start."""
-    counts = price_counts(items)
-    versions = price_versions(counts)
+    versions = materialize(price_versions(stored_price_counts(items)))
     described = versions.join(describe_versions(versions, items), ["menu_item", "valid_from"], "left")
     rows = described.select("menu_item", "menu_group", "menu", "sales_category", "list_price",
                             "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))

@@ -63,7 +63,7 @@ SELECT {i('count(*)', 'versions')}, {i('count(*) FILTER (WHERE valid_to IS DISTI
 FROM (SELECT *, lead(valid_from) OVER (PARTITION BY menu_item ORDER BY valid_from) AS following FROM p_versions)"""))
 def check_versions(spark, sf):
     """Price versions are contiguous."""
-    return checks.broken_versions(prices.price_versions(prices.price_counts(S.items(spark, sf))))
+    return checks.broken_versions(prices.price_versions(prices.stored_price_counts(S.items(spark, sf))))
 
 
 @query("check_sales_covered", sql(f"""

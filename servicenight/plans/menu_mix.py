@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from servicenight import rules
-from servicenight.functions import calendar
 from servicenight.operators import facts, menu, prices
 from servicenight.plans import frames, standins as S
 from servicenight.plans.registry import query
@@ -36,7 +35,7 @@ def price_changes(spark, sf):
 SELECT menu_item, {f('price_c / 100.0', 'list_price')}, {d('valid_from')}, {d('valid_to')} FROM p_versions"""))
 def price_versions(spark, sf):
     """Dated price versions per item."""
-    return prices.price_versions(prices.price_counts(S.items(spark, sf)))
+    return prices.price_versions(prices.stored_price_counts(S.items(spark, sf)))
 
 
 @query("menu_item_dimension", sql(f"""
@@ -54,10 +53,9 @@ FROM v_items i JOIN p_versions v ON v.menu_item = i.menu_item AND {FORCE.format(
 def price_in_force(spark, sf):
     """Each sale with the list price of its item that day."""
     items = S.items(spark, sf)
-    versions = prices.price_versions(prices.price_counts(items)).withColumn("menu_item_key", F.col("valid_from"))
-    return facts.price_in_force(items, versions).select(
-        "item_selection_id", "menu_item", calendar.service_date(F.col("sent_at")).alias("sday"),
-        "gross_price", "list_price", F.col("menu_item_key").alias("since"))
+    versions = prices.price_versions(prices.stored_price_counts(items)).withColumn("since", F.col("valid_from"))
+    return facts.price_in_force(items, versions, ("list_price", "since")).select(
+        "item_selection_id", "menu_item", "sday", "gross_price", "list_price", "since")
 
 
 @query("item_facts", sql(f"""
@@ -160,7 +158,7 @@ _STEP = f"""menu_item, {d('valid_from')}, {f('prev_c / 100.0', 'prev_price')}, {
 @query("price_steps", sql(f"SELECT {_STEP} FROM {_STEPS} WHERE prev_c IS NOT NULL AND price_c IS NOT NULL"))
 def price_steps(spark, sf):
     """Consecutive list prices of an item."""
-    return menu.price_steps(prices.price_versions(prices.price_counts(S.items(spark, sf))))
+    return menu.price_steps(prices.price_versions(prices.stored_price_counts(S.items(spark, sf))))
 
 
 @query("price_step_summary", sql(f"""
@@ -173,7 +171,7 @@ FROM {_STEPS} WHERE prev_c IS NOT NULL AND price_c IS NOT NULL"""))
 def price_step_summary(spark, sf):
     """How many prices went up, down, or moved exactly with the tax switch."""
     return menu.price_step_summary(menu.price_steps(
-        prices.price_versions(prices.price_counts(S.items(spark, sf)))))
+        prices.price_versions(prices.stored_price_counts(S.items(spark, sf)))))
 
 
 @query("big_seller_price_steps", sql(f"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.operators import staging
+from servicenight.session import spread
 
 ORDER_SHIFT_DAYS = 10958    # 30 years
 VISIT_SHIFT_DAYS = 762
@@ -29,7 +30,7 @@ FILE_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pick(values: list, index: Column) -> Column:

@@ -53,3 +53,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Store a frame reliably so that later plans read it instead of recomputing it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+PIECE_BYTES = 256 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to the idle cores when its files cannot be split that far.
+
+    A file of one row group is read by one task, and so is everything up to the next shuffle.
+    A scan with at least as many pieces as cores, which any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    pieces = min(cores, size // PIECE_BYTES)
+    return df.repartition(pieces) if pieces > 1 and df.rdd.getNumPartitions() < pieces else df
