@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from servicenight.functions import calendar, measures
 from servicenight.operators.floorplan import in_force
+from servicenight.operators.prices import price_in_force
 
 
 def date_dimension(orders: DataFrame) -> DataFrame:
@@ -61,32 +62,6 @@ def order_facts(placed: DataFrame, seating_units: DataFrame) -> DataFrame:
         "in_time_metrics", "vpcpm", "tpcpm")
 
 
-def version_months(menu_items: DataFrame, last: Column) -> DataFrame:
-    """Price versions once per calendar month they touch, up to the month of the last change.
-
-    Joining on item and month keeps the candidates of a sale to the versions of its month,
-    and parts the sales of a much-sold item by month.
-    """
-    end = F.coalesce(F.date_sub("valid_to", 1), last)
-    months = F.sequence(F.trunc("valid_from", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
-    return menu_items.withColumn("_month", F.explode(months))
-
-
-def price_in_force(items: DataFrame, menu_items: DataFrame, carry: tuple[str, ...] = ("menu_item_key", "list_price")
-                   ) -> DataFrame:
-    """Each sale with the price version of its item on the service day it was sent."""
-    last = menu_items.agg(F.max("valid_from")).scalar()
-    version = version_months(menu_items, last).select(
-        F.col("menu_item").alias("_item"), "_month", *carry, "valid_from", "valid_to")
-    # after the last change only open versions are left, and all of them reach its month
-    dated = items.withColumn("sday", calendar.service_date(F.col("sent_at"))).withColumn(
-        "_sold", F.trunc(F.least(F.col("sday"), last), "month"))
-    return dated.join(
-        version, (F.col("menu_item") == F.col("_item")) & (F.col("_sold") == F.col("_month"))
-        & in_force(F.col("sday"), F.col("valid_from"), F.col("valid_to"))
-    ).drop("_item", "_month", "_sold", "valid_from", "valid_to")
-
-
 def item_facts(items: DataFrame, orders: DataFrame, menu_items: DataFrame) -> DataFrame:
     """One row per item selection; a sale whose order is unknown is dated by its own sent day."""
     order = orders.select(F.col("order_id").alias("_order"), "opened_at", "service_date")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.functions import calendar
+from servicenight.operators.floorplan import in_force
 from servicenight.operators.ordering import number_rows
 from servicenight.session import materialize
 
@@ -89,26 +90,41 @@ def price_versions(counts: DataFrame) -> DataFrame:
             .where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
 
 
-def in_version(daily: DataFrame, versions: DataFrame) -> DataFrame:
-    """Item days with the start of the version they fall into.
+def version_months(menu_items: DataFrame, last: Column) -> DataFrame:
+    """Price versions once per calendar month they touch, up to the month of the last change.
 
-    Days and starts are put in one order per item; the last start seen is the day's version.
-    Both sides are summaries by day, so an item has at most a few rows for each day.
+    Joining on item and month keeps the candidates of a sale to the versions of its month,
+    and parts the sales of a much-sold item by month.
     """
-    starts = versions.select("menu_item", F.col("valid_from").alias("sday"), F.col("valid_from").alias("_start"))
-    seen = Window.partitionBy("menu_item").orderBy("sday").rangeBetween(Window.unboundedPreceding, 0)
-    both = daily.unionByName(starts, allowMissingColumns=True)
-    return (both.withColumn("valid_from", F.max("_start").over(seen))
-            .where(F.col("_start").isNull()).drop("_start"))
+    end = F.coalesce(F.date_sub("valid_to", 1), last)
+    months = F.sequence(F.trunc("valid_from", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))
+    return menu_items.withColumn("_month", F.explode(months))
+
+
+def price_in_force(items: DataFrame, menu_items: DataFrame, carry: tuple[str, ...] = ("menu_item_key", "list_price")
+                   ) -> DataFrame:
+    """Each sale with the price version of its item on the service day it was sent."""
+    last = menu_items.agg(F.max("valid_from")).scalar()
+    version = version_months(menu_items, last).select(
+        F.col("menu_item").alias("_item"), "_month", *carry, "valid_from", "valid_to")
+    # after the last change only open versions are left, and all of them reach its month
+    dated = items.withColumn("sday", calendar.service_date(F.col("sent_at"))).withColumn(
+        "_sold", F.trunc(F.least(F.col("sday"), last), "month"))
+    return dated.join(
+        version, (F.col("menu_item") == F.col("_item")) & (F.col("_sold") == F.col("_month"))
+        & in_force(F.col("sday"), F.col("valid_from"), F.col("valid_to"))
+    ).drop("_item", "_month", "_sold", "valid_from", "valid_to")
 
 
 def describe_versions(versions: DataFrame, items: DataFrame) -> DataFrame:
     """Most frequent group, menu and category during each version; ties go to the smallest."""
     attributes = ["menu_group", "menu", "sales_category"]
-    daily = items.groupBy("menu_item", calendar.service_date(F.col("sent_at")).alias("sday"),
-                          *attributes).agg(F.count(F.lit(1)).alias("n"))
     key = ["menu_item", "valid_from"]
-    during = in_version(daily, versions)
+    dated = versions.withColumn("_since", F.col("valid_from"))
+    # counts per version and combination of attributes leave each task before any shuffle
+    during = (price_in_force(items, dated, ("_since",))
+              .groupBy("menu_item", F.col("_since").alias("valid_from"), *attributes)
+              .agg(F.count(F.lit(1)).alias("n")))
     long = during.select(*key, "n", F.explode(F.array(*[
         F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])).alias("x"))
     counted = (long.where("x.value is not null").groupBy(*key, "x.attribute", "x.value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from servicenight import rules
-from servicenight.operators import facts, menu, prices
+from servicenight.operators import menu, prices
 from servicenight.plans import frames, standins as S
 from servicenight.plans.registry import query
 from servicenight.plans.sql_base import FORCE, b, d, f, i, quoted, sql, t
@@ -54,7 +54,7 @@ def price_in_force(spark, sf):
     """Each sale with the list price of its item that day."""
     items = S.items(spark, sf)
     versions = prices.price_versions(prices.stored_price_counts(items)).withColumn("since", F.col("valid_from"))
-    return facts.price_in_force(items, versions, ("list_price", "since")).select(
+    return prices.price_in_force(items, versions, ("list_price", "since")).select(
         "item_selection_id", "menu_item", "sday", "gross_price", "list_price", "since")
 
 
