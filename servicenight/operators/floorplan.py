@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from servicenight import rules
 from servicenight.functions import measures
+from servicenight.session import small_table
 
 
 def tables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.FLOOR_PLAN_TABLES,
+    return small_table(
+        spark, rules.FLOOR_PLAN_TABLES,
         "table_code string, section string, seats_min int, seats_max int, valid_from date, valid_to date")
 
 
 def combinations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rules.FLOOR_PLAN_COMBINATIONS,
+    return small_table(
+        spark, rules.FLOOR_PLAN_COMBINATIONS,
         "combination string, section string, table_codes array<string>, seats int, "
         "is_whole_room boolean, valid_from date, valid_to date")
 
@@ -126,11 +127,12 @@ def seating_unit_dimension(floor_tables: DataFrame, floor_combinations: DataFram
 
 def unit_dimension(spark: SparkSession) -> DataFrame:
     """One row per code of a current unit: unit, seats, solo range and section."""
-    units = [(code, unit, seats, len(codes))
+    solo = {code: (least, most) for code, least, most in rules.SOLO_CAPACITY}
+    units = [(code, unit, seats, len(codes), *solo.get(code, (None, None)))
              for unit, codes, seats in rules.SEATING_UNITS for code in codes]
-    frame = spark.createDataFrame(units, "code string, seating_unit string, unit_capacity int, unit_codes int")
-    solo = spark.createDataFrame(rules.SOLO_CAPACITY, "code string, capacity_min int, capacity_max int")
-    return frame.join(solo, "code", "full").withColumn("unit_section", measures.section_of(F.col("code")))
+    frame = small_table(spark, units, "code string, seating_unit string, unit_capacity int, unit_codes int, "
+                        "capacity_min int, capacity_max int")
+    return frame.withColumn("unit_section", measures.section_of(F.col("code")))
 
 
 def with_units(orders: DataFrame, units: DataFrame) -> DataFrame:

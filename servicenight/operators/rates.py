@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from servicenight import rules
 from servicenight.functions import calendar, measures
 from servicenight.operators.turns import with_room_fullness
+from servicenight.session import materialize
 
 THIN_SAMPLE = 10
 
@@ -83,10 +84,20 @@ def shrunk_means(stats: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def shrinkage_summary(rated: DataFrame) -> DataFrame:
-    """Both spend rates by section and party size, raw and shrunk, each with its own weight."""
+    """Both spend rates by section and party size, raw and shrunk, each with its own weight.
+
+    The orders are read once, for the group statistics of both rates; these few rows are
+    stored and every later step reads them.
+    """
+    sums = []
+    for tag in ("vpcpm", "tpcpm"):
+        v = F.col(f"log_{tag}")
+        sums += [F.count(v).alias(f"n_{tag}"), F.sum(v).alias(f"s_{tag}"), F.sum(v * v).alias(f"q_{tag}")]
+    stored = materialize(rated.groupBy("section", "guests").agg(*sums))
     parts = []
-    for value, tag in (("log_vpcpm", "vpcpm"), ("log_tpcpm", "tpcpm")):
-        stats = group_statistics(rated, value)
+    for tag in ("vpcpm", "tpcpm"):
+        stats = stored.where(F.col(f"n_{tag}") > 0).select(
+            "section", "guests", *[F.col(f"{x}_{tag}").alias(x) for x in "nsq"])
         shrunk = shrunk_means(stats, best_weights(loocv_errors(stats)))
         parts.append(shrunk.select(
             "section", "guests", F.col("orders").alias(f"_{tag}_n"), F.col("k").alias(f"{tag}_k"),

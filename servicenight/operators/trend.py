@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight import rules
+from servicenight.session import small_table
 
 
 def regular_nights(nightly: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def with_holidays(nights: DataFrame, holidays: DataFrame) -> DataFrame:
 
 
 def holidays_frame(spark) -> DataFrame:
-    return spark.createDataFrame(rules.HOLIDAYS, "service_date date, holiday string")
+    return small_table(spark, rules.HOLIDAYS, "service_date date, holiday string")
 
 
 def weather_correlation(nights: DataFrame) -> DataFrame:

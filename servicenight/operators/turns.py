@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from servicenight.functions import calendar, measures
 from servicenight.operators.ordering import HOT_GROUP_ROWS, with_position
+from servicenight.session import materialize
 
 
 def add_turn_gaps(orders: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
@@ -91,6 +92,7 @@ def faster_turning_value(gaps: DataFrame, seated: DataFrame, annualize: float =
     1: every minute above 15 sells; 2: above the reset reached when the room is over
     three quarters full; 3: as 2, but only gaps that began while it was that full.
     """
+    gaps = materialize(gaps.select("turn_gap", "room_pct", "paid_at"))     # read twice below
     busy_reset = gaps.where(F.col("room_pct") > 75).agg(F.median("turn_gap")).scalar()
     rate = seated.agg(F.sum("amount").cast("double") / (F.sum("duration_seconds") / F.lit(900.0))).scalar()
     peak = gaps.where(F.hour("paid_at").between(17, 22)).withColumn("_reset", busy_reset)

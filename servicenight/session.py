@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Wall-clock data stays TIMESTAMP_NTZ; UTC only matters for load times.
 # ANSI mode makes a malformed cell an error instead of a silent NULL.
@@ -30,6 +32,17 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A hand-kept table as a local relation.
+
+    The planner knows its size, so a join with it is a broadcast join by estimate and the
+    other side stays where it is; rows handed over as an RDD would have no known size.
+    """
+    struct = T.StructType.fromDDL(schema)
+    records = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(struct)), schema=struct)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.functions import measures, parse
+from servicenight.session import small_table
 
 RECORD_SCHEMA = ("source_file string, file_hash string, kind string, source_row_number int, "
                  "chunk int, fields array<string>, error string")
@@ -102,7 +103,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def layout_table(spark: SparkSession) -> DataFrame:
     rows = [(header, kind, rules.RAW_TABLES[kind]) for kind, header in rules.LAYOUTS.items()]
-    return spark.createDataFrame(rows, "fields array<string>, export_type string, raw_table string")
+    return small_table(spark, rows, "fields array<string>, export_type string, raw_table string")
 
 
 def file_layouts(records: DataFrame, layouts: DataFrame) -> DataFrame:
