@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from servicenight.llm import textvec
 
@@ -172,7 +172,7 @@ def encode_documents(documents: DataFrame, keep: list[str], path: str, digest: b
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids"]
     keep = [c for c in keep if c not in added]
     schema = documents.select(*keep).schema.add("n_tokens", "long")
-    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add("ids", "array<int>")
+    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)

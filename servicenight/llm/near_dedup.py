@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from servicenight.llm import textvec
 from servicenight.llm.common import stored, text_key
@@ -77,7 +77,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 ["doc_id", "text_key", "n_shingles", "set_id", "signature"])
 
     chosen = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    schema = chosen.select("doc_id", "text_key").schema.add("n_shingles", "long").add("set_id", "binary").add("signature", "array<int>")
+    schema = chosen.select("doc_id", "text_key").schema.add("n_shingles", "long").add("set_id", "binary").add("signature", T.ArrayType(T.IntegerType()))
     return chosen.mapInArrow(work, schema)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from servicenight.llm import textvec
 from servicenight.llm.common import stored, text_key
@@ -89,7 +89,7 @@ def distinct_texts(documents: DataFrame, length: int, gram: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate([*values, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), lists], [*columns, "anchors"])
 
-    schema = named.select(*columns).schema.add("anchors", "array<long>")
+    schema = named.select(*columns).schema.add("anchors", T.ArrayType(T.LongType()))
     return named.mapInArrow(work, schema).groupBy("text_key", "second_key", "n_bytes").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
 
