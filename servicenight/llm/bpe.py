@@ -17,11 +17,13 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from servicenight.llm import textvec
+from servicenight.llm.common import fresh
 
 #: Words a task remembers before it starts over, and new words that one index takes in.
 KNOWN_WORDS = 400_000
@@ -163,61 +165,58 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(documents: DataFrame, keep: list[str], path: str, digest: bool = False) -> DataFrame:
-    """Add ``ids`` (array of int) and ``n_tokens``, or with ``digest`` n_tokens, ids_sha256 and decoded_sha256.
+def encode_documents(documents: DataFrame, keep: list[str], path: str, outputs: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
+    """Add the outputs: ``n_tokens``, ``ids`` (array of int), ``ids_sha256`` or ``decoded_sha256``.
 
     ``path`` must be readable on every executor. Null and empty texts have no ids; the decoded
     text of no ids is empty. Columns of the same names are replaced.
     """
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids"]
-    keep = [c for c in keep if c not in added]
-    schema = documents.select(*keep).schema.add("n_tokens", "long")
-    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add("ids", T.ArrayType(T.IntegerType()))
+    keep, (read,) = [c for c in keep if c not in outputs], fresh(documents, "text_read")
+    kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    schema = documents.select(*keep).schema
+    for name in outputs:
+        schema = schema.add(name, kinds[name])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            _, offsets = textvec.column_bytes(batch.column("_text"))
+            _, offsets = textvec.column_bytes(batch.column(read))
             for first, last in textvec.steps(offsets, 8 << 20):
                 part = batch.slice(first, last - first)
-                ids, digests, decoded = [], [], []
-                for coded, text in bpe.encode([t or "" for t in part.column("_text").to_pylist()]):
-                    ids.append(coded)
-                    if digest:
-                        digests.append(hashlib.sha256(coded).hexdigest())
-                        decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if digest:
-                    columns = [counts, textvec.strings(digests), textvec.strings(decoded)]
-                else:
-                    places = pa.array([0, *_running(len(x) // 4 for x in ids)], pa.int32())
-                    flat = pa.Array.from_buffers(pa.int32(), sum(len(x) for x in ids) // 4, [None, pa.py_buffer(b"".join(ids))])
-                    columns = [counts, pa.ListArray.from_arrays(places, flat)]
+                made: dict[str, list] = {name: [] for name in outputs}
+                for coded, text in bpe.encode([t or "" for t in part.column(read).to_pylist()]):
+                    for name in outputs:
+                        made[name].append(_output(name, coded, text))
+                columns = [id_lists(made[c]) if c == "ids" else pa.array(made[c], pa.int64() if c == "n_tokens" else pa.string()) for c in outputs]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], schema.names)
 
-    return documents.select(*keep, documents["text"].alias("_text")).mapInArrow(work, schema)
+    return documents.select(*keep, F.col("text").alias(read)).mapInArrow(work, schema)
 
 
-def _running(counts: Iterator[int]) -> Iterator[int]:
-    total = 0
-    for n in counts:
-        total += n
-        yield total
+def _output(name: str, coded: bytes, text: str) -> int | bytes | str:
+    if name == "n_tokens":
+        return len(coded) // 4
+    return coded if name == "ids" else hashlib.sha256(coded if name == "ids_sha256" else text.encode()).hexdigest()
+
+
+def id_lists(coded: list[bytes]) -> pa.Array:
+    places = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
 
 def decode_documents(encoded: DataFrame, keep: list[str], path: str) -> DataFrame:
     """Add ``decoded``, the text of each row's ``ids``; null ids decode to the empty text."""
-    keep = [c for c in keep if c != "decoded"]
+    keep, (read,) = [c for c in keep if c != "decoded"], fresh(encoded, "ids_read")
     schema = encoded.select(*keep).schema.add("decoded", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            texts = [bpe.decode(array("I", ids or []).tobytes()) for ids in batch.column("_ids").to_pylist()]
+            texts = [bpe.decode(array("I", ids or []).tobytes()) for ids in batch.column(read).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), textvec.strings(texts)], schema.names)
 
-    return encoded.select(*keep, encoded["ids"].alias("_ids")).mapInArrow(work, schema)
+    return encoded.select(*keep, F.col("ids").alias(read)).mapInArrow(work, schema)
 
 
 def encoding_report(documents: DataFrame, path: str | None = None) -> DataFrame:
-    return encode_documents(documents.select("doc_id", "text"), ["doc_id"], path or vocabulary_path(), digest=True)
+    return encode_documents(documents.select("doc_id", "text"), ["doc_id"], path or vocabulary_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))

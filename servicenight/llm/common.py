@@ -32,6 +32,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the frame does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def same_row(doc_id: str, key: str) -> Column:
+    """Joins rows of the documents with rows keyed by doc_id (null equals null) and text key."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (text_key(F.col("text")) == F.col(key))
+
+
+def without(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that are not among ``rows`` (doc_id, text_key)."""
+    doc_id, key = fresh(documents, "gone_id", "gone_key")
+    gone = rows.select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key)).distinct()
+    return documents.join(gone, same_row(doc_id, key), "left_anti")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet under the shared checkpoint folder and read it back.
 

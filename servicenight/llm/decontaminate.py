@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from servicenight.llm.common import phrase_words, stored, text_key
+from servicenight.llm.common import phrase_words, stored, text_key, without
 
 WINDOW = 10
 #: Test vocabularies up to this many words are broadcast (a few MB); larger ones are joined by shuffle.
@@ -146,6 +146,4 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns."""
-    bad = contamination(documents, benchmark).where(F.col("n_hit") > 0).select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (text_key(F.col("text")) == F.col("_text_key")), "left_anti")
+    return without(documents, contamination(documents.select("doc_id", "text"), benchmark).where(F.col("n_hit") > 0))

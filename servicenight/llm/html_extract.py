@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from servicenight.llm import textvec
+from servicenight.llm.common import fresh
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -223,14 +224,15 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     Null and empty html give an empty text. Pages without a host are a host of their own name ''.
     """
     keep = [c for c in keep if c not in ("text", "n_chars")]
-    winners = winning_paths(votes(pages)).withColumnRenamed("host", "_host")
-    rows = pages.select(*keep, F.col("html").alias("_html"), host_of().alias("_page_host"))
-    rows = rows.join(winners, F.col("_page_host") == F.col("_host"), "left").select(*keep, "_html", "winner")
+    winners = winning_paths(votes(pages.select("url", "html")))
+    source, host, path = fresh(pages, "html_read", "page_host", "winner")
+    rows = pages.select(*keep, F.col("html").alias(source), host_of().alias(host))
+    rows = rows.join(winners.select(F.col("host").alias(f"{host}_"), F.col("winner").alias(path)), F.col(host) == F.col(f"{host}_"), "left").select(*keep, source, path)
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(s.as_py() or "").main_text(w.as_py()) for s, w in zip(batch.column("_html"), batch.column("winner"))]
+            texts = [Page(s.as_py() or "").main_text(w.as_py()) for s, w in zip(batch.column(source), batch.column(path))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), textvec.strings(texts), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
     return rows.mapInArrow(work, schema)

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.llm import textvec
+from servicenight.llm.common import fresh
 
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
@@ -168,7 +169,7 @@ def training_rows(documents: DataFrame) -> DataFrame:
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
         & (F.length("text") <= TRAIN_CHARS))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return usable.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= TRAIN_ROWS).select("text", "lang")
+    return usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_ROWS).select("text", "lang")
 
 
 def fit(documents: DataFrame) -> Model | None:
@@ -181,17 +182,18 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str] | None =
     Null, empty and letterless texts are ``und`` with score 0 and rejected. Columns of the same
     names that the table already has are replaced. Prediction reads the text alone.
     """
+    (text,) = fresh(documents, "text_read")
     sent = documents.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in (keep if keep is not None else documents.columns) if c not in ("lang_pred", "score", "rejected")]
     schema = documents.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, rejected = predictions(sent.value, batch.column("_text"))
+            names, scores, rejected = predictions(sent.value, batch.column(text))
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, textvec.strings(names), pa.array(scores), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
 
-    return documents.select(*columns, F.col("text").alias("_text")).mapInArrow(work, schema)
+    return documents.select(*columns, F.col("text").alias(text)).mapInArrow(work, schema)
 
 
 def language_of(documents: DataFrame) -> DataFrame:

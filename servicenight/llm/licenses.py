@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from servicenight.llm.common import phrase_words, stored
+from servicenight.llm.common import fresh, phrase_words, stored
 
 #: The phrases whose every place is counted, and their labels.
 BASE_PHRASES = [
@@ -52,9 +52,10 @@ def template_table() -> list[dict]:
 def build_index(documents: DataFrame, templates: list[dict], keep: list[str]) -> DataFrame:
     """Stored rows (keep..., n_words, postings): the licence words of each file, by position."""
     vocabulary = sorted({w for t in templates for w in t["words"]})
-    words = documents.select(*keep, phrase_words(F.col("text")).alias("_words"))
-    postings = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda p: p["word"].isin(vocabulary))
-    return stored(words.select(*keep, F.size("_words").cast("bigint").alias("n_words"), postings.alias("postings")))
+    (read,) = fresh(documents, "words_read")
+    words = documents.select(*keep, phrase_words(F.col("text")).alias(read))
+    postings = F.filter(F.transform(read, lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda p: p["word"].isin(vocabulary))
+    return stored(words.select(*keep, F.size(read).cast("bigint").alias("n_words"), postings.alias("postings")))
 
 
 def document_frequencies(index: DataFrame) -> dict[str, int]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from servicenight.llm import textvec
-from servicenight.llm.common import ascii_lower, text_key
+from servicenight.llm.common import ascii_lower, fresh, same_row, text_key
 from servicenight.session import materialize
 
 MIN_CHARS = 20
@@ -165,24 +165,24 @@ def kept_text(text: str | None, keep: bytes | None) -> str:
 
 
 def with_bitmaps(documents: DataFrame, **limits: int) -> DataFrame:
-    """Every document beside its bitmap (``_keep``, null if nothing goes) and ``_n_dropped``."""
-    bitmaps = keep_bitmaps(documents, **limits).select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped"))
-    match = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (text_key(F.col("text")) == F.col("_text_key"))
-    return documents.join(bitmaps, match, "left").drop("_doc_id", "_text_key")
+    """Every document with its bitmap (null if nothing goes) and dropped lines in two columns more, the last ones."""
+    doc_id, key, keep, n_dropped = fresh(documents, "line_doc_id", "line_text_key", "keep", "n_dropped")
+    bitmaps = keep_bitmaps(documents.select("doc_id", "text"), **limits).select(
+        F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), F.col("keep").alias(keep), F.col("n_dropped").alias(n_dropped))
+    return documents.join(bitmaps, same_row(doc_id, key), "left").drop(doc_id, key)
 
 
 def line_report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every document; an empty remainder hashes the empty text."""
     marked = with_bitmaps(documents.select("doc_id", "text")).select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "_keep",
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "keep",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"),
-        F.coalesce("_n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"))
+        F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [hashlib.sha256(kept_text(t.as_py(), k.as_py()).encode()).hexdigest()
-                       for t, k in zip(batch.column("text"), batch.column("_keep"))]
+                       for t, k in zip(batch.column("text"), batch.column("keep"))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_lines", "n_dropped")] + [textvec.strings(digests)],
                                              ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
@@ -195,15 +195,15 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     A document that loses every line keeps its row with an empty text; a null text stays null.
     """
     marked = with_bitmaps(documents)
-    schema = documents.schema
-    names = schema.names
+    schema, names = documents.schema, documents.columns
+    keep, n_dropped = marked.columns[-2:]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t.as_py() is None else kept_text(t.as_py(), k.as_py())
-                     for t, k in zip(batch.column("text"), batch.column("_keep"))]
+                     for t, k in zip(batch.column("text"), batch.column(keep))]
             columns = [textvec.strings(texts) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = marked.drop("_n_dropped").mapInArrow(work, schema)
+    out = marked.drop(n_dropped).mapInArrow(work, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

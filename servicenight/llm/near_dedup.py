@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from servicenight.llm import textvec
-from servicenight.llm.common import stored, text_key
+from servicenight.llm.common import stored, text_key, without
 from servicenight.llm.components import components
 
 SHINGLE = 5
@@ -191,6 +191,5 @@ def keep_one_each(documents: DataFrame) -> DataFrame:
 
     Rows without words all stay, and so do rows that repeat the smallest doc_id.
     """
-    gone = near_duplicates(documents).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (text_key(F.col("text")) == F.col("_text_key")), "left_anti")
+    found = near_duplicates(documents.select("doc_id", "text"))
+    return without(documents, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.llm import textvec
+from servicenight.llm.common import fresh, stored
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -28,9 +29,13 @@ LEAST_SPREAD = {"word_length": 0.5, "symbol_share": 0.05, "line_share": 0.08}
 #: Groups under this many documents take the fences of all documents.
 MIN_GROUP = 30
 
+#: Counts travel under names with this prefix, out of the way of the table's own columns.
+COUNT = "quality__"
+
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = [*MEASURES, "base_failed", "kept", "failed_rule"]
 
 
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,17 +87,18 @@ def with_measures(documents: DataFrame, keep: list[str]) -> DataFrame:
     """The named columns and the counts of each whole text; null texts count as empty."""
     names = [*MEASURES, "n_full_lines"]
     schema = documents.select(*keep).schema
+    (read,) = fresh(documents, "text_read")
     for name in names:
-        schema = schema.add(f"_{name}", "long")
+        schema = schema.add(f"{COUNT}{name}", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textvec.column_bytes(batch.column("_text"))
+            data, offsets = textvec.column_bytes(batch.column(read))
             parts = [measures(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]) for i, j in textvec.steps(offsets)]
             columns = [pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64()) for n in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], schema.names)
 
-    return documents.select(*keep, F.col("text").alias("_text")).mapInArrow(work, schema)
+    return documents.select(*keep, F.col("text").alias(read)).mapInArrow(work, schema)
 
 
 def bin_of(value: Column) -> Column:
@@ -106,7 +112,7 @@ def bin_middle(number: Column) -> Column:
 def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Merged histograms: (groups, measure, bin, n). Sketches of parts of a table add up to the whole's."""
     long = rows.select(*groups, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in LEAST_SPREAD])).alias("m"))
+        F.struct(F.lit(m).alias("measure"), bin_of(F.col(f"{COUNT}{m}")).alias("bin")) for m in LEAST_SPREAD])).alias("m"))
     return long.groupBy(*groups, "m.measure", "m.bin").agg(F.count("*").alias("n"))
 
 
@@ -127,41 +133,62 @@ def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
         F.max("total").alias("group_size"))
 
 
-def judged(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Add the counts, ``base_failed``, ``kept`` and ``failed_rule`` to the columns in ``keep`` (all by default).
+def counted(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """The named columns, the counts of each whole text, language and source, and what the rules compare."""
+    lang, source = (f"{COUNT}lang", f"{COUNT}source")
+    named = documents.withColumns({lang: F.col("lang").cast("string"), source: F.col("source").cast("string")})
+    rows = with_measures(named, [*keep, lang, source])
+    n, lines = F.col(f"{COUNT}n_words"), F.col(f"{COUNT}n_full_lines")
+    share = lambda part, of: F.when(of > 0, F.col(f"{COUNT}{part}") / of).otherwise(0.0)
+    return rows.withColumns({
+        f"{COUNT}base_failed": (n < MIN_WORDS) | (100 * F.col(f"{COUNT}n_repeat_words") > REPEAT_PERCENT * n),
+        f"{COUNT}word_length": share("word_chars", n), f"{COUNT}symbol_share": share("n_symbols", n), f"{COUNT}line_share": share("n_dup_lines", lines)})
+
+
+def judged(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The named columns of counted rows with the counts, ``base_failed``, ``kept`` and ``failed_rule``.
 
     Language and source may be null; null is a group of its own. Documents that fail the base
-    rules do not enter the sketches. Columns of the same names are replaced.
+    rules do not enter the sketches. Groups too small for fences of their own take those of all.
     """
-    added = [*MEASURES, "base_failed", "kept", "failed_rule"]
-    columns = [c for c in (keep if keep is not None else documents.columns) if c not in added]
-    source = documents.withColumns({"_lang": F.col("lang").cast("string"), "_source": F.col("source").cast("string")})
-    counted = with_measures(source, [*columns, "_lang", "_source"])
-    n = F.col("_n_words")
-    counted = counted.withColumns({
-        "base_failed": (n < MIN_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * n),
-        "word_length": F.when(n > 0, F.col("_word_chars") / n).otherwise(0.0),
-        "symbol_share": F.when(n > 0, F.col("_n_symbols") / n).otherwise(0.0),
-        "line_share": F.when(F.col("_n_full_lines") > 0, F.col("_n_dup_lines") / F.col("_n_full_lines")).otherwise(0.0)})
-    sketch = sketches(counted.where(~F.col("base_failed")), ["_lang", "_source"])
+    groups = [f"{COUNT}lang", f"{COUNT}source"]
+    sketch = sketches(rows.where(~F.col(f"{COUNT}base_failed")), groups)
     whole = sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    own = fences(sketch, ["_lang", "_source"]).where(F.col("group_size") >= MIN_GROUP)
-    own = own.select(F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), *[F.col(f"{m}_{s}").alias(f"g_{m}_{s}") for m in LEAST_SPREAD for s in ("low", "high")])
-    common = fences(whole, []).select(*[F.col(f"{m}_{s}").alias(f"a_{m}_{s}") for m in LEAST_SPREAD for s in ("low", "high")])
-    # one row for each language and source seen: as small as those two lists
-    marked = counted.join(own, F.col("_lang").eqNullSafe(F.col("g_lang")) & F.col("_source").eqNullSafe(F.col("g_source")), "left")
-    marked = marked.join(F.broadcast(common), F.lit(True), "left")  # a single row
+    edges = [f"{m}_{side}" for m in LEAST_SPREAD for side in ("low", "high")]
+    own = fences(sketch, groups).where(F.col("group_size") >= MIN_GROUP)
+    own = own.select(*[F.col(g).alias(f"{g}_group") for g in groups], *[F.col(e).alias(f"{COUNT}{e}") for e in edges])
+    common = (fences(whole, []).select(*edges).first() or {e: None for e in edges})  # one row for the whole table
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_group")) for g in groups]
+    marked = rows.join(own, same[0] & same[1], "left")
+    n = F.col(f"{COUNT}n_words")
     rule = F.lit(None).cast("string")
     for m in LEAST_SPREAD:
-        low, high = (F.coalesce(f"g_{m}_{s}", f"a_{m}_{s}") for s in ("low", "high"))
+        low, high = (F.coalesce(f"{COUNT}{m}_{side}", F.lit(common[f"{m}_{side}"]).cast("double")) for side in ("low", "high"))
         # few words swing wide: the fence opens with the inverse root of their number
         room = F.lit(LEAST_SPREAD[m] * FENCE) * F.sqrt(F.lit(float(MIN_WORDS)) / F.greatest(n, F.lit(1)))
-        rule = F.coalesce(rule, F.when((F.col(m) > high + room) | (F.col(m) < low - room), F.lit(m)))
-    rule = F.when(F.col("base_failed"), F.lit("base")).otherwise(rule)
-    return marked.withColumn("failed_rule", rule).select(
-        *columns, *[F.col(f"_{m}").alias(m) for m in MEASURES], "base_failed",
-        F.col("failed_rule").isNull().alias("kept"), "failed_rule")
+        value = F.col(f"{COUNT}{m}")
+        rule = F.coalesce(rule, F.when((value > high + room) | (value < low - room), F.lit(m)))
+    rule = F.when(F.col(f"{COUNT}base_failed"), F.lit("base")).otherwise(rule)
+    keep = [c for c in keep if c not in ADDED]
+    return marked.select(*keep, *[F.col(f"{COUNT}{c}").alias(c) for c in (*MEASURES, "base_failed")], rule.isNull().alias("kept"), rule.alias("failed_rule"))
+
+
+def judge(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Count, sketch and judge a table of documents; ``keep`` names the columns that stay (all by default).
+
+    Columns named like the ones added are replaced. The counts are stored once for both uses;
+    texts are not stored with them unless they are to stay.
+    """
+    keep = [c for c in (keep if keep is not None else documents.columns) if c not in ADDED]
+    rows = counted(documents, keep)
+    return judged(rows if "text" in keep else stored(rows), keep)
 
 
 def quality_report(documents: DataFrame) -> DataFrame:
-    return judged(documents.select("doc_id", "text", "lang", "source"), ["doc_id"])
+    return judge(documents.select("doc_id", "text", "lang", "source"), ["doc_id"])
+
+
+def keep_good(documents: DataFrame) -> DataFrame:
+    """The documents that pass the base rules and their group's fences, with their own columns."""
+    kept = judge(documents.withColumn(fresh(documents, "own_columns")[0], F.struct(*documents.columns)), fresh(documents, "own_columns"))
+    return kept.where("kept").select(f"{kept.columns[0]}.*")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from servicenight.llm.common import fresh
 from servicenight.session import ensure_checkpoint_dir
 
 
@@ -107,11 +108,12 @@ def update_ledger(documents: DataFrame, folder: str, rules: list[Rule] = RULES)
 
 def findings(documents: DataFrame, ledger: DataFrame, keep: list[str], rules: list[Rule] = RULES) -> DataFrame:
     """(keep..., spans) of every path: the spans of the given rule versions in its blob, by start and rule."""
-    paths = documents.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_blob"))
+    path_blob, blob = fresh(documents, "path_blob", "ledger_blob")
+    paths = documents.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias(path_blob))
     versions = [r.version for r in rules]
-    per_blob = ledger.select(F.col("blob").alias("_blob"), F.filter("spans", lambda s: s["rule"].isin(versions)).alias("spans")).where(F.size("spans") > 0)
-    per_blob = per_blob.groupBy("_blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return paths.join(per_blob, "_blob", "left").drop("_blob")
+    per_blob = ledger.select(F.col("blob").alias(blob), F.filter("spans", lambda s: s["rule"].isin(versions)).alias("spans")).where(F.size("spans") > 0)
+    per_blob = per_blob.groupBy(blob).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return paths.join(per_blob, F.col(path_blob) == F.col(blob), "left").select(*keep, "spans")
 
 
 def secret_report(documents: DataFrame, ledger_folder: str | None = None) -> DataFrame:

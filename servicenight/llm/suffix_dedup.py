@@ -283,32 +283,34 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Every row with ``_whole`` (all its bytes go) or else ``_spans`` of bytes to remove.
+    """(doc_id, text, whole, spans) of every row: all its bytes go (``whole``), or else those in ``spans``.
 
     Each row is a document: rows with equal texts of ``length`` bytes or more lose everything.
     Null texts are empty; texts under ``length`` bytes lose nothing.
     """
+    documents = documents.select("doc_id", "text")
     texts = stored(distinct_texts(documents, length, gram))
     found = contexts(documents, shared_anchors(texts), length, gram)
-    spans = repeated_spans(found, length).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
-    copied = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
-        F.col("text_key").alias("_k1"), F.col("second_key").alias("_k2"), F.col("n_bytes").alias("_n"), F.lit(True).alias("_whole"))
-    k1, k2, n = text_identity(F.col("text"))
-    rows = documents.withColumns({"_tk": k1, "_sk": k2, "_bytes": n})
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_tk") == F.col("_text_key")), "left")
-    rows = rows.join(copied, (F.col("_tk") == F.col("_k1")) & (F.col("_sk") == F.col("_k2")) & (F.col("_bytes") == F.col("_n")), "left")
-    return rows.withColumn("_whole", F.coalesce("_whole", F.lit(False))).drop("_doc_id", "_text_key", "_k1", "_k2", "_n", "_tk", "_sk")
+    identity = ["text_key", "second_key", "n_bytes"]
+    copied = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(*identity)
+    copies = documents.select("doc_id", *text_identity(F.col("text"))).join(copied, identity).select("doc_id", "text_key")
+    marks = repeated_spans(found, length).select("doc_id", "text_key", "spans", F.lit(False).alias("whole")).union(
+        copies.select("doc_id", "text_key", F.array().cast(SPANS), F.lit(True)))
+    marks = marks.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("whole").alias("whole")).alias("m")
+    rows = documents.select("doc_id", text_key(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).alias("r")
+    rows = rows.join(marks, F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.text_key") == F.col("m.text_key")), "left")
+    return rows.select("r.doc_id", "r.text", F.coalesce("m.whole", F.lit(False)).alias("whole"), "m.spans")
 
 
 def repeat_report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    marked = with_spans(documents.select("doc_id", "text"), length).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_whole", "_spans")
+    marked = with_spans(documents, length)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, whole, spans in zip(batch.column("text"), batch.column("_whole"), batch.column("_spans")):
+            for text, whole, spans in zip(batch.column("text"), batch.column("whole"), batch.column("spans")):
                 text = text.as_buffer().to_pybytes()
                 gone = [(0, len(text))] if whole.as_py() else merged(spans.as_py())
                 rows.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(remaining(text, gone)).hexdigest()))
