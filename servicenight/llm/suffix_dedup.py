@@ -302,9 +302,9 @@ def with_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return rows.select("r.doc_id", "r.text", F.coalesce("m.whole", F.lit(False)).alias("whole"), "m.spans")
 
 
-def repeat_report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeat_report(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    marked = with_spans(documents, length)
+    marked = with_spans(documents, length, gram)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

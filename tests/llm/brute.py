@@ -86,7 +86,8 @@ def secrets(docs):
     return out
 
 
-def line_dedup(docs, min_chars=20, min_documents=3):
+def kept_lines(docs, min_chars=20, min_documents=3):
+    """(doc_id, lines, lines that stay) of each row."""
     holders = defaultdict(set)
     key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
     rank = lambda i: (i is not None, i or 0)
@@ -98,10 +99,14 @@ def line_dedup(docs, min_chars=20, min_documents=3):
     for doc_id, text in docs:
         lines = (text or "").split("\n")
         kept = [line for line in lines if len(holders[key(line)]) < min_documents or doc_id == max(holders[key(line)], key=rank)]
-        out.append((doc_id, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+        out.append((doc_id, lines, kept))
     return out
 
 
+def line_dedup(docs):
+    return [(i, len(lines), len(lines) - len(kept), sha("\n".join(kept))) for i, lines, kept in kept_lines(docs)]
+
+
 def quality(docs):
     out = []
     for doc_id, text in docs:
@@ -151,5 +156,6 @@ def near_duplicates(docs):
             parent[root(a)] = root(b)
     smallest = {}
     for i, (doc_id, _) in enumerate(sets):
-        smallest[root(i)] = min(smallest.get(root(i), doc_id), doc_id)
+        ids = [x for x in (smallest.get(root(i)), doc_id) if x is not None]
+        smallest[root(i)] = min(ids, default=None)
     return [(doc_id, len(s), smallest[root(i)], doc_id == smallest[root(i)]) for i, (doc_id, s) in enumerate(sets)]
