@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from servicenight.llm import textvec
 from servicenight.llm.common import fresh
@@ -22,9 +22,10 @@ from servicenight.llm.common import fresh
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 DIMENSIONS = 16
-#: The classifier is fitted on this many rows of a language at most (lowest hash of doc_id first) ...
+#: The classifier is fitted on about this many rows of each language (picked by a hash of doc_id), for
+#: the most frequent languages; none is longer than so many characters. This bounds what the driver holds.
 TRAIN_ROWS = 1200
-#: ... none of them longer than this many characters, which bounds what the driver holds.
+TRAIN_LANGUAGES = 200
 TRAIN_CHARS = 40_000
 EPOCHS = 6
 RATE = 8.0
@@ -164,12 +165,20 @@ def predictions(model: Model | None, column: pa.Array) -> tuple[list[str], np.nd
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
-    """A bounded sample of labelled rows that are not held out, the same on every run."""
-    usable = documents.select("doc_id", "text", "lang").where(
+    """A bounded sample of labelled rows that are not held out, the same on every run.
+
+    Rows are counted per language; then each language's share of the hash range is set so that
+    about ``TRAIN_ROWS`` of its rows fall into it. Nothing is sorted or gathered by language.
+    """
+    usable = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
         & (F.length("text") <= TRAIN_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_ROWS).select("text", "lang")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES).collect()
+    if not counts:
+        return usable.limit(0).select("text", "lang")
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, TRAIN_ROWS / r.n))])
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    return usable.where(place < shares[F.col("lang")]).select("text", "lang")
 
 
 def fit(documents: DataFrame) -> Model | None:
