@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.functions import calendar, parse
 from servicenight.operators.joins import null_safe_join
-from servicenight.operators.ordering import HOT_GROUP_ROWS, with_position
+from servicenight.operators.ordering import number_rows, with_position
 
 CONTENT = ["opened", "guests", "table_code", "discount_amount", "amount", "tax", "tip", "gratuity",
            "total", "closed", "duration_text"]
@@ -26,12 +26,10 @@ def content_columns(df: DataFrame) -> list[str]:
 
 def rank_pulls(files: DataFrame) -> DataFrame:
     """Pull order of files (source_file, modified): range end, then file time; undated first."""
-    end = parse.pull_end_date(F.col("source_file"))
-    # one row per file, so a single ordered window is small
-    order = Window.orderBy(F.col("range_end").asc_nulls_first(), "modified", "source_file")
-    return (files.withColumn("range_end", end)
-            .select("source_file", "range_end", F.col("range_end").isNull().alias("undated"),
-                    (F.row_number().over(order) - 1).alias("pull_rank")))
+    dated = files.withColumn("range_end", parse.pull_end_date(F.col("source_file")))
+    order = [F.col("range_end").asc_nulls_first(), F.col("modified"), F.col("source_file")]
+    return number_rows(dated, order, "_n").select(
+        "source_file", "range_end", F.col("range_end").isNull().alias("undated"), (F.col("_n") - 1).alias("pull_rank"))
 
 
 def drop_chunk_duplicates(rows: DataFrame) -> DataFrame:
@@ -51,13 +49,12 @@ def add_identity(rows: DataFrame) -> DataFrame:
         "k_guests": F.coalesce("guests", F.lit(-1))})
 
 
-def add_occurrence(rows: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def add_occurrence(rows: DataFrame) -> DataFrame:
     """Number rows of one export that share an identity, by amount, discount, then line."""
     order = [F.col("amount").asc_nulls_first(), F.col("discount_amount").asc_nulls_first(),
              F.col("source_row_number")]
     keyed = add_identity(rows)
-    numbered = with_position(keyed, ["source_file", "k_opened", "k_table", "k_guests"], order,
-                             "_position", hot_rows=hot_rows)
+    numbered = with_position(keyed, ["source_file", "k_opened", "k_table", "k_guests"], order, "_position")
     return numbered.withColumn("occurrence", F.col("_position") - 1).drop("_position")
 
 

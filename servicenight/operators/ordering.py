@@ -1,9 +1,8 @@
 """Row numbers and neighbours that hold up when one group has most of the rows.
 
-A window over a group runs in one task. That is the right plan while every group
-fits a task; ``with_position`` checks it with one map-side-combined count, and
-otherwise cuts the ordered data into even ranges, ranks inside each range and
-carries counts and neighbours across the cuts. Both ways give the same rows.
+The ordered data is cut into even ranges, rows are ranked inside each range, and counts and
+neighbours are carried across the cuts. One plan serves every size of group: a group with a
+third of all rows lies in as many ranges as its rows fill.
 """
 
 from __future__ import annotations
@@ -12,32 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight.session import materialize
 
-HOT_GROUP_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
 
 def with_position(df: DataFrame, keys: list[str], order: list[Column], index: str,
-                  following: dict[str, str] | None = None,
-                  hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                  following: dict[str, str] | None = None) -> DataFrame:
     """Add the 1-based position within ``keys`` and values of the next row.
 
     ``order`` must end in a unique column. ``following`` maps a new column to the
     column whose value in the next row of the group it takes (NULL in the last row).
+    The frame is read once: ranges are cut on the keys and the order, and stored.
     """
     following = following or {}
-    if largest_group(df, keys) <= hot_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(
-            "*", F.row_number().over(window).cast("bigint").alias(index),
-            *[F.lead(source).over(window).alias(new) for new, source in following.items()])
-    return _position_by_ranges(df, keys, order, index, following)
-
-
-def _position_by_ranges(df, keys, order, index, following):
-    # Ranges are cut on the keys and the unique order, so no range can hold more than its share.
     ranged = materialize(df.repartitionByRange(*[F.col(k) for k in keys], *order))
     ranged = ranged.withColumn("_chunk", F.spark_partition_id())
     inside = Window.partitionBy("_chunk", *keys).orderBy(*order)

@@ -1,7 +1,7 @@
 """Least squares from distributed moments.
 
-Each task reduces its rows to sums of products; what is left to add up and solve is one
-p-by-p system (p is the number of design columns) per task, whatever the number of rows.
+Sums of products are ordinary aggregates, combined on the map side; Python only solves the one
+p-by-p system that is left (p is the number of design columns), whatever the number of rows.
 
 A design is a constant followed by terms: the name of a numeric column, or a pair of a
 column and its levels, which becomes 0/1 columns for every level but the first.
@@ -11,7 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from servicenight.session import materialize, travels
+
+travels(__name__)
 
 NORMAL_975 = 1.959963984540054
 
@@ -25,102 +29,97 @@ def design_names(terms: list[Term]) -> list[str]:
     return names
 
 
-def _columns(terms: list[Term]) -> list[str]:
-    return [term if isinstance(term, str) else term[0] for term in terms]
-
-
-def _matrix(batch: pd.DataFrame, terms: list[Term]) -> np.ndarray:
-    columns = [np.ones(len(batch))]
+def design_columns(terms: list[Term]) -> list[Column]:
+    columns = [F.lit(1.0)]
     for term in terms:
         if isinstance(term, str):
-            columns.append(batch[term].to_numpy(dtype=float))
+            columns.append(F.col(term).cast("double"))
         else:
-            value = batch[term[0]].to_numpy()
-            columns += [(value == level).astype(float) for level in term[1][1:]]
-    return np.column_stack(columns)
+            columns += [(F.col(term[0]) == F.lit(level)).cast("double") for level in term[1][1:]]
+    return columns
 
 
-def _total(batches, column: str) -> np.ndarray:
-    """Sum of an array column over every row of every batch."""
-    return sum(np.stack(b[column].to_numpy()).sum(axis=0) for b in batches if len(b))
+def complete_rows(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
+    """(x: array of design columns, y) of rows without gaps, stored as both passes read them."""
+    used = [term if isinstance(term, str) else term[0] for term in terms]
+    whole = df.select(*used, F.col(y).cast("double").alias("y")).dropna()
+    return materialize(whole.select(F.array(*design_columns(terms)).alias("x"), "y"))
 
 
-def complete_rows(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
-    return df.select(*_columns(terms), F.col(y).cast("double").alias(y)).dropna()
+def moments(rows: DataFrame, p: int, weight: Column | None = None) -> list[Column]:
+    """Sums of x_i * x_j over i <= j, each row times ``weight``."""
+    x = F.col("x")
+    factor = F.lit(1.0) if weight is None else weight
+    return [F.sum(x[i] * x[j] * factor) for i in range(p) for j in range(i, p)]
+
 
+def _square(upper: np.ndarray, p: int) -> np.ndarray:
+    full = np.zeros((p, p))
+    full[np.triu_indices(p)] = upper
+    return full + np.triu(full, 1).T
 
-def solve(rows: DataFrame, terms: list[Term], y: str) -> DataFrame:
+
+def solve(rows: DataFrame, terms: list[Term]) -> DataFrame:
     """One row: coefficients, inverse of X'X, row count and mean of y."""
     p = len(design_names(terms))
+    cross = [F.sum(F.col("x")[i] * F.col("y")) for i in range(p)]
+    sums = rows.agg(F.array(*moments(rows, p)).alias("xx"), F.array(*cross).alias("xy"),
+                    F.count("y").alias("n"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("mean_y"))
 
-    def partial(batches):
-        moments = np.zeros(p * p + p + 2)
+    def finish(batches):
         for batch in batches:
-            x, target = _matrix(batch, terms), batch[y].to_numpy(dtype=float)
-            moments += np.concatenate([(x.T @ x).ravel(), x.T @ target, [len(x), target.sum()]])
-        yield pd.DataFrame({"moments": [moments.tolist()]})
+            for row in batch.itertuples():
+                empty = row.n == 0
+                xx = np.zeros((p, p)) if empty else _square(np.asarray(row.xx, dtype=float), p)
+                xy = np.zeros(p) if empty else np.asarray(row.xy, dtype=float)
+                beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+                yield pd.DataFrame({"beta": [beta.tolist()], "inverse": [np.linalg.pinv(xx).ravel().tolist()],
+                                    "n": [int(row.n)], "mean_y": [row.mean_y]})
+
+    return sums.mapInPandas(finish, "beta array<double>, inverse array<double>, n bigint, mean_y double")
 
-    def finish(batches):
-        total = _total(list(batches), "moments")
-        xx, xy, n = total[:p * p].reshape(p, p), total[p * p:-2], total[-2]
-        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-        yield pd.DataFrame({"beta": [beta.tolist()], "inverse": [np.linalg.pinv(xx).ravel().tolist()],
-                            "n": [int(n)], "mean_y": [total[-1] / n if n else 0.0]})
 
-    return (rows.mapInPandas(partial, "moments array<double>").repartition(1)
-            .mapInPandas(finish, "beta array<double>, inverse array<double>, n bigint, mean_y double"))
+def residual(p: int, beta: Column) -> Column:
+    fitted = F.lit(0.0)
+    for i in range(p):
+        fitted = fitted + F.col("x")[i] * beta[i]
+    return F.col("y") - fitted
 
 
 def robust_fit(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
     """Coefficients with heteroscedasticity-robust (HC1) standard errors, one row per column."""
     rows, names = complete_rows(df, terms, y), design_names(terms)
-    solution = solve(rows, terms, y)
     p = len(names)
-
-    def partial(batches):
-        meat = np.zeros((p, p))
-        for batch in batches:
-            if len(batch):
-                x, target = _matrix(batch, terms), batch[y].to_numpy(dtype=float)
-                scores = x * (target - x @ np.asarray(batch["_beta"].iloc[0], dtype=float))[:, None]
-                meat += scores.T @ scores
-        yield pd.DataFrame({"meat": [meat.ravel().tolist()]})
+    solution = materialize(solve(rows, terms))
+    scored = rows.withColumn("_beta", solution.select("beta").scalar()).withColumn("_e", residual(p, F.col("_beta")))
+    meat = scored.agg(F.array(*moments(scored, p, F.col("_e") * F.col("_e"))).alias("meat"))
+    whole = meat.withColumn("_s", solution.select(F.struct("beta", "inverse", "n")).scalar()).select("meat", "_s.*")
 
     def sandwich(batches):
-        batches = list(batches)
-        first = next(b.iloc[0] for b in batches if len(b))
-        beta, n = np.asarray(first["beta"], dtype=float), int(first["n"])
-        inverse = np.asarray(first["inverse"], dtype=float).reshape(p, p)
-        used = int((np.diag(inverse) != 0).sum())     # levels that never occur take no freedom
-        covariance = inverse @ _total(batches, "meat").reshape(p, p) @ inverse * n / (n - used)
-        error = np.sqrt(np.diag(covariance))
-        yield pd.DataFrame({"term": names, "n": n, "coefficient": beta, "std_error": error,
-                            "low": beta - NORMAL_975 * error, "high": beta + NORMAL_975 * error})
-
-    scored = rows.withColumn("_beta", solution.select("beta").scalar())
-    meats = scored.mapInPandas(partial, "meat array<double>").withColumn(
-        "_s", solution.select(F.struct("beta", "inverse", "n")).scalar())
-    return meats.select("meat", "_s.*").repartition(1).mapInPandas(
+        for batch in batches:
+            for row in batch.itertuples():
+                n, beta = int(row.n), np.asarray(row.beta, dtype=float)
+                if not n:
+                    continue
+                inverse = np.asarray(row.inverse, dtype=float).reshape(p, p)
+                used = int((np.diag(inverse) != 0).sum())     # levels that never occur take no freedom
+                meat_ = _square(np.asarray(row.meat, dtype=float), p)
+                error = np.sqrt(np.diag(inverse @ meat_ @ inverse * n / (n - used)))
+                yield pd.DataFrame({"term": names, "n": n, "coefficient": beta, "std_error": error,
+                                    "low": beta - NORMAL_975 * error, "high": beta + NORMAL_975 * error})
+
+    return whole.mapInPandas(
         sandwich, "term string, n bigint, coefficient double, std_error double, low double, high double")
 
 
 def r_squared(df: DataFrame, terms: list[Term], y: str) -> DataFrame:
     """One row: R², row count and coefficients of an ordinary fit; rows with gaps are left out."""
     rows = complete_rows(df, terms, y)
-    solution = solve(rows, terms, y)
-
-    def partial(batches):
-        squares = np.zeros(2)
-        for batch in batches:
-            if len(batch):
-                target, first = batch[y].to_numpy(dtype=float), batch["_s"].iloc[0]
-                fit = _matrix(batch, terms) @ np.asarray(first["beta"], dtype=float)
-                squares += [((target - fit) ** 2).sum(), ((target - first["mean_y"]) ** 2).sum()]
-        yield pd.DataFrame({"residual": [squares[0]], "centred": [squares[1]]})
-
+    solution = materialize(solve(rows, terms))
     scored = rows.withColumn("_s", solution.select(F.struct("beta", "mean_y")).scalar())
-    sums = scored.mapInPandas(partial, "residual double, centred double").agg(
-        (1 - F.sum("residual") / F.sum("centred")).alias("r2"))
+    scored = scored.withColumn("_e", residual(len(design_names(terms)), F.col("_s.beta")))
+    centred = F.col("y") - F.col("_s.mean_y")
+    sums = scored.agg((1 - F.sum(F.col("_e") * F.col("_e")) / F.sum(centred * centred)).alias("r2"))
     return sums.withColumn("_s", solution.select(F.struct("n", "beta")).scalar()).select("r2", "_s.*")
 
 
@@ -147,7 +146,9 @@ TIME_TERMS = {"time": ["week"], "temperature": ["temp_high_f"], "both": ["week",
 def season_or_decline(nights: DataFrame, weekdays: list[str]) -> DataFrame:
     """R² of revenue on weekday plus time, temperature, or both, with the slope per week."""
     first = nights.agg(F.min("service_date")).scalar()
-    rows = nights.withColumn("week", F.datediff(F.col("service_date"), first) / F.lit(7.0))
+    rows = materialize(nights.select(
+        "service_dow", "revenue", "temp_high_f",
+        (F.datediff(F.col("service_date"), first) / F.lit(7.0)).alias("week")))   # three fits read it
     out = None
     for design, numeric in TIME_TERMS.items():
         terms: list[Term] = [("service_dow", sorted(weekdays)), *numeric]

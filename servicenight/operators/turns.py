@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from servicenight.functions import calendar, measures
-from servicenight.operators.ordering import HOT_GROUP_ROWS, with_position
+from servicenight.operators.ordering import with_position
 from servicenight.session import materialize
 
 
-def add_turn_gaps(orders: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def add_turn_gaps(orders: DataFrame) -> DataFrame:
     """Gap in minutes to the next party of the same table and night.
 
     A next party that sits before this one paid is an overlap: flagged, gap NULL. Orders
     without a table are no turn at all. Ties in opening time follow the order id.
     """
-    tabled = orders.where(F.col("table_code").isNotNull())
+    # without a table an order is a group of its own, so one pass serves all rows
+    at_table = F.col("table_code").isNotNull()
+    keyed = orders.withColumn("_alone", F.when(~at_table, F.col("order_id")))
     positioned = with_position(
-        tabled, ["table_code", "service_date"], [F.col("opened_at"), F.col("order_id")],
-        "turn_index", {"_next_opened": "opened_at"}, hot_rows)
+        keyed, ["table_code", "_alone", "service_date"], [F.col("opened_at"), F.col("order_id")],
+        "_position", {"_next_opened": "opened_at"})
     gap = calendar.seconds_between(F.col("paid_at"), F.col("_next_opened")) / F.lit(60.0)
-    turned = (positioned.withColumn("_gap", gap)
-              .withColumns({"turn_overlap": F.coalesce(F.col("_gap") < 0, F.lit(False)),
-                            "turn_gap": F.when(F.col("_gap") >= 0, F.col("_gap"))})
-              .drop("_gap", "_next_opened"))
-    return turned.unionByName(
-        orders.where(F.col("table_code").isNull()).withColumns({
-            "turn_index": F.lit(None).cast("bigint"), "turn_overlap": F.lit(False),
-            "turn_gap": F.lit(None).cast("double")}))
+    return (positioned.withColumn("_gap", F.when(at_table, gap))
+            .withColumns({"turn_index": F.when(at_table, F.col("_position")),
+                          "turn_overlap": F.coalesce(F.col("_gap") < 0, F.lit(False)),
+                          "turn_gap": F.when(F.col("_gap") >= 0, F.col("_gap"))})
+            .drop("_gap", "_next_opened", "_alone", "_position"))
 
 
 def gap_summary(turned: DataFrame, by: str, min_turns: int = 0) -> DataFrame:

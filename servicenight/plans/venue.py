@@ -357,62 +357,64 @@ def pooled_comparison(spark, sf):
     return trend.pooled_comparison(frames.trading_nights(spark, sf))
 
 
-def _temperature_trend(column: str, measure: str) -> str:
-    """Weekday effects, then temperature, then its square are projected out one after another;
-    the slope of what is left on the remaining years is the regression's, and so is its HC1 error."""
-    def demean(c):
-        return f"{c} - avg({c}) OVER (PARTITION BY day_name) AS {c}"
-
-    def project(c, on):
-        return f"{c} - {on} * (sum({c} * {on}) OVER () / sum({on} * {on}) OVER ()) AS {c}"
+def _trend_sql(column: str, measure: str, season: str, since=None) -> str:
+    """Weekday effects are taken out by centring, then one regressor after another is projected out.
+
+    What is left of the measure and of the years gives the regression's slope and its HC1 error.
+    """
+    seasonal = (["temp_high_f", "temp_high_f * temp_high_f"] if season == "temperature"
+                else [f"CAST(month_of_year = {m} AS INTEGER)::DOUBLE" for m in range(2, 13)])
+    names = [f"r{k}" for k in range(len(seasonal))]
+    when = f" AND service_date >= DATE '{since}'" if since else ""
+    gap = " AND temp_high_f IS NOT NULL" if season == "temperature" else ""
+    body = f"""SELECT day_name, ln({column}) AS y, years AS x, month_of_year,
+      {', '.join(f'{e} AS {n}' for e, n in zip(seasonal, names))} FROM v_nights WHERE {column} > 0{gap}{when}"""
+    freedom = ("count(DISTINCT day_name) + 3" if season == "temperature"
+               else "count(DISTINCT day_name) + count(DISTINCT month_of_year)")
+    centred = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY day_name) AS {c}" for c in ["y", "x", *names])
+    level = f"SELECT {centred} FROM base"
+    for k, name in enumerate(names):
+        rest = ", ".join(f"{c} - {name} * coalesce(sum({c} * {name}) OVER () / nullif(sum({name} * {name}) OVER (), 0), 0) AS {c}"
+                         for c in ["y", "x", *names[k + 1:]])
+        level = f"SELECT {rest} FROM ({level})"
     return sql(f"""
-    SELECT '{measure}' AS measure, 'temperature' AS season, {i('n')}, {f('exp(slope) - 1', 'coefficient_pct')},
+    SELECT '{measure}' AS measure, '{season}' AS season, {i('n')}, {f('exp(slope) - 1', 'coefficient_pct')},
       {f(f'exp(slope - {regression.NORMAL_975} * se) - 1', 'low_pct')},
       {f(f'exp(slope + {regression.NORMAL_975} * se) - 1', 'high_pct')}
     FROM (SELECT max(n) AS n, max(slope) AS slope,
             sqrt(max(n)::DOUBLE / (max(n) - max(p)) * sum((y - slope * x) * (y - slope * x) * x * x)
                  / (sum(x * x) * sum(x * x))) AS se
-      FROM (SELECT *, count(*) OVER () AS n, sum(x * y) OVER () / sum(x * x) OVER () AS slope FROM (
-        SELECT p, {project('y', 't2')}, {project('x', 't2')} FROM (
-          SELECT p, t1, {project('y', 't1')}, {project('x', 't1')}, {project('t2', 't1')} FROM (
-            SELECT (SELECT count(DISTINCT day_name) FROM v_nights) + 3 AS p,
-              {demean('y')}, {demean('x')}, {demean('t1')}, {demean('t2')} FROM (
-              SELECT day_name, ln({column}) AS y, years AS x, temp_high_f AS t1, temp_high_f * temp_high_f AS t2
-              FROM v_nights WHERE {column} > 0 AND temp_high_f IS NOT NULL))))))""")
+      FROM (SELECT *, (SELECT {freedom} FROM base) AS p, count(*) OVER () AS n,
+              sum(x * y) OVER () / sum(x * x) OVER () AS slope FROM ({level})))""", {"base": body})
 
 
 _WEEKDAYS = rules.TRADING_DAYS
+_REGULAR, _TOTAL = "(regular_c / 100.0::DOUBLE)", "(revenue_c / 100.0::DOUBLE)"
 
 
-@query("trend_regular_temperature", _temperature_trend("(regular_c / 100.0::DOUBLE)", "regular_revenue"))
-def trend_regular_temperature(spark, sf):
-    """Yearly trend of regular revenue, net of weekday and temperature, with a robust interval."""
-    return regression.log_trend(frames.trading_nights(spark, sf), "regular_revenue", "temperature", _WEEKDAYS)
-
-
-@query("trend_total_temperature", _temperature_trend("(revenue_c / 100.0::DOUBLE)", "revenue"))
-def trend_total_temperature(spark, sf):
-    """Yearly trend of total revenue, net of weekday and temperature."""
-    return regression.log_trend(frames.trading_nights(spark, sf), "revenue", "temperature", _WEEKDAYS)
-
-
-def _month_trend(name, column, doc, since=None):
+def _trend(name, column, sql_column, season, doc, since=None):
     def run(spark, sf):
         nights = frames.trading_nights(spark, sf)
         if since:
             nights = nights.where(F.col("service_date") >= F.lit(since))
-        return regression.log_trend(nights, column, "month", _WEEKDAYS)
+        return regression.log_trend(nights, column, season, _WEEKDAYS)
     run.__doc__ = doc
-    return query(name)(run)
-
-
-# SQL has no least squares over many dummies; the fixture tests compare these with numpy.
-_month_trend("trend_regular_month", "regular_revenue", "Yearly trend net of weekday and month.")
-_month_trend("trend_total_month", "revenue", "Yearly trend of total revenue net of weekday and month.")
-_month_trend("trend_parties_month", "parties", "Yearly trend of parties per night.")
-_month_trend("trend_spend_month", "spend_per_guest", "Yearly trend of seated spend per guest.")
-_month_trend("trend_regular_after_tax_switch", "regular_revenue",
-             "Yearly trend over nights priced without tax.", rules.TAX_INCLUSIVE_UNTIL)
+    return query(name, _trend_sql(sql_column, column, season, since))(run)
+
+
+_SWITCH = rules.TAX_INCLUSIVE_UNTIL
+_trend("trend_regular_month", "regular_revenue", _REGULAR, "month", "Yearly trend net of weekday and month.")
+_trend("trend_total_month", "revenue", _TOTAL, "month", "Yearly trend of total revenue net of weekday and month.")
+_trend("trend_regular_temperature", "regular_revenue", _REGULAR, "temperature", "Yearly trend net of weekday and temperature.")
+_trend("trend_total_temperature", "revenue", _TOTAL, "temperature", "Yearly trend of total revenue net of weekday and temperature.")
+_trend("trend_regular_after_tax_switch", "regular_revenue", _REGULAR, "month", "Yearly trend over nights priced without tax.", _SWITCH)
+_trend("trend_total_after_tax_switch", "revenue", _TOTAL, "month", "Total revenue over nights priced without tax.", _SWITCH)
+_trend("trend_regular_temperature_after_tax_switch", "regular_revenue", _REGULAR, "temperature",
+       "Yearly trend net of temperature over nights priced without tax.", _SWITCH)
+_trend("trend_total_temperature_after_tax_switch", "revenue", _TOTAL, "temperature",
+       "Total revenue net of temperature over nights priced without tax.", _SWITCH)
+_trend("trend_parties_month", "parties", "parties", "month", "Yearly trend of parties per night.")
+_trend("trend_spend_month", "spend_per_guest", "spend_per_guest", "month", "Yearly trend of seated spend per guest.")
 
 
 @query("time_against_temperature", sql(f"""

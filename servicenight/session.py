@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -17,9 +19,16 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # stored frames go once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def travels(module: str) -> None:
+    """Send a module's functions to workers with their code, so that no worker needs the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; extra settings use ``__`` for dots."""
     builder = SparkSession.builder.appName("servicenight")
@@ -67,17 +76,3 @@ def materialize(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
-
-PIECE_BYTES = 256 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to the idle cores when its files cannot be split that far.
-
-    A file of one row group is read by one task, and so is everything up to the next shuffle.
-    A scan with at least as many pieces as cores, which any large table has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    pieces = min(cores, size // PIECE_BYTES)
-    return df.repartition(pieces) if pieces > 1 and df.rdd.getNumPartitions() < pieces else df

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.functions import measures, parse
-from servicenight.session import small_table
+from servicenight.session import small_table, travels
+
+travels(__name__)
 
 RECORD_SCHEMA = ("source_file string, file_hash string, kind string, source_row_number int, "
                  "chunk int, fields array<string>, error string")
@@ -115,9 +117,9 @@ def file_layouts(records: DataFrame, layouts: DataFrame) -> DataFrame:
 
 def refused_files(records: DataFrame, layouts: DataFrame) -> DataFrame:
     """Files that must not be loaded, with the reason."""
-    faulty = records.where(F.col("kind") == "error").select("source_file", F.col("error").alias("reason"))
+    faulty = records.where(F.col("kind") == "error").select("source_file", "file_hash", F.col("error").alias("reason"))
     unknown = file_layouts(records, layouts).where(F.col("export_type").isNull()).select(
-        "source_file", F.concat(F.lit("unrecognised header: "), F.array_join("header", ", ")).alias("reason"))
+        "source_file", "file_hash", F.concat(F.lit("unrecognised header: "), F.array_join("header", ", ")).alias("reason"))
     return faulty.unionByName(unknown)
 
 

@@ -1,4 +1,4 @@
-"""Load each export once, all or nothing.
+"""Load each export once, each file by itself.
 
 Rows are written under their load id first, the log row last. Readers keep only rows whose
 load id and fingerprint are in the log, so a load that died half way is never seen, and the
@@ -7,26 +7,52 @@ next run simply writes it again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
+from servicenight.operators.ordering import number_rows
 from servicenight.session import materialize
 from servicenight.sources import exports
 
 LOG_SCHEMA = ("load_id bigint, source_file string, file_hash string, export_type string, "
               "row_count int, loaded_at timestamp")
+REFUSAL_SCHEMA = "source_file string, file_hash string, reason string, refused_at timestamp"
 
 
 class RefusedExport(ValueError):
     """An export that cannot be read faithfully."""
 
 
-def read_log(spark: SparkSession, root: str) -> DataFrame:
+class LostLog(RuntimeError):
+    """Raw tables lie under a root whose load log is gone."""
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A stored table, or None where nothing was ever written; any other fault is raised."""
     try:
-        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/raw/load_log")
-    except AnalysisException:      # nothing loaded yet
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """The load log. It is written before any raw table, so without it there must be none."""
+    log = _read(spark, f"{root}/raw/load_log", LOG_SCHEMA)
+    if log is None:
+        for name in rules.RAW_TABLES.values():
+            if _read(spark, f"{root}/raw/{name}", "load_id bigint") is not None:
+                raise LostLog(f"{root}/raw has {name} but no load log; restore the log before loading")
         return spark.createDataFrame([], LOG_SCHEMA)
+    return log
+
+
+def read_refusals(spark: SparkSession, root: str) -> DataFrame:
+    """Every file that was refused, with the reason, once per content."""
+    refused = _read(spark, f"{root}/raw/refused", REFUSAL_SCHEMA)
+    return spark.createDataFrame([], REFUSAL_SCHEMA) if refused is None else refused
 
 
 def unseen_files(files: DataFrame, log: DataFrame) -> DataFrame:
@@ -38,8 +64,8 @@ def unseen_files(files: DataFrame, log: DataFrame) -> DataFrame:
 def assign_load_ids(unseen: DataFrame, log: DataFrame) -> DataFrame:
     """Consecutive load ids in name order, after the highest id in the log."""
     last = log.agg(F.coalesce(F.max("load_id"), F.lit(0))).scalar()
-    order = Window.orderBy("source_file")     # one short row per file
-    return unseen.withColumn("load_id", F.row_number().over(order) + last)
+    return number_rows(unseen, [F.col("source_file"), F.col("file_hash")], "_n").withColumn(
+        "load_id", F.col("_n") + last).drop("_n")
 
 
 def committed(raw: DataFrame, log: DataFrame) -> DataFrame:
@@ -52,34 +78,35 @@ def read_raw(spark: SparkSession, root: str, export_type: str) -> DataFrame:
     names = rules.LAYOUTS[export_type]
     schema = ", ".join(["source_file string", "file_hash string", "source_row_number int",
                         *[f"`{n}` string" for n in names], "load_id bigint"])
-    try:
-        stored = spark.read.schema(schema).parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}")
-    except AnalysisException:
+    stored = _read(spark, f"{root}/raw/{rules.RAW_TABLES[export_type]}", schema)
+    if stored is None:
         stored = spark.createDataFrame([], schema)
     return committed(stored, read_log(spark, root)).drop("file_hash")
 
 
 def load_files(files: DataFrame, root: str) -> DataFrame:
-    """Load every unseen file; raises before anything is written if one is refused.
+    """Load every unseen file that can be read faithfully; record the others with their reason.
 
-    Returns the log rows added (file name, layout, rows).
+    A refused file holds up no other and leaves no row. Returns the log rows added.
     """
     spark = files.sparkSession
     log = read_log(spark, root)
-    batch = materialize(assign_load_ids(unseen_files(files, log), log))
-    if batch.isEmpty():
-        return spark.createDataFrame([], LOG_SCHEMA)
+    wanted = unseen_files(files, log)
     # Parsed once and stored: the checks, every layout and the log read the same records.
-    wanted = files.join(batch.drop("load_id"), ["source_file", "file_hash"], "left_semi")
-    records = materialize(exports.parse_files(wanted))
+    records = materialize(exports.parse_files(files.join(wanted, ["source_file", "file_hash"], "left_semi")))
     layouts = exports.layout_table(spark)
-    refused = exports.refused_files(records, layouts).limit(20).collect()
-    if refused:
-        raise RefusedExport("; ".join(f"{r.source_file}: {r.reason}" for r in refused))
+    refused = materialize(exports.refused_files(records, layouts))
+    record_refusals(refused, root)
 
-    known = exports.file_layouts(records, layouts).select("file_hash", "export_type")
-    loads = batch.join(known, "file_hash")
-    typed = records.where(F.col("kind") == "row").join(loads.drop("source_file"), "file_hash")
+    known = exports.file_layouts(records, layouts).select("source_file", "file_hash", "export_type")
+    good = known.join(refused.select("file_hash"), "file_hash", "left_anti")
+    sizes = records.groupBy("file_hash").agg(F.count_if(F.col("kind") == "row").cast("int").alias("row_count"))
+    loads = materialize(assign_load_ids(good, log).join(sizes, "file_hash"))
+    if loads.isEmpty():
+        return spark.createDataFrame([], LOG_SCHEMA)
+    if _read(spark, f"{root}/raw/load_log", LOG_SCHEMA) is None:
+        spark.createDataFrame([], LOG_SCHEMA).coalesce(1).write.parquet(f"{root}/raw/load_log")
+    typed = records.where(F.col("kind") == "row").join(loads.select("file_hash", "load_id", "export_type"), "file_hash")
     for export_type in [r.export_type for r in loads.select("export_type").distinct().collect()]:
         rows = typed.where(F.col("export_type") == export_type)
         cells = [F.col("fields")[i].alias(n) for i, n in enumerate(rules.LAYOUTS[export_type])]
@@ -87,13 +114,28 @@ def load_files(files: DataFrame, root: str) -> DataFrame:
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("load_id").parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}"))
 
-    sizes = records.groupBy("file_hash").agg(F.count_if(F.col("kind") == "row").cast("int").alias("row_count"))
-    added = materialize(loads.join(sizes, "file_hash").select(
+    added = materialize(loads.select(
         "load_id", "source_file", "file_hash", "export_type", "row_count",
         F.current_timestamp().alias("loaded_at")).coalesce(1))
     added.write.mode("append").parquet(f"{root}/raw/load_log")
     return added
 
 
-def load_folder(spark: SparkSession, folder: str, root: str) -> DataFrame:
-    return load_files(exports.scan_folder(spark, folder), root)
+def record_refusals(refused: DataFrame, root: str) -> None:
+    """Append refusals that are not on record yet; a file with several faults keeps all reasons."""
+    seen = read_refusals(refused.sparkSession, root)
+    fresh = refused.join(seen.select("file_hash"), "file_hash", "left_anti").select(
+        "source_file", "file_hash", "reason", F.current_timestamp().alias("refused_at"))
+    fresh.write.mode("append").parquet(f"{root}/raw/refused")
+
+
+def load_folder(spark: SparkSession, folder: str, root: str, strict: bool = False) -> DataFrame:
+    """Load a folder's new exports. With ``strict``, raise afterwards if it holds a refused file."""
+    files = exports.scan_folder(spark, folder)
+    added = load_files(files, root)
+    if strict:
+        here = read_refusals(spark, root).join(files.select("file_hash"), "file_hash", "left_semi")
+        some = here.orderBy("source_file").limit(5).collect()
+        if some:  # all of them are on record; the message names a few
+            raise RefusedExport(f"{here.count()} refusals: " + "; ".join(f"{r.source_file}: {r.reason}" for r in some))
+    return added
