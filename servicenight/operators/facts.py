@@ -62,14 +62,22 @@ def order_facts(placed: DataFrame, seating_units: DataFrame) -> DataFrame:
         "in_time_metrics", "vpcpm", "tpcpm")
 
 
-def item_facts(items: DataFrame, orders: DataFrame, menu_items: DataFrame) -> DataFrame:
-    """One row per item selection; a sale whose order is unknown is dated by its own sent day."""
+def dated_items(items: DataFrame, orders: DataFrame, days: tuple | None = None) -> DataFrame:
+    """Item selections with their order's opening and the day they count for, inside ``days`` if given.
+
+    A sale whose order is unknown is dated by its own sent day.
+    """
     order = orders.select(F.col("order_id").alias("_order"), "opened_at", "service_date")
-    priced = price_in_force(items, menu_items, ("menu_item_key",))
-    linked = priced.join(order, F.col("order_id") == F.col("_order"), "left")
-    day = F.coalesce("service_date", "sday")
+    linked = items.withColumn("sday", calendar.service_date(F.col("sent_at"))).join(
+        order, F.col("order_id") == F.col("_order"), "left").withColumn("day", F.coalesce("service_date", "sday"))
+    return linked if days is None else linked.where(F.col("day").between(F.lit(days[0]), F.lit(days[1])))
+
+
+def item_facts(items: DataFrame, orders: DataFrame, menu_items: DataFrame, days: tuple | None = None) -> DataFrame:
+    """One row per item selection, of the given days where they are given."""
+    linked = price_in_force(dated_items(items, orders, days), menu_items, ("menu_item_key",))
     return linked.select(
-        "item_selection_id", "order_id", "check_id", calendar.date_key(day).alias("date_key"),
+        "item_selection_id", "order_id", "check_id", calendar.date_key(F.col("day")).alias("date_key"),
         "menu_item_key", "sent_at",
         measures.minutes_after(F.col("opened_at"), F.col("sent_at")).alias("minutes_after_open"),
         "qty", "gross_price", "discount", "net_price", "is_void")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.functions import calendar
+from servicenight.session import small_table
 
 FIRST_HOUR, LAST_HOUR = rules.NIGHT_HOURS
 
@@ -53,14 +54,26 @@ def unplaced_revenue(orders: DataFrame) -> DataFrame:
 
 
 def mean_by_hour(orders: DataFrame, window: tuple[dt.date, dt.date]) -> DataFrame:
-    """Mean revenue per night by weekday and hour; a night that earned nothing in an hour counts as zero."""
+    """Mean revenue per night for every trading day and hour of the night.
+
+    A night that earned nothing in an hour counts as zero, and so does an hour nobody sat in;
+    a weekday without any night has no mean.
+    """
     seated = seated_on_trading_days(orders).where(
         F.col("service_date").between(F.lit(window[0]), F.lit(window[1])))
     nights = seated.groupBy("day_name").agg(F.countDistinct("service_date").alias("nights"))
     totals = revenue_by_hour(seated).groupBy("day_name", "hour").agg(F.sum("revenue").alias("revenue"))
-    return totals.join(nights, "day_name").select(
-        "day_name", "hour", calendar.hour_span(F.col("hour")).alias("span"), "nights",
-        (F.col("revenue") / F.col("nights")).alias("per_night"))
+    cells = every_cell(orders.sparkSession, range(FIRST_HOUR, LAST_HOUR + 1))
+    nights_seen = F.coalesce("nights", F.lit(0))
+    return cells.join(nights, "day_name", "left").join(totals, ["day_name", "hour"], "left").select(
+        "day_name", "hour", calendar.hour_span(F.col("hour")).alias("span"), nights_seen.alias("nights"),
+        (F.coalesce("revenue", F.lit(0.0)) / F.nullif(nights_seen, F.lit(0))).alias("per_night"))
+
+
+def every_cell(spark: SparkSession, hours) -> DataFrame:
+    """One row per trading day and hour."""
+    rows = [(day, int(hour)) for day in rules.TRADING_DAYS for hour in hours]
+    return small_table(spark, rows, "day_name string, hour int")
 
 
 def edge_comparison(orders: DataFrame, windows: dict[str, tuple[dt.date, dt.date]],
@@ -72,9 +85,10 @@ def edge_comparison(orders: DataFrame, windows: dict[str, tuple[dt.date, dt.date
         F.countDistinct(F.when(test, F.col("service_date"))).alias(f"_{n}") for n, test in inside.items()])
     sums = revenue_by_hour(seated).where(F.col("hour").isin(list(hours))).groupBy("day_name", "hour").agg(*[
         F.coalesce(F.sum(F.when(test, F.col("revenue"))), F.lit(0.0)).alias(n) for n, test in inside.items()])
-    return sums.join(nights, "day_name").select(
+    cells = every_cell(orders.sparkSession, hours)
+    return cells.join(nights, "day_name", "left").join(sums, ["day_name", "hour"], "left").select(
         "day_name", "hour",
-        *[(F.col(n) / F.nullif(F.col(f"_{n}"), F.lit(0))).alias(n) for n in windows])
+        *[(F.coalesce(n, F.lit(0.0)) / F.nullif(F.col(f"_{n}"), F.lit(0))).alias(n) for n in windows])
 
 
 def edge_shares(hourly: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from servicenight import rules
@@ -12,21 +10,18 @@ from servicenight.functions import measures
 NO_CATEGORY = "(none)"
 
 
-def item_sales(item_facts: DataFrame, menu_items: DataFrame, dates: DataFrame,
-               order_facts: DataFrame) -> DataFrame:
-    """Sales that were not voided with their menu attributes, date and order context."""
+def item_sales(item_facts: DataFrame, menu_items: DataFrame, dates: DataFrame) -> DataFrame:
+    """Sales that were not voided, inside the calendar, with their menu attributes and date."""
     menu = menu_items.select("menu_item_key", "menu_item", "menu_group", "menu", "sales_category", "list_price")
-    order = order_facts.select("order_id", "order_type", "guests", "guests_implausible")
     facts = item_facts.where(~F.col("is_void")).select(
         "item_selection_id", "order_id", "date_key", "menu_item_key", "qty", "net_price", "gross_price")
-    return (facts.join(menu, "menu_item_key")
-            .join(dates.select("date_key", "service_date"), "date_key")
-            .join(order, "order_id", "left")
+    return (facts.join(menu, "menu_item_key").join(dates.select("date_key", "service_date"), "date_key")
             .withColumn("sales_category", F.coalesce("sales_category", F.lit(NO_CATEGORY))))
 
 
-def between(sales: DataFrame, window: tuple[dt.date, dt.date]) -> DataFrame:
-    return sales.where(F.col("service_date").between(F.lit(window[0]), F.lit(window[1])))
+def with_order_context(sales: DataFrame, order_facts: DataFrame) -> DataFrame:
+    """Order type and guests beside each sale, for the reports that ask who sat there."""
+    return sales.join(order_facts.select("order_id", "order_type", "guests", "guests_implausible"), "order_id", "left")
 
 
 def sales_totals(sales: DataFrame) -> DataFrame:

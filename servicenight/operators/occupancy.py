@@ -88,15 +88,17 @@ def utilization_by_slot(occupancy: DataFrame, sections: list[str], table_count:
 
 def unit_peak_share(occupancy: DataFrame, units: DataFrame, slots: tuple[int, int] = rules.PEAK_SLOTS
                     ) -> DataFrame:
-    """Share of open peak slots in which a unit was taken, per unit with any use at all."""
+    """Share of open peak slots in which a unit was taken; a unit nobody used has a share of zero."""
     peak = occupancy.where(F.col("slot").between(*slots))
     cells = peak.select("service_date", "slot", "table_code").distinct()
     open_slots = cells.select("service_date", "slot").distinct().agg(F.count(F.lit(1))).scalar()
     codes = units.select(F.col("code").alias("table_code"), "seating_unit").where("seating_unit is not null")
-    busy = cells.join(codes, "table_code").select("seating_unit", "service_date", "slot").distinct()
-    return busy.groupBy("seating_unit").agg(F.count(F.lit(1)).alias("busy_slots")).select(
+    busy = (cells.join(codes, "table_code").select("seating_unit", "service_date", "slot").distinct()
+            .groupBy("seating_unit").agg(F.count(F.lit(1)).alias("busy")))
+    every = codes.select("seating_unit").distinct().join(busy, "seating_unit", "left")
+    return every.select("seating_unit", F.coalesce("busy", F.lit(0)).alias("busy_slots")).select(
         "seating_unit", "busy_slots",
-        (F.lit(100.0) * F.col("busy_slots") / open_slots).alias("peak_pct"))
+        (F.lit(100.0) * F.col("busy_slots") / F.nullif(open_slots, F.lit(0))).alias("peak_pct"))
 
 
 def hour_shape(occupancy: DataFrame, nights: DataFrame) -> DataFrame:

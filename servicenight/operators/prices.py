@@ -1,8 +1,8 @@
 """Price history inferred from what was sold (Type 2).
 
-One pass reduces the sales to counts per item, month and price; every later step works
-on that summary, whose size depends on the menu and the calendar, not on the sales. So
-an item with a third of all sales costs no more than any other.
+One pass reduces the sales to counts per item, day, price and attributes; the history and its
+descriptions work on that summary, whose size depends on the menu and the calendar, not on the
+sales. So an item with a third of all sales costs no more than any other.
 """
 
 from __future__ import annotations
@@ -40,6 +40,25 @@ def stored_price_counts(items: DataFrame) -> DataFrame:
     return materialize(price_counts(items))
 
 
+ATTRIBUTES = ["menu_group", "menu", "sales_category"]
+
+
+def daily_sales(items: DataFrame) -> DataFrame:
+    """Sales per item, service day, month sent, price and attributes; version bounds are service days."""
+    clean = is_clean_sale()
+    return items.groupBy(
+        "menu_item", calendar.service_date(F.col("sent_at")).alias("sday"),
+        F.to_date(F.trunc("sent_at", "month")).alias("month"), F.col("gross_price").alias("price"), *ATTRIBUTES,
+    ).agg(F.count(F.lit(1)).alias("sales"), F.count(F.when(clean, 1)).alias("n"),
+          F.min(F.when(clean, F.col("sent_at"))).alias("first_sale"), F.min("sent_at").alias("first_any"))
+
+
+def counts_of_days(daily: DataFrame) -> DataFrame:
+    """``price_counts`` from daily sales."""
+    return daily.groupBy("menu_item", "month", "price").agg(
+        F.sum("n").alias("n"), F.min("first_sale").alias("first_sale"), F.min("first_any").alias("first_any"))
+
+
 def established_prices(counts: DataFrame) -> DataFrame:
     """Months in which one price is more than half of at least three clean sales."""
     best = F.max_by(F.struct("price", "first_sale", "n"), F.struct("n", F.col("price").alias("p")))
@@ -103,28 +122,27 @@ def version_months(menu_items: DataFrame, last: Column) -> DataFrame:
 
 def price_in_force(items: DataFrame, menu_items: DataFrame, carry: tuple[str, ...] = ("menu_item_key", "list_price")
                    ) -> DataFrame:
-    """Each sale with the price version of its item on the service day it was sent."""
+    """Each sale with the price version of its item on its service day (``sday``, else that of ``sent_at``)."""
     last = menu_items.agg(F.max("valid_from")).scalar()
     version = version_months(menu_items, last).select(
         F.col("menu_item").alias("_item"), "_month", *carry, "valid_from", "valid_to")
     # after the last change only open versions are left, and all of them reach its month
-    dated = items.withColumn("sday", calendar.service_date(F.col("sent_at"))).withColumn(
-        "_sold", F.trunc(F.least(F.col("sday"), last), "month"))
+    dated = items if "sday" in items.columns else items.withColumn("sday", calendar.service_date(F.col("sent_at")))
+    dated = dated.withColumn("_sold", F.trunc(F.least(F.col("sday"), last), "month"))
     return dated.join(
         version, (F.col("menu_item") == F.col("_item")) & (F.col("_sold") == F.col("_month"))
         & in_force(F.col("sday"), F.col("valid_from"), F.col("valid_to"))
     ).drop("_item", "_month", "_sold", "valid_from", "valid_to")
 
 
-def describe_versions(versions: DataFrame, items: DataFrame) -> DataFrame:
+def describe_versions(versions: DataFrame, daily: DataFrame) -> DataFrame:
     """Most frequent group, menu and category during each version; ties go to the smallest."""
-    attributes = ["menu_group", "menu", "sales_category"]
+    attributes = ATTRIBUTES
     key = ["menu_item", "valid_from"]
     dated = versions.withColumn("_since", F.col("valid_from"))
-    # counts per version and combination of attributes leave each task before any shuffle
-    during = (price_in_force(items, dated, ("_since",))
+    during = (price_in_force(daily, dated, ("_since",))
               .groupBy("menu_item", F.col("_since").alias("valid_from"), *attributes)
-              .agg(F.count(F.lit(1)).alias("n")))
+              .agg(F.sum("sales").alias("n")))
     long = during.select(*key, "n", F.explode(F.array(*[
         F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])).alias("x"))
     counted = (long.where("x.value is not null").groupBy(*key, "x.attribute", "x.value")
@@ -140,8 +158,9 @@ def _most_frequent(attribute: str) -> Column:
 
 def menu_item_dimension(items: DataFrame) -> DataFrame:
     """The price-version dimension, keyed 1..n by item and start."""
-    versions = materialize(price_versions(stored_price_counts(items)))
-    described = versions.join(describe_versions(versions, items), ["menu_item", "valid_from"], "left")
+    daily = materialize(daily_sales(items))
+    versions = materialize(price_versions(counts_of_days(daily)))
+    described = versions.join(describe_versions(versions, daily), ["menu_item", "valid_from"], "left")
     rows = described.select("menu_item", "menu_group", "menu", "sales_category", "list_price",
                             "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
     return number_rows(rows, [F.col("menu_item"), F.col("valid_from")], "menu_item_key")

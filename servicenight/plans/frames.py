@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
+from servicenight import rules
 from servicenight.functions import measures
 from servicenight.operators import (cleaning, facts, floorplan, menu, merge, occupancy, prices, rates,
                                     trend, turns)
@@ -48,14 +51,20 @@ def menu_items(spark: SparkSession, sf: str) -> DataFrame:
     return prices.menu_item_dimension(standins.items(spark, sf))
 
 
-def item_facts(spark: SparkSession, sf: str, menu_dim: DataFrame) -> DataFrame:
-    return facts.item_facts(standins.items(spark, sf), standins.orders(spark, sf), menu_dim)
+def item_facts(spark: SparkSession, sf: str, menu_dim: DataFrame, days: tuple | None = None) -> DataFrame:
+    return facts.item_facts(standins.items(spark, sf), standins.orders(spark, sf), menu_dim, days)
 
 
-def sales(spark: SparkSession, sf: str, menu_dim: DataFrame | None = None) -> DataFrame:
+def sales(spark: SparkSession, sf: str, menu_dim: DataFrame | None = None, days: tuple | None = None) -> DataFrame:
     menu_dim = menu_dim or menu_items(spark, sf)
-    return menu.item_sales(item_facts(spark, sf, menu_dim), menu_dim, dates(spark, sf),
-                           order_facts(spark, sf))
+    return menu.item_sales(item_facts(spark, sf, menu_dim, days), menu_dim, dates(spark, sf))
+
+
+def guest_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales of the compared years with their order's type and guests."""
+    first, last = rules.COMPARED_YEARS
+    days = (dt.date(first, 1, 1), dt.date(last, 12, 31))
+    return menu.with_order_context(sales(spark, sf, days=days), order_facts(spark, sf))
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ from servicenight.plans import frames, standins as S, upsert  # noqa: F401  (def
 from servicenight.plans.registry import query
 from servicenight.plans.sql_base import b, f, i, sql
 from servicenight.plans.service import _BLOCKS
+from servicenight.session import small_table
 
 
 @query("check_unique_ids", sql(f"""
@@ -27,6 +28,18 @@ def check_clocks(spark, sf):
     return checks.unparsed_clocks(staging.stage_orders(raw), raw)
 
 
+@query("check_broken_clocks", sql(f"""
+SELECT {i('count(*) FILTER (WHERE order_id % 77 = 0)', 'opened_missing')},
+  {i('count(*) FILTER (WHERE order_id % 91 = 0 AND closed_at IS NOT NULL)', 'closed_unparsed')} FROM v_orders"""))
+def check_broken_clocks(spark, sf):
+    """The same check where some exports wrote clocks in another form."""
+    key = F.col("`Order Id`").cast("bigint")
+    raw = S.raw_orders(spark, sf).withColumns({
+        "Opened": F.when(key % 77 == 0, F.lit("2026-01-05 19:00")).otherwise(F.col("Opened")),
+        "Closed": F.when((key % 91 == 0) & (F.col("Closed") != ""), F.lit("later")).otherwise(F.col("Closed"))})
+    return checks.unparsed_clocks(staging.stage_orders(raw), raw)
+
+
 @query("check_item_reconciliation", sql(f"""
 SELECT {i('count(*)', 'compared')}, {i('count(*) FILTER (WHERE amount_c <> items)', 'mismatches')} FROM v_orders
 JOIN (SELECT order_id, sum(net_c) AS items FROM v_items WHERE NOT is_void GROUP BY order_id) USING (order_id)"""))
@@ -92,24 +105,32 @@ def check_units(spark, sf):
 
 @query("check_section_seats", sql(f"""
 SELECT section, {i('sum(seats)', 'seats')}, {i('count(*)', 'units')}, {i('sum(codes)', 'tables')},
-  {i('max(expected)', 'expected')}, {b('sum(seats) = max(expected)', 'ok')}
-FROM (SELECT section, seating_unit, max(unit_capacity) AS seats, count(DISTINCT table_code) AS codes,
+  {i('max(expected)', 'expected')}, {b('sum(seats) = max(expected)', 'ok')}, {i('sum(visits)', 'visits')}
+FROM (SELECT CASE WHEN code LIKE 'BD%' THEN 'Black Duck' WHEN code LIKE 'B%' THEN 'Bar' WHEN code LIKE 'E%' THEN 'Evangeline' ELSE 'Open Lounge' END AS section,
+        seating_unit, max(u.unit_capacity) AS seats, count(s.capacity_max) AS codes, sum(coalesce(v.n, 0)) AS visits,
         CASE section WHEN 'Open Lounge' THEN 22 WHEN 'Black Duck' THEN 14 WHEN 'Evangeline' THEN 10 WHEN 'Bar' THEN 12 END AS expected
-      FROM t_clean WHERE capacity_max IS NOT NULL GROUP BY section, seating_unit) GROUP BY section"""))
+      FROM units u LEFT JOIN solo s USING (code)
+      LEFT JOIN (SELECT table_code AS code, count(*) AS n FROM t_clean GROUP BY table_code) v USING (code)
+      GROUP BY section, seating_unit) GROUP BY section"""))
 def check_section_seats(spark, sf):
-    """Seats, units and tables per section, over the codes in use, against the known totals."""
-    used = frames.cleaned(spark, sf).select("table_code").distinct()
-    units = floorplan.unit_dimension(spark).join(used, F.col("code") == F.col("table_code"), "left_semi")
-    return checks.section_seat_totals(units)
+    """Seats, units and tables per section of the whole unit map against the known totals, and its visits."""
+    units = floorplan.unit_dimension(spark)
+    visits = frames.cleaned(spark, sf).join(units, F.col("table_code") == F.col("code")).groupBy("unit_section").agg(
+        F.count(F.lit(1)).alias("visits"))
+    return checks.section_seat_totals(units).join(visits, F.col("section") == F.col("unit_section"), "left").drop(
+        "unit_section").fillna(0, ["visits"])
 
 
 @query("check_one_unit_per_code", sql(f"""
-SELECT table_code AS code, {i('count(DISTINCT seating_unit)', 'units')} FROM t_clean
-WHERE table_code IS NOT NULL GROUP BY table_code HAVING count(DISTINCT seating_unit) <> 1"""))
+SELECT code, {i('count(DISTINCT seating_unit)', 'units')} FROM (
+  SELECT table_code AS code, seating_unit FROM t_clean WHERE table_code IS NOT NULL
+  UNION ALL SELECT code, seating_unit FROM solo LEFT JOIN units USING (code))
+GROUP BY code HAVING count(DISTINCT seating_unit) <> 1"""))
 def check_one_unit_per_code(spark, sf):
-    """Codes in use that do not belong to exactly one unit."""
-    used = frames.cleaned(spark, sf).where("table_code is not null").select("table_code").distinct()
+    """Codes in use or with a capacity that do not belong to exactly one unit."""
     units = floorplan.unit_dimension(spark)
+    known = small_table(spark, [(code,) for code, _, _ in rules.SOLO_CAPACITY], "table_code string")
+    used = frames.cleaned(spark, sf).where("table_code is not null").select("table_code").union(known).distinct()
     rows = used.join(units, F.col("code") == F.col("table_code"), "left").select(
         F.col("table_code").alias("code"), "seating_unit")
     return checks.codes_in_several_units(rows)

@@ -73,7 +73,7 @@ SELECT {f('sum(net_c) / 100.0', 'net')}, {f('sum(halves) / 2.0', 'units')},
   {i('count(DISTINCT menu_item)', 'items')} FROM v_year_sales"""))
 def item_sales_totals(spark, sf):
     """Net sales, units and distinct items of the latest year."""
-    return menu.sales_totals(menu.between(frames.sales(spark, sf), rules.REPORT_YEAR))
+    return menu.sales_totals(frames.sales(spark, sf, days=rules.REPORT_YEAR))
 
 
 _MIX = (f"{f('net / 100.0', 'net')}, {f('halves / 2.0', 'units')}, "
@@ -86,7 +86,7 @@ SELECT sales_category, {_MIX} FROM (SELECT sales_category, sum(net_c) AS net, su
   (SELECT sum(net_c) FROM v_year_sales) AS total FROM v_year_sales GROUP BY sales_category)"""))
 def category_mix(spark, sf):
     """Net sales, share and average per unit by category."""
-    return menu.category_mix(menu.between(frames.sales(spark, sf), rules.REPORT_YEAR))
+    return menu.category_mix(frames.sales(spark, sf, days=rules.REPORT_YEAR))
 
 
 @query("uncategorised_items", sql(f"""
@@ -94,7 +94,7 @@ SELECT menu_item, {f('sum(net_c) / 100.0', 'net')} FROM v_year_sales WHERE sales
 GROUP BY menu_item ORDER BY sum(net_c) DESC, menu_item LIMIT 6"""))
 def uncategorised_items(spark, sf):
     """Largest items without a sales category."""
-    return menu.uncategorised_items(menu.between(frames.sales(spark, sf), rules.REPORT_YEAR))
+    return menu.uncategorised_items(frames.sales(spark, sf, days=rules.REPORT_YEAR))
 
 
 @query("top_items", sql(f"""
@@ -105,7 +105,7 @@ SELECT menu_item, sales_category, {_MIX},
   FROM v_year_sales GROUP BY menu_item, sales_category ORDER BY net DESC, menu_item, sales_category LIMIT 20)"""))
 def top_items(spark, sf):
     """The twenty biggest items by net sales."""
-    return menu.top_items(menu.between(frames.sales(spark, sf), rules.REPORT_YEAR))
+    return menu.top_items(frames.sales(spark, sf, days=rules.REPORT_YEAR))
 
 
 @query("per_guest_rates", sql(f"""
@@ -122,7 +122,7 @@ JOIN (SELECT year(service_date) AS year, sum(halves) AS halves, sum(net_c) AS ne
       FROM v_guest_sales WHERE year(service_date) IN (2025, 2026) GROUP BY 1) USING (year)"""))
 def per_guest_rates(spark, sf):
     """Spend, items, drinks and food per seated guest in both summers."""
-    return menu.per_guest_rates(frames.sales(spark, sf), frames.order_facts(spark, sf), frames.dates(spark, sf))
+    return menu.per_guest_rates(frames.guest_sales(spark, sf), frames.order_facts(spark, sf), frames.dates(spark, sf))
 
 
 _BOTH = """(SELECT menu_item, sum(halves) FILTER (WHERE y = 2025) / 2.0::DOUBLE AS u25,
@@ -136,7 +136,7 @@ SELECT menu_item, {f('u25', 'units_base')}, {f('n25', 'net_base')}, {f('u26', 'u
 FROM {_BOTH} WHERE u25 >= 20 AND u26 >= 20"""))
 def items_in_both_periods(spark, sf):
     """Items that sold enough in the compared months of both years."""
-    return menu.both_periods(frames.sales(spark, sf))
+    return menu.both_periods(frames.guest_sales(spark, sf))
 
 
 @query("like_for_like_prices", sql(f"""
@@ -146,7 +146,7 @@ SELECT {i('count(*)', 'items')}, {f('sum(n25)', 'base_net')},
 FROM {_BOTH} WHERE u25 >= 20 AND u26 >= 20"""))
 def like_for_like_prices(spark, sf):
     """Price index over items sold in both summers, weighted by base units."""
-    return menu.like_for_like(frames.sales(spark, sf))
+    return menu.like_for_like(frames.guest_sales(spark, sf))
 
 
 _STEPS = """(SELECT menu_item, valid_from, price_c,

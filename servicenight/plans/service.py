@@ -231,9 +231,10 @@ _PEAK_SLOTS = f"slot BETWEEN {rules.PEAK_SLOTS[0]} AND {rules.PEAK_SLOTS[1]}"
 
 
 @query("unit_peak_share", sql(f"""
-SELECT seating_unit, {i('count(DISTINCT (service_date, slot))', 'busy_slots')},
-  {f(f'100.0::DOUBLE * count(DISTINCT (service_date, slot)) / (SELECT count(DISTINCT (service_date, slot)) FROM t_occ WHERE {_PEAK_SLOTS})', 'peak_pct')}
-FROM t_occ WHERE {_PEAK_SLOTS} AND seating_unit IS NOT NULL GROUP BY seating_unit"""))
+SELECT seating_unit, {i('busy', 'busy_slots')}, {f('100.0::DOUBLE * busy / open', 'peak_pct')} FROM (
+  SELECT u.seating_unit, count(DISTINCT CASE WHEN t.slot IS NOT NULL THEN (t.service_date, t.slot) END) AS busy,
+    (SELECT nullif(count(DISTINCT (service_date, slot)), 0) FROM t_occ WHERE {_PEAK_SLOTS}) AS open
+  FROM units u LEFT JOIN (SELECT * FROM t_occ WHERE {_PEAK_SLOTS}) t ON t.table_code = u.code GROUP BY u.seating_unit)"""))
 def unit_peak_share(spark, sf):
     """How often each unit is taken between 7 and 11 PM."""
     return occupancy.unit_peak_share(frames.timeline(spark, sf), floorplan.unit_dimension(spark))

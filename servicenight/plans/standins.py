@@ -26,6 +26,7 @@ ITEM_FILES = {"A": "ItemSelectionDetails_2025_01_01-2026_01_31.csv",
 PULL_FILES = ["OrderDetails_undated.csv", "OrderDetails_2026_01_01-2026_02_15.csv",
               "OrderDetails_2026_02_01-2026_03_05.csv"]
 FILE_ROWS = 500
+DARK_DAYS = [3, 4, 5, 11, 12, 20]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -203,8 +204,10 @@ def pull_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = (F.expr("ts - make_dt_interval(0, 0, minute(ts), extract(second from ts))")
               + F.expr(f"interval {VISIT_SHIFT_DAYS} days"))
     value = F.round(F.col("value") * 100).cast("bigint")
+    # days without any row, alone and in runs
+    dark = (F.datediff("ts", F.lit("2000-01-01")) % 29).isin(DARK_DAYS)
     covered = F.filter(F.array(*[F.lit(p) for p in range(3)]),
-                       lambda p: F.dayofmonth("ts").between(p * 10, p * 10 + 12))
+                       lambda p: F.dayofmonth("ts").between(p * 10, p * 10 + 12) & ~dark)
     rows = e.withColumn("pull_rank", F.explode(covered)).withColumn(
         "source_chunk", F.explode(F.sequence(F.lit(0), F.when(key % 40 == 0, 1).otherwise(0))))
     return rows.select(

@@ -23,7 +23,8 @@ SELECT {literal(S.PULL_FILES)}[pull_rank + 1] AS source_file, pull_rank, chunk A
   CASE WHEN event_id % 5 = 0 AND pull_rank > 0 THEN NULL ELSE pull_rank * 100 + event_id % 9 END AS tip_c,
   0 AS gratuity_c, date_trunc('hour', ts) + INTERVAL {S.VISIT_SHIFT_DAYS} DAY + to_days(CAST(pull_rank AS INTEGER)) AS closed,
   CASE WHEN pull_rank <> 1 THEN printf('1:%02d:00', event_id % 60) END AS duration_text
-FROM events e JOIN (VALUES (0), (1), (2)) AS p(pull_rank) ON day(ts) BETWEEN pull_rank * 10 AND pull_rank * 10 + 12,
+FROM events e JOIN (VALUES (0), (1), (2)) AS p(pull_rank) ON day(ts) BETWEEN pull_rank * 10 AND pull_rank * 10 + 12
+  AND (CAST(ts AS DATE) - DATE '2000-01-01') % 29 NOT IN ({', '.join(map(str, S.DARK_DAYS))}),
   LATERAL (SELECT unnest(range(0, CASE WHEN e.event_id % 40 = 0 THEN 2 ELSE 1 END)) AS chunk)""")
 cte("u_pulls", f"""
 SELECT *, row_number() OVER (PARTITION BY source_file, opened, coalesce(table_code, ''), coalesce(guests, -1)
@@ -111,6 +112,15 @@ def merge_lost_identities(spark, sf):
     return merge.lost_identities(rows, merge.merge_pulls(rows))
 
 
+@query("partial_merge_lost_identities", sql(f"""
+SELECT source_file, {_KEY} FROM u_pulls p WHERE NOT EXISTS (SELECT 1 FROM u_pulls m WHERE m.pull_rank < 2 AND m.k_opened = p.k_opened
+  AND m.k_table = p.k_table AND m.k_guests = p.k_guests AND m.occurrence = p.occurrence)"""))
+def partial_merge_lost_identities(spark, sf):
+    """Orders that a merge without the last pull would lose."""
+    rows = frames.pulls(spark, sf)
+    return merge.lost_identities(rows, merge.merge_pulls(rows.where("pull_rank < 2")))
+
+
 @query("merge_export_form", sql(f"""
 SELECT strftime(opened, '%m/%d/%y %I:%M %p') AS "Opened", {i('guests', '"# of Guests"')}, table_code AS "Table",
   {f('discount_c / 100.0', '"Discount Amount"')}, {f('amount_c / 100.0', '"Amount"')}, {f('tip_c / 100.0', '"Tip"')},
@@ -124,31 +134,29 @@ def merge_export_form(spark, sf):
     return merge.export_form(merged.withColumn("total", total.cast("decimal(12,2)")))
 
 
-# The days one table was used leave runs and gaps of every length.
-_E3_DAYS = """(SELECT DISTINCT CAST(opened_at - INTERVAL 4 HOUR AS DATE) AS day FROM v_orders
-  WHERE table_code = 'E3')"""
+_MERGED_DAYS = "(SELECT DISTINCT CAST(opened - INTERVAL 4 HOUR AS DATE) AS day FROM u_merged)"
 _RUNS = """SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM (
   SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM {days} AS q) GROUP BY island"""
 
 
-def _table_days(spark, sf):
-    return S.orders(spark, sf).where(F.col("table_code") == "E3").select("service_date")
+def _merged_days(spark, sf):
+    return merge.with_service_date(merge.merge_pulls(frames.pulls(spark, sf)))
 
 
 @query("contiguous_runs", sql(f"""
-SELECT {d('first_day')}, {d('last_day')}, {i('days')} FROM ({_RUNS.format(days=_E3_DAYS)})"""))
+SELECT {d('first_day')}, {d('last_day')}, {i('days')} FROM ({_RUNS.format(days=_MERGED_DAYS)})"""))
 def contiguous_runs(spark, sf):
-    """Runs of consecutive days on which the large table was used."""
-    return merge.contiguous_runs(_table_days(spark, sf))
+    """Runs of consecutive service days that the merged set covers."""
+    return merge.contiguous_runs(_merged_days(spark, sf))
 
 
 @query("missing_runs", sql(f"""
 SELECT {d('first_day')}, {d('last_day')}, {i('days')} FROM ({_RUNS.format(days=f'''(
-  SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS x FROM {_E3_DAYS} AS e)
-  WHERE CAST(x AS DATE) NOT IN (SELECT day FROM {_E3_DAYS} AS e))''')}) WHERE days >= 2"""))
+  SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS x FROM {_MERGED_DAYS} AS e)
+  WHERE CAST(x AS DATE) NOT IN (SELECT day FROM {_MERGED_DAYS} AS e))''')}) WHERE days >= 2"""))
 def missing_runs(spark, sf):
-    """Runs of at least two days on which it was not."""
-    return merge.missing_runs(_table_days(spark, sf))
+    """Runs of at least two service days that no pull covers."""
+    return merge.missing_runs(_merged_days(spark, sf))
 
 
 @query("days_without_duration", sql(f"""

@@ -243,11 +243,17 @@ def revenue_by_hour(spark, sf):
     return hours.revenue_by_hour(hours.seated_on_trading_days(frames.typed_orders(spark, sf)))
 
 
+def _cells(hours) -> str:
+    return f"SELECT unnest({literal(rules.TRADING_DAYS)}) AS day_name, hour FROM (SELECT unnest({literal(list(hours))}) AS hour)"
+
+
 def _per_night(window) -> str:
-    return f"""SELECT day_name, hour, nights, sum(revenue) / nights AS per_night FROM HOURLY AS h
-      JOIN (SELECT day_name, count(DISTINCT service_date) AS nights FROM seated_days AS q
-            WHERE {_between(window)} GROUP BY day_name) USING (day_name)
-      WHERE {_between(window)} GROUP BY day_name, hour, nights"""
+    return f"""SELECT c.day_name, c.hour, coalesce(n.nights, 0) AS nights, coalesce(t.revenue, 0) / nullif(coalesce(n.nights, 0), 0) AS per_night
+      FROM ({_cells(range(rules.NIGHT_HOURS[0], rules.NIGHT_HOURS[1] + 1))}) c
+      LEFT JOIN (SELECT day_name, count(DISTINCT service_date) AS nights FROM seated_days AS q
+            WHERE {_between(window)} GROUP BY day_name) n USING (day_name)
+      LEFT JOIN (SELECT day_name, hour, sum(revenue) AS revenue FROM HOURLY AS h
+            WHERE {_between(window)} GROUP BY day_name, hour) t ON t.day_name = c.day_name AND t.hour = c.hour"""
 
 
 _LABEL = ("(CASE WHEN {h} % 12 = 0 THEN 12 ELSE {h} % 12 END)::VARCHAR || "
@@ -275,11 +281,12 @@ _WINDOWS = {"year": rules.REPORT_YEAR, "first_summer": rules.FIRST_SUMMER, "last
 
 
 @query("edge_hours_compared", _hour_sql(f"""
-SELECT day_name, {i('hour')}, {', '.join(f(f'coalesce(sum(revenue) FILTER (WHERE {_between(w)}), 0) / nullif(max(n_{n}), 0)', n)
+SELECT c.day_name, {i('c.hour', 'hour')}, {', '.join(f(f'coalesce(sum(revenue) FILTER (WHERE {_between(w)}), 0) / nullif(max(n_{n}), 0)', n)
   for n, w in _WINDOWS.items())}
-FROM HOURLY AS h JOIN (SELECT day_name, {', '.join(f'count(DISTINCT service_date) FILTER (WHERE {_between(w)}) AS n_{n}'
-  for n, w in _WINDOWS.items())} FROM seated_days AS q GROUP BY day_name) USING (day_name)
-WHERE hour IN (16, 17, 23, 24) GROUP BY day_name, hour"""))
+FROM ({_cells([16, 17, 23, 24])}) c LEFT JOIN HOURLY AS h ON h.day_name = c.day_name AND h.hour = c.hour
+LEFT JOIN (SELECT day_name, {', '.join(f'count(DISTINCT service_date) FILTER (WHERE {_between(w)}) AS n_{n}'
+  for n, w in _WINDOWS.items())} FROM seated_days AS q GROUP BY day_name) n ON n.day_name = c.day_name
+GROUP BY c.day_name, c.hour"""))
 def edge_hours_compared(spark, sf):
     """The first and last hours in three windows."""
     return hours.edge_comparison(frames.typed_orders(spark, sf), _WINDOWS)
