@@ -6,8 +6,9 @@ left out. Two classes whose sets are similar enough agree in ``MATCHES`` coordin
 but a share of about 1e-9 of such pairs do), so they also meet under one of their rarest
 ``COORDINATES - MATCHES + 1`` values: longer lists are skipped. Within a list, classes are first
 compared with the list's most central class alone. Classes that this joins into one component need
-no further comparison; those of different components that share a list are compared pair by pair.
-Every link is confirmed on the full shingle sets.
+no further comparison. A link between two components needs enough shingles that both hold, so each
+class's shingles that other components have are counted, and pairs whose counts cannot reach the
+similarity are skipped. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from servicenight.llm import textvec
-from servicenight.llm.common import stored, text_key, without
+from servicenight.llm.common import same_row, stored, text_key, without
 from servicenight.llm.components import components
 
 SHINGLE = 5
@@ -82,17 +83,17 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def posting_lists(classes: DataFrame) -> DataFrame:
-    """(token, set_id, n_shingles, signature, weight): each class under the rarest values that can matter.
+    """(token, node, n_shingles, signature, weight): each class under the rarest values that can matter.
 
     ``weight`` is how often the class's values occur in all; the heaviest class of a list is its centre.
     """
-    posted = classes.select("set_id", F.posexplode("signature").alias("i", "value")).select(
-        "set_id", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("value").cast("bigint")).alias("token"))
+    posted = classes.select("node", F.posexplode("signature").alias("i", "value")).select(
+        "node", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("value").cast("bigint")).alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    ranked = posted.join(shared, "token").groupBy("set_id").agg(
+    ranked = posted.join(shared, "token").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"), F.sum("n").alias("weight")).where(F.size("tokens") >= MATCHES)
-    prefix = ranked.select("set_id", "weight", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t"))
-    return prefix.select("t.token", "set_id", "weight").join(classes.select("set_id", "n_shingles", "signature"), "set_id")
+    prefix = ranked.select("node", "weight", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t"))
+    return prefix.select("t.token", "node", "weight").join(classes.select("node", "n_shingles", "signature"), "node")
 
 
 def may_link(a: str, b: str) -> Column:
@@ -102,65 +103,94 @@ def may_link(a: str, b: str) -> Column:
     return (100 * small >= PERCENT * large) & (equal >= MATCHES)
 
 
+def enough(common: Column, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes with so many common shingles are similar enough."""
+    return 100 * common >= PERCENT * (a + b - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
 def full_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the given classes, read again from one text of each."""
-    wanted = classes.select("set_id", F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"))
-    texts = documents.select("doc_id", "text").join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (text_key(F.col("text")) == F.col("_text_key"))).select("set_id", "text")
+    """(node, shingles) of the given classes, read again from one text of each."""
+    wanted = classes.select("node", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"))
+    texts = documents.select("doc_id", "text").join(wanted, same_row("class_id", "class_key")).select("node", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textvec.column_bytes(batch.column("text"))
-            values: list[bytes] = []
+            values, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
             for first, last in textvec.steps(offsets):
-                hashes, counts = shingle_sets(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
-                values += [x.tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(values, pa.binary())], ["set_id", "shingles"])
+                hashes, sizes = shingle_sets(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
+                values.append(hashes)
+                counts.append(sizes)
+            places = np.cumsum(np.concatenate(counts)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(values).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "shingles"])
+
+    return texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def links_to_centres(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a list's centre and another member: those compared, and those confirmed."""
+    row = F.struct("node", "n_shingles", "signature")
+    centre = lists.groupBy("token").agg(F.max_by(row, F.struct("weight", "node")).alias("c"))
+    spokes = lists.alias("m").join(centre, "token").where((F.col("c.node") != F.col("m.node")) & may_link("c", "m"))
+    spokes = stored(spokes.select(F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")).distinct())
+    return spokes, stored(confirmed(spokes, sets))
 
-    return texts.mapInArrow(work, "set_id binary, shingles binary").dropDuplicates(["set_id"])
+
+def shared_with_others(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, common): how many of a class's shingles some class of another component has too."""
+    held = members.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+    across = held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    return held.join(across, "shingle").groupBy("node").agg(F.count("*").alias("common"))
+
+
+def links_between_components(lists: DataFrame, sets: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
+    """Confirmed links between classes of one list that the given links leave in different components.
+
+    In each list the classes outside its largest component are compared with the others. A pair
+    is skipped if one class's shingles that other components have are too few for the similarity.
+    """
+    roots = components(links).select("node", "root")
+    rooted = stored(lists.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least"))
+    open_lists = sizes.groupBy("token").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.min("least").alias("least"), F.count("*").alias("roots")).where(F.col("roots") > 1)
+    rest = rooted.join(open_lists.select("token", "largest", "least"), "token")
+    common = shared_with_others(rest.select("node", "root").distinct(), sets)
+    # a class whose shared shingles do not do even with the smallest partner is out
+    rest = stored(rest.join(common, "node").where(enough(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))))
+    x, y = rest.where(F.col("root") != F.col("largest")).alias("x"), rest.alias("y")
+    most = F.least("x.common", "y.common")
+    pairs = x.join(y, "token").where(
+        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
+        & enough(most, F.col("x.n_shingles"), F.col("y.n_shingles")) & may_link("x", "y"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return confirmed(pairs.join(compared, ["a", "b"], "left_anti"), sets)
 
 
 def linked_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes: enough of them to connect whatever is connected."""
     lists = stored(posting_lists(classes))
-    members = lists.select("set_id").distinct().join(classes, "set_id")
-    sets = stored(full_sets(documents, members))
-
-    row = F.struct("set_id", "n_shingles", "signature")
-    centre = lists.groupBy("token").agg(F.max_by(row, F.struct("weight", "set_id")).alias("c"))
-    spokes = lists.alias("m").join(centre, "token").where(
-        (F.col("c.set_id") != F.col("m.set_id")) & may_link("c", "m")).select(F.col("c.set_id").alias("a"), F.col("m.set_id").alias("b"))
-    spokes = stored(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stored(confirmed(spokes, sets))
-
-    # what is left: pairs under one value whose classes the spokes have not joined
-    roots = components(links).select(F.col("node").alias("set_id"), "root")
-    rooted = lists.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
-    open_lists = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where(F.col("roots") > 1)
-    rest = stored(rooted.join(open_lists.select("token", "largest"), "token"))
-    outside = rest.where(F.col("root") != F.col("largest"))
-    pairs = outside.alias("x").join(rest.alias("y"), "token").where(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.set_id") < F.col("y.set_id"))) & may_link("x", "y"))
-    pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    return links.union(confirmed(pairs.join(spokes, ["a", "b"], "left_anti"), sets))
+    sets = stored(full_sets(documents, lists.select("node").distinct().join(classes, "node")))
+    compared, links = links_to_centres(lists, sets)
+    return links.union(links_between_components(lists, sets, links, compared))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -171,10 +201,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     rows = stored(signatures(documents))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    # numbered as they are stored, so the numbers stay
     classes = stored(rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(
-        F.min_by(F.struct("doc_id", "text_key", "n_shingles", "signature"), order).alias("r")).select("set_id", "r.*"))
-    roots = stored(components(linked_classes(documents, classes)).select(F.col("node").alias("set_id"), "root"))
-    rooted = classes.select("set_id", "doc_id").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        F.min_by(F.struct("doc_id", "text_key", "n_shingles", "signature"), order).alias("r")).select(
+        "set_id", "r.*", F.monotonically_increasing_id().alias("node")))
+    roots = components(linked_classes(documents, classes))
+    rooted = classes.select("set_id", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").select(F.col("set_id").alias("_set"), "component_id")
     return rows.join(named, F.col("set_id") == F.col("_set"), "left").select(
