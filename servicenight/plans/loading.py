@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from servicenight import rules
-from servicenight.sources import exports, ledger
+from servicenight.session import ensure_checkpoint_dir, materialize
+from servicenight.sources import exports, ledger, warehouse
 from servicenight.plans import standins as S
 from servicenight.plans.registry import query
-from servicenight.plans.sql_base import cte, i, money, sql, t
+from servicenight.plans.sql_base import b, cte, f, i, money, sql, t
 
 _HEADER = ",".join(rules.LAYOUTS["C"])
 _MONEY = "printf('%d.%02d', {c} // 100, {c} % 100)"
@@ -106,3 +109,80 @@ def legacy_rows(spark, sf):
     records = exports.parse_files(_files(spark, sf))
     return exports.legacy_rows(records).select(
         "source_file", "source_row_number", "opened", "guests", "table_code", "amount", "total")
+
+
+# --- a warehouse loaded and refreshed from these files -----------------------------------------------
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _warehouse(spark, sf) -> str:
+    """A warehouse of the export files of ``sf``, built once per application under the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        root = f"{ensure_checkpoint_dir(spark)}/warehouse-{uuid.uuid4().hex}"
+        files = S.export_files(spark, sf).unionByName(S.item_files(spark, sf))
+        ledger.load_files(exports.describe_files(files), root)
+        warehouse.refresh(spark, root)
+        _BUILT[key] = root
+    return _BUILT[key]
+
+
+cte("x_items", """
+SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey, l_orderkey % 300 + 1 AS number, l_suppkey, sent_at, menu_item, price_c, discount_c,
+  halves, net_c, is_void, l_partkey
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) AS nth
+      FROM (SELECT i.*, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax, l.l_shipdate FROM lineitem l JOIN v_items i
+            ON i.l_orderkey = l.l_orderkey AND i.item_selection_id = l.l_orderkey * 10 + l.l_linenumber AND i.l_partkey = l.l_partkey
+              AND i.l_suppkey = l.l_suppkey AND i.l_extendedprice = l.l_extendedprice AND i.l_returnflag = l.l_returnflag AND i.l_linestatus = l.l_linestatus))
+WHERE nth = 1""")
+
+
+@query("refreshed_order_facts", sql(f"""
+SELECT {i('order_id')}, {i("strftime(service_date, '%Y%m%d')::BIGINT", 'date_key')}, coalesce(section, 'No table') AS section,
+  {money('amount', 'total')}, {i('checks')} FROM v_placed"""))
+def refreshed_order_facts(spark, sf):
+    """Order facts read back from a warehouse that loaded and refreshed export files."""
+    return warehouse.read(spark, _warehouse(spark, sf), "analytics/fact_order").select(
+        "order_id", "date_key", "section", "amount", "total", "checks")
+
+
+@query("refreshed_items", sql(f"""
+SELECT {i('id', 'item_selection_id')}, {i('l_orderkey', 'order_id')}, 'Café ' || menu_item AS menu_item, 'Café' AS dining_area,
+  {money('price', 'discount', 'net')}, {f('halves / 2.0', 'qty')}, {b('is_void')} FROM x_items"""))
+def refreshed_items(spark, sf):
+    """Staged item selections of files in Windows-1252."""
+    return warehouse.read(spark, _warehouse(spark, sf), "staging/item_selections").select(
+        "item_selection_id", "order_id", "menu_item", "dining_area", F.col("gross_price").alias("price"), "discount",
+        F.col("net_price").alias("net"), "qty", "is_void")
+
+
+@query("refreshed_year_by_section", sql(f"""
+SELECT coalesce(section, 'No table') AS section, {i('count(*)', 'orders')}, {f('sum(amount_c) / 100.0', 'revenue')} FROM v_placed
+WHERE service_date BETWEEN DATE '{rules.REPORT_YEAR[0]}' AND DATE '{rules.REPORT_YEAR[1]}' GROUP BY 1"""))
+def refreshed_year_by_section(spark, sf):
+    """A period report over the stored facts, which opens the folders of its months alone."""
+    facts = warehouse.read_days(spark, _warehouse(spark, sf), "analytics/fact_order", *rules.REPORT_YEAR)
+    return facts.groupBy("section").agg(F.count(F.lit(1)).alias("orders"), F.sum("amount").alias("revenue"))
+
+
+@query("refreshed_sql", sql(f"""
+SELECT dayname(service_date) AS day_name, {i('count(*)', 'orders')} FROM v_orders GROUP BY 1"""))
+def refreshed_sql(spark, sf):
+    """SQL over the stored tables."""
+    return warehouse.query(spark, _warehouse(spark, sf), "SELECT day_name, count(*) AS orders FROM fact_order JOIN dim_date USING (date_key) GROUP BY day_name")
+
+
+@query("refused_files", sql("""
+SELECT source_file, CASE WHEN n % 3 = 0 THEN 'line 3: 1 fields, header has 14' ELSE 'unrecognised header: Opened, Something' END AS reason
+FROM x_files WHERE n % 3 < 2"""))
+def refused_files(spark, sf):
+    """Files that must not be loaded, among good ones, each with its reason."""
+    number = F.regexp_extract("source_file", r"(\d+)\.csv$", 1).cast("bigint")
+    files = _files(spark, sf)
+    plain = F.concat(F.lit(_HEADER + "\r\n"), F.lit("1,2,,1/1/26 1:00 PM,1,O3,0,1,0,0,0,1,,\r\nragged\r\n"))
+    spoiled = F.when(number % 3 == 0, F.encode(plain, "UTF-8")).when(
+        number % 3 == 1, F.encode(F.lit("Opened,Something\r\nx,y\r\n"), "UTF-8")).otherwise(F.col("content"))
+    records = materialize(exports.parse_files(files.withColumn("content", spoiled)))
+    return exports.refused_files(records, exports.layout_table(spark)).select("source_file", "reason")

@@ -251,6 +251,33 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(F.concat(F.lit(header + "\r\n"), body, F.lit("\r\n")), "UTF-8").alias("content"))
 
 
+def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item exports in Windows-1252: one line per item id, the orders of a hundred keys per file."""
+    l = _item_columns(table(spark, sf_dir, "lineitem"))
+    one = [F.col(c) for c in ("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")]
+    names = ["_sent", "_item", "_price", "_discount", "_net", "_halves", "l_suppkey", "l_partkey", "l_returnflag"]
+    l = l.groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct(*names), F.struct(*one)).alias("x")).select(
+        "l_orderkey", "l_linenumber", "x.*")
+    text = lambda c: c.cast("string")
+    sent = F.date_format("_sent", "M/d/yy h:mm a")
+    cells = [text(F.col("l_orderkey")), text(F.col("l_orderkey") % 300 + 1), sent, sent, text(F.col("l_suppkey")), F.lit("O3"),
+             F.lit("Caf\u00e9"), text(F.col("l_orderkey") * 10 + F.col("l_linenumber")), F.concat(F.lit("Caf\u00e9 "), "_item"),
+             F.concat(F.lit("Group "), text(F.col("l_suppkey") % 6)), F.lit(""), F.coalesce(pick(CATEGORIES, F.col("l_partkey") % 50 % 7), F.lit("")),
+             text(cents(F.col("_price"))), text(cents(F.col("_discount"))), text(cents(F.col("_net"))),
+             F.when(F.col("_halves") == 1, "0.5").when(F.col("_halves") == 4, "2.0").otherwise("1.0"),
+             F.when(F.col("l_returnflag") == "R", "true").otherwise("false")]
+    number = F.floor(F.col("l_orderkey") / 100).cast("bigint")
+    # an order has seven lines at most
+    lines = l.select(number.alias("n"), "l_orderkey", "l_linenumber", F.concat_ws(",", *cells).alias("line")).groupBy("n").agg(
+        F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "line"))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n")
+    return lines.select(
+        F.format_string("/exports/ItemSelectionDetails_%08d.csv", "n").alias("path"),
+        F.to_timestamp(F.lit("2026-01-01 00:00:00")).alias("modificationTime"),
+        # Latin-1 letters have the same bytes in Windows-1252
+        F.encode(F.concat(F.lit(",".join(rules.LAYOUTS["ITEM_B"]) + "\r\n"), body, F.lit("\r\n")), "ISO-8859-1").alias("content"))
+
+
 def daily_weather(nights: DataFrame) -> DataFrame:
     """A weather table with one row per night, computed from the date; every 17th day is missing."""
     day = F.datediff("service_date", F.lit("2000-01-01").cast("date"))

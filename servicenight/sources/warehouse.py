@@ -1,7 +1,14 @@
-"""The stored layers: refresh everything derived from raw, in dependency order."""
+"""The stored layers: refresh everything derived from raw, in dependency order.
+
+A refresh writes all layers into a version folder of its own and marks it done at the end.
+Readers take the latest version that is done, so a refresh that fails leaves the last one in use.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight.operators import facts, floorplan, merge, prices, staging
@@ -9,33 +16,65 @@ from servicenight.sources import ledger
 
 # Partitioned by month of the date key, so a report over a period reads only its months.
 FACT_TABLES = ("fact_order", "fact_item_selection")
+TABLES = ("staging/orders", "staging/item_selections", "staging/order_seating", "analytics/dim_date",
+          "analytics/dim_seating_unit", "analytics/dim_menu_item", "analytics/fact_order", "analytics/fact_item_selection")
+DONE = "_done"
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Finished versions, oldest first; a version's name starts with the time it was begun."""
+    pattern, fs = _folder(spark, f"{root}/versions/*/{DONE}")
+    return sorted(s.getPath().getParent().getName() for s in fs.globStatus(pattern) or [])
 
-def _write(df: DataFrame, root: str, name: str) -> DataFrame:
-    path = f"{root}/{name}"
-    writer = df.write.mode("overwrite")
+
+def current(spark: SparkSession, root: str) -> str:
+    done = versions(spark, root)
+    if not done:
+        raise FileNotFoundError(f"no finished refresh under {root}")
+    return f"{root}/versions/{done[-1]}"
+
+
+def _write(df: DataFrame, folder: str, name: str) -> DataFrame:
+    path = f"{folder}/{name}"
     if name.split("/")[-1] in FACT_TABLES:
-        writer = df.withColumn("month_key", F.floor(F.col("date_key") / 100).cast("int")).write.mode(
-            "overwrite").partitionBy("month_key")
-    writer.parquet(path)
-    return read(df.sparkSession, root, name)
+        monthly = df.withColumn("month_key", F.floor(F.col("date_key") / 100).cast("int"))
+        # rows of a month come together before they are written; a large month is split over tasks
+        monthly.hint("rebalance", "month_key").write.partitionBy("month_key").parquet(path)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").drop("month_key")
+    """A table of the current version; facts carry ``month_key``, on which filters prune folders."""
+    return spark.read.parquet(f"{current(spark, root)}/{name}")
+
+
+def read_days(spark: SparkSession, root: str, name: str, first: dt.date, last: dt.date) -> DataFrame:
+    """The facts of a period; only the folders of its months are listed and opened."""
+    key = lambda d: d.year * 10000 + d.month * 100 + d.day
+    return read(spark, root, name).where(
+        F.col("month_key").between(key(first) // 100, key(last) // 100) & F.col("date_key").between(key(first), key(last)))
 
 
 def refresh(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Re-derive staging and analytics from raw; every step reads the stored step before it.
 
-    Running it again after a rule change rebuilds all layers; raw is never touched.
+    Running it again after a rule change rebuilds all layers; raw is never touched. The version
+    before stays for readers that are under way; older ones go.
     """
+    folder = f"{root}/versions/{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     raw = lambda layout: ledger.read_raw(spark, root, layout)
     plan, combos = floorplan.tables(spark), floorplan.combinations(spark)
     out: dict[str, DataFrame] = {}
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        out[name.split("/")[-1]] = _write(df, root, name)
+        out[name.split("/")[-1]] = _write(df, folder, name)
         return out[name.split("/")[-1]]
 
     # an interval has no Parquet type that every reader knows; seconds are stored instead
@@ -48,6 +87,10 @@ def refresh(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     placed = floorplan.with_placement(orders, plan, combos)
     store("analytics/fact_order", facts.order_facts(placed, units))
     store("analytics/fact_item_selection", facts.item_facts(items, orders, menu))
+    done, fs = _folder(spark, f"{folder}/{DONE}")
+    fs.mkdirs(done)
+    for old in versions(spark, root)[:-2]:
+        fs.delete(_folder(spark, f"{root}/versions/{old}")[0], True)
     return out
 
 
@@ -61,9 +104,7 @@ def load_and_refresh(spark: SparkSession, folder: str, root: str) -> DataFrame:
 
 def query(spark: SparkSession, root: str, sql: str, **params) -> DataFrame:
     """SQL over the stored tables, named as they are stored (``fact_order``, ``dim_date``...)."""
-    for name in ("staging/orders", "staging/item_selections", "staging/order_seating",
-                 "analytics/dim_date", "analytics/dim_seating_unit", "analytics/dim_menu_item",
-                 "analytics/fact_order", "analytics/fact_item_selection"):
+    for name in TABLES:
         read(spark, root, name).createOrReplaceTempView(name.split("/")[-1])
     return spark.sql(sql, args=params or None)
 
