@@ -251,6 +251,48 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(F.concat(F.lit(header + "\r\n"), body, F.lit("\r\n")), "UTF-8").alias("content"))
 
 
+LEGACY_FILES = ["OrderDetails_%05d_2026_01_01-2026_02_15.csv", "OrderDetails_%05d_2026_02_01-2026_03_05.csv"]
+
+
+def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports without ids, ``FILE_ROWS`` events each, from two rounds of pulls.
+
+    The first round has Total but no Tax and repeats its header midway, with some rows on both
+    sides; the second has a third of the events with a larger tip, Tax, no Total, no duration, and
+    a column of its own.
+    """
+    e, key = table(spark, sf_dir, "events"), F.col("event_id")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    value = F.round(F.col("value") * 100).cast("bigint")
+    opened = (F.expr("ts - make_dt_interval(0, 0, minute(ts), extract(second from ts))")
+              + F.expr(f"interval {VISIT_SHIFT_DAYS} days"))
+    clock = lambda c: F.date_format(c, "M/d/yy h:mm a")
+    e = e.select(key, value.alias("v"), opened.alias("o"), pick(TABLE_CODES, F.col("user_id") % 40).alias("t"))
+    tax = F.expr("v * 8 div 100")
+    tip = key % 9 * 100
+    head = [clock(F.col("o")), text(1 + key % 8), text(F.col("t")), text(cents(key % 7 * 100)), text(cents(F.col("v")))]
+    closed = clock(F.col("o") + F.expr("interval 1 day"))
+    first = F.concat_ws(",", *head, text(cents(tip)), F.lit("0"), text(cents(F.col("v") + tax + tip)), closed,
+                        F.concat(F.lit("1:"), F.lpad((key % 60).cast("string"), 2, "0"), F.lit(":00")))
+    second = F.concat_ws(",", *head, text(cents(tax)), text(cents(tip + 100)), F.lit("0.00"), closed,
+                         F.concat(F.lit("S"), text(key % 4)))
+    place, half = key % FILE_ROWS, FILE_ROWS // 2
+    early = e.where(place < half).select(key, first.alias("line"), F.lit(0).alias("kind"), F.lit(0).alias("part"))
+    late = e.where(place >= half - 5).select(key, first.alias("line"), F.lit(0).alias("kind"), F.lit(2).alias("part"))
+    other = e.where(key % 3 == 0).select(key, second.alias("line"), F.lit(1).alias("kind"), F.lit(0).alias("part"))
+    lines = early.unionByName(late).unionByName(other).withColumn("n", F.floor(key / FILE_ROWS).cast("bigint"))
+    headers = [",".join(rules.LAYOUTS["A"]), ",".join([*rules.LAYOUTS["B"], "Server"])]
+    repeat = F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("event_id"), F.lit(headers[0]).alias("line"))
+    files = lines.groupBy("kind", "n").agg(F.collect_list(F.struct("part", "event_id", "line")).alias("lines"))
+    ordered = F.sort_array(F.when(F.col("kind") == 0, F.array_append("lines", repeat)).otherwise(F.col("lines")))
+    body = F.array_join(F.transform(ordered, lambda x: x["line"]), "\r\n")
+    name = F.when(F.col("kind") == 0, F.format_string(LEGACY_FILES[0], "n")).otherwise(F.format_string(LEGACY_FILES[1], "n"))
+    header = F.when(F.col("kind") == 0, headers[0]).otherwise(headers[1])
+    return files.select(
+        F.concat(F.lit("/exports/"), name).alias("path"), F.to_timestamp(F.lit("2026-03-06 00:00:00")).alias("modificationTime"),
+        F.encode(F.concat(header, F.lit("\r\n"), body, F.lit("\r\n")), "UTF-8").alias("content"))
+
+
 def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item exports in Windows-1252: one line per item id, the orders of a hundred keys per file."""
     l = _item_columns(table(spark, sf_dir, "lineitem"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from servicenight.functions import measures
-from servicenight.operators import merge
+from servicenight.operators import cleaning, floorplan, merge, turns
 from servicenight.plans import frames, standins as S
 from servicenight.plans.registry import query
+from servicenight.sources import exports, legacy
 from servicenight.plans.sql_base import b, cte, d, f, i, literal, s, sql, t
 
 _FIELDS = ["opened", "guests", "table_code", "discount_c", "amount_c", "tax_c", "tip_c", "gratuity_c",
@@ -121,6 +122,55 @@ def partial_merge_lost_identities(spark, sf):
     return merge.lost_identities(rows, merge.merge_pulls(rows.where("pull_rank < 2")))
 
 
+# --- the same from export files: two layouts, repeated headers, an extra column --------------------
+
+cte("l_rows", f"""
+SELECT kind, event_id, event_id // {S.FILE_ROWS} AS n, kind * 1000000000 + event_id // {S.FILE_ROWS} AS pull_rank,
+  printf(CASE WHEN kind = 0 THEN '{S.LEGACY_FILES[0]}' ELSE '{S.LEGACY_FILES[1]}' END, event_id // {S.FILE_ROWS}) AS source_file,
+  date_trunc('hour', ts) + INTERVAL {S.VISIT_SHIFT_DAYS} DAY AS opened, 1 + event_id % 8 AS guests,
+  {literal(S.TABLE_CODES)}[user_id % 40 + 1] AS table_code, event_id % 7 * 100 AS discount_c, v AS amount_c,
+  v * 8 // 100 AS tax_c, event_id % 9 * 100 + kind * 100 AS tip_c, 0 AS gratuity_c,
+  v + v * 8 // 100 + event_id % 9 * 100 + kind * 100 AS total_c,
+  date_trunc('hour', ts) + INTERVAL {S.VISIT_SHIFT_DAYS + 1} DAY AS closed,
+  CASE WHEN kind = 0 THEN printf('1:%02d:00', event_id % 60) END AS duration_text,
+  CASE WHEN kind = 1 THEN 'S' || event_id % 4 END AS server
+FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS v FROM events), (VALUES (0), (1)) AS k(kind)
+WHERE kind = 0 OR event_id % 3 = 0""")
+cte("l_pulls", """
+SELECT *, row_number() OVER (PARTITION BY source_file, opened, coalesce(table_code, ''), guests
+    ORDER BY amount_c, discount_c, event_id) - 1 AS occurrence,
+  opened AS k_opened, coalesce(table_code, '') AS k_table, guests AS k_guests FROM l_rows""")
+_LEGACY = ["opened", "guests", "table_code", "discount_c", "amount_c", "tax_c", "tip_c", "gratuity_c", "total_c", "closed",
+           "duration_text", "server", "source_file"]
+cte("l_merged", f"""
+SELECT {_KEYS}, {', '.join(f'arg_max({c}, pull_rank) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in _LEGACY)}
+FROM l_pulls GROUP BY {_KEYS}""")
+
+
+def _legacy_files(spark, sf):
+    return exports.describe_files(S.legacy_files(spark, sf))
+
+
+@query("legacy_merged", sql(f"""
+SELECT {_KEY}, {_ROW}, {f('total_c / 100.0', 'total')}, server AS "Server" FROM l_merged"""))
+def legacy_merged(spark, sf):
+    """Export files without ids, merged: tax from total, total from tax, the extra column carried."""
+    return legacy.build(_legacy_files(spark, sf))
+
+
+@query("legacy_gaps_by_table", sql(f"""
+SELECT table_code, {i('count(*)', 'turns')}, {f('median(gap)', 'median_gap')}, {f('avg(gap)', 'mean_gap')} FROM (
+  SELECT table_code, date_diff('second', opened + to_seconds(60 * (60 + CAST(duration_text[3:4] AS BIGINT))),
+      lead(opened) OVER (PARTITION BY table_code, day ORDER BY opened, guests, occurrence)) / 60.0::DOUBLE AS gap
+  FROM (SELECT *, CAST(opened - INTERVAL 4 HOUR AS DATE) AS day FROM l_merged)
+  WHERE amount_c > 0 AND guests <= 20 AND table_code IS DISTINCT FROM 'BD4' AND table_code IS NOT NULL)
+WHERE gap >= 0 GROUP BY table_code"""))
+def legacy_gaps_by_table(spark, sf):
+    """From export files to turn gaps: merged, cleaned, turned."""
+    seated = cleaning.clean_orders(legacy.visits(legacy.build(_legacy_files(spark, sf))), floorplan.unit_dimension(spark))
+    return turns.gap_summary(turns.add_turn_gaps(cleaning.above_duration_floor(seated)), "table_code")
+
+
 @query("merge_export_form", sql(f"""
 SELECT strftime(opened, '%m/%d/%y %I:%M %p') AS "Opened", {i('guests', '"# of Guests"')}, table_code AS "Table",
   {f('discount_c / 100.0', '"Discount Amount"')}, {f('amount_c / 100.0', '"Amount"')}, {f('tip_c / 100.0', '"Tip"')},
