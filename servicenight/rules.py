@@ -62,9 +62,27 @@ FLOOR_PLAN_TABLES = [
     ("E2", "Evangeline", 2, 2, EVANGELINE_CHANGE, None),
     ("E3", "Evangeline", 5, 6, EVANGELINE_CHANGE, None),
     ("O1", "Open Lounge", 3, 3, OPENING, None),
+    ("O2", "Open Lounge", 2, 2, OPENING, None),
+    ("O3", "Open Lounge", 2, 2, OPENING, None),
+    ("O4", "Open Lounge", 2, 2, OPENING, None),
+    ("O5", "Open Lounge", 2, 2, OPENING, None),
+    ("O6", "Open Lounge", 2, 2, OPENING, None),
+    ("O7", "Open Lounge", 2, 2, OPENING, None),
     ("O8", "Open Lounge", 3, 3, OPENING, None),
-    *[(f"O{i}", "Open Lounge", 2, 2, OPENING, None) for i in (2, 3, 4, 5, 6, 7, 9, 10)],
-    *[(f"B{i}", "Bar", 1, 1, OPENING, None) for i in range(1, 13)],
+    ("O9", "Open Lounge", 2, 2, OPENING, None),
+    ("O10", "Open Lounge", 2, 2, OPENING, None),
+    ("B1", "Bar", 1, 1, OPENING, None),
+    ("B2", "Bar", 1, 1, OPENING, None),
+    ("B3", "Bar", 1, 1, OPENING, None),
+    ("B4", "Bar", 1, 1, OPENING, None),
+    ("B5", "Bar", 1, 1, OPENING, None),
+    ("B6", "Bar", 1, 1, OPENING, None),
+    ("B7", "Bar", 1, 1, OPENING, None),
+    ("B8", "Bar", 1, 1, OPENING, None),
+    ("B9", "Bar", 1, 1, OPENING, None),
+    ("B10", "Bar", 1, 1, OPENING, None),
+    ("B11", "Bar", 1, 1, OPENING, None),
+    ("B12", "Bar", 1, 1, OPENING, None),
     # standing places, not seats
     ("B13", "Bar", 0, 0, OPENING, None),
     ("B14", "Bar", 0, 0, OPENING, None),
@@ -110,16 +128,51 @@ SEATING_UNITS = [
     ("O9+O10", ["O9", "O10"], 4),
     ("O3", ["O3"], 2),
     ("O6", ["O6"], 2),
-    *[(f"B{i}", [f"B{i}"], 1) for i in range(1, 13)],
+    ("B1", ["B1"], 1),
+    ("B2", ["B2"], 1),
+    ("B3", ["B3"], 1),
+    ("B4", ["B4"], 1),
+    ("B5", ["B5"], 1),
+    ("B6", ["B6"], 1),
+    ("B7", ["B7"], 1),
+    ("B8", ["B8"], 1),
+    ("B9", ["B9"], 1),
+    ("B10", ["B10"], 1),
+    ("B11", ["B11"], 1),
+    ("B12", ["B12"], 1),
 ]
 
 # (table code, fewest, most) guests a code seats by itself
 SOLO_CAPACITY = [
-    ("BD1", 3, 4), ("BD2", 2, 3), ("BD3", 3, 4), ("BD5", 4, 5),
-    ("E1", 2, 2), ("E2", 2, 2), ("E3", 5, 6),
-    ("O1", 3, 3), ("O8", 3, 3),
-    *[(f"O{i}", 2, 2) for i in (2, 3, 4, 5, 6, 7, 9, 10)],
-    *[(f"B{i}", 1, 1) for i in range(1, 13)],
+    ("BD1", 3, 4),
+    ("BD2", 2, 3),
+    ("BD3", 3, 4),
+    ("BD5", 4, 5),
+    ("E1", 2, 2),
+    ("E2", 2, 2),
+    ("E3", 5, 6),
+    ("O1", 3, 3),
+    ("O2", 2, 2),
+    ("O3", 2, 2),
+    ("O4", 2, 2),
+    ("O5", 2, 2),
+    ("O6", 2, 2),
+    ("O7", 2, 2),
+    ("O8", 3, 3),
+    ("O9", 2, 2),
+    ("O10", 2, 2),
+    ("B1", 1, 1),
+    ("B2", 1, 1),
+    ("B3", 1, 1),
+    ("B4", 1, 1),
+    ("B5", 1, 1),
+    ("B6", 1, 1),
+    ("B7", 1, 1),
+    ("B8", 1, 1),
+    ("B9", 1, 1),
+    ("B10", 1, 1),
+    ("B11", 1, 1),
+    ("B12", 1, 1),
 ]
 
 RESERVATION_TABLES = 17
