@@ -6,7 +6,7 @@ from servicenight.session import build_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__driver__memory="8g", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("ERROR")
     if not session.sparkContext.getCheckpointDir():
