@@ -97,7 +97,8 @@ def distinct_texts(documents: DataFrame, length: int, gram: int) -> DataFrame:
 def shared_anchors(texts: DataFrame) -> DataFrame:
     """(doc_id, text_key, shared): the anchors of each text that stand elsewhere too, once each."""
     posted = texts.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
-    often = posted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
+    # stored, so that the join meets two plain shuffles and a frequent anchor can be split
+    often = stored(posted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"))
     return posted.join(often, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared"))
 
 
@@ -260,7 +261,7 @@ def repeated_spans(found: DataFrame, length: int) -> DataFrame:
         F.sequence(F.lit(0), F.length("context") - length)).alias("i")).select(
         "doc_id", "text_key", (F.col("first") + F.col("i")).alias("lo"), F.expr(f"substring(context, i + 1, {length})").alias("s")).select(
         "doc_id", "text_key", "lo", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit("second"), "s").alias("s2"))
-    twice = strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("s1", "s2")
+    twice = stored(strings.groupBy("s1", "s2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("s1", "s2"))
     from_strings = strings.join(twice, ["s1", "s2"]).groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("lo", (F.col("lo") + length).alias("hi"))).alias("spans"))
     return from_arrays.union(from_strings).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
