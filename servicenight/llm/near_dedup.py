@@ -89,7 +89,8 @@ def posting_lists(classes: DataFrame) -> DataFrame:
     """
     posted = classes.select("node", F.posexplode("signature").alias("i", "value")).select(
         "node", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("value").cast("bigint")).alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # stored, so that the join meets two plain shuffles and a frequent value can be split
+    shared = stored(posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     ranked = posted.join(shared, "token").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"), F.sum("n").alias("weight")).where(F.size("tokens") >= MATCHES)
     prefix = ranked.select("node", "weight", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t"))
@@ -157,7 +158,7 @@ def links_to_centres(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, Data
 def shared_with_others(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, common): how many of a class's shingles some class of another component has too."""
     held = members.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
-    across = held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    across = stored(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     return held.join(across, "shingle").groupBy("node").agg(F.count("*").alias("common"))
 
 
