@@ -77,13 +77,13 @@ class Page:
         self.path.append(f"{self.path[parent]}>{'.'.join([tag, *classes])}")
         self.tag.append(tag)
         self.dropped.append(self.dropped[parent] or drop)
-        article = tag in ("article", "main") or "articlebody" in attributes.lower()
+        article = tag in ("article", "main") or bool(attributes) and "articlebody" in attributes.lower()
         self.bonus.append(1.5 if article else 1.2 if words & ARTICLE_WORDS else 1.0)
         self.in_article.append(inside_article or article)
         return len(self.parent) - 1
 
     def _read(self, source: str) -> None:
-        stack, text, links, at = [0], [], 0, 0
+        stack, names, text, links, at = [0], [""], [], 0, 0  # open elements, their tags, the block's pieces
         in_link = 0
 
         def flush() -> None:
@@ -96,7 +96,7 @@ class Page:
             links = 0
 
         def block() -> int:
-            return next(e for e in reversed(stack) if self.tag[e] not in INLINE)
+            return next(e for e, name in zip(reversed(stack), reversed(names)) if name not in INLINE)
 
         def add(piece: str) -> None:
             nonlocal links
@@ -118,13 +118,14 @@ class Page:
             if m[1]:
                 if tag == "a":
                     in_link = 0
-                if any(self.tag[e] == tag for e in stack):
+                if tag in names:
                     if tag not in INLINE:
                         flush()
-                    elif not any(self.tag[e] == tag for e in stack[stack.index(block()):]):
+                    elif tag not in names[stack.index(block()):]:
                         continue  # closes an inline element outside of this block
-                    while self.tag[stack.pop()] != tag:
-                        pass
+                    while names.pop() != tag:
+                        stack.pop()
+                    stack.pop()
                 continue
             if tag == "br" or tag == "hr":
                 if not self.dropped[stack[-1]]:
@@ -139,13 +140,16 @@ class Page:
             if tag in INLINE:
                 in_link = in_link or tag == "a"
                 stack.append(self._open(tag, m[3], stack[-1]) if m[3] else self._plain(tag, stack[-1]))
+                names.append(tag)
                 continue
             flush()
             in_link = 0
             closes = CLOSED_BY.get(tag)
-            while len(stack) > 1 and (self.tag[stack[-1]] in INLINE or self.tag[stack[-1]] == "p" or (closes and self.tag[stack[-1]] in closes)):
+            while len(stack) > 1 and (names[-1] in INLINE or names[-1] == "p" or (closes and names[-1] in closes)):
                 stack.pop()
+                names.pop()
             stack.append(self._open(tag, m[3], stack[-1]))
+            names.append(tag)
         if at < len(source):
             piece = source[at:]
             if not re.match(r"<[a-zA-Z/!?]", piece):
@@ -167,8 +171,8 @@ class Page:
         for element, text, links in self.blocks:
             value = max(0, len(text) - 2 * links)
             share, e = 1.0, element
-            while e > 0 and share > 0.2:
-                if self.tag[e] in CONTAINERS:
+            while e >= 0 and share > 0.2:
+                if e == 0 or self.tag[e] in CONTAINERS:
                     out[e] = out.get(e, 0.0) + value * share * self.bonus[e]
                     share /= 2
                 e = self.parent[e]
