@@ -106,7 +106,7 @@ FROM (SELECT order_id, source_file, 2 + coalesce(sum(1 + breaks) OVER (PARTITION
       FROM x_lines JOIN x_files USING (n)) JOIN v_orders USING (order_id)"""))
 def legacy_rows(spark, sf):
     """Exports read by column name, whatever columns they carry."""
-    records = exports.parse_files(_files(spark, sf))
+    records = materialize(exports.parse_files(_files(spark, sf)))
     return exports.legacy_rows(records).select(
         "source_file", "source_row_number", "opened", "guests", "table_code", "amount", "total")
 

@@ -139,24 +139,24 @@ def legacy_rows(records: DataFrame, extras: list[str] | None = None) -> DataFram
     Tax and total are derived from each other where an export has only one; the duration
     text is NULL where the column is missing. Extra columns ride along as text.
     """
-    headers = records.where(F.col("kind") == "header").select(
-        F.col("file_hash").alias("_file"), F.col("fields").alias("_header"))
-    named = (records.where(F.col("kind") == "row").join(headers, F.col("file_hash") == F.col("_file"))
-             .withColumn("_cell", F.map_from_arrays("_header", "fields")))
-    return typed_legacy(named, extras)
+    # where each column stands, once per file; ``records`` should be stored, as it is read twice
+    places = F.map_from_entries(F.transform("fields", lambda name, i: F.struct(name, i)))
+    headers = records.where(F.col("kind") == "header").select(F.col("file_hash").alias("_file"), places.alias("_places"))
+    placed = records.where(F.col("kind") == "row").join(headers, F.col("file_hash") == F.col("_file"))
+    return typed_legacy(placed, extras)
 
 
-def typed_legacy(named: DataFrame, extras: list[str] | None = None) -> DataFrame:
-    """Typed columns from a frame with ``_cell`` (header name to text) and lineage columns."""
-    cell = lambda name: F.nullif(F.col("_cell")[name], F.lit(""))
+def typed_legacy(placed: DataFrame, extras: list[str] | None = None) -> DataFrame:
+    """Typed columns from a frame with ``fields``, ``_places`` (header name to position) and lineage columns."""
+    cell = lambda name: F.nullif(F.get("fields", F.col("_places")[name]), F.lit(""))
     money = {name: cell(name).try_cast("decimal(12,2)") for name in rules.MONEY_COLUMNS}
     amount, tip, gratuity = money["Amount"], money["Tip"], money["Gratuity"]
-    has = lambda name: F.map_contains_key("_cell", name)
+    has = lambda name: F.map_contains_key("_places", name)
     tax = F.when(has("Tax") | ~has("Total"), money["Tax"]).otherwise(
         measures.missing_tax(amount, F.lit(None), tip, gratuity, money["Total"]))
     total = F.when(has("Total") | ~has("Tax"), money["Total"]).otherwise(
         measures.missing_total(amount, money["Tax"], tip, gratuity, F.lit(None)))
-    return named.select(
+    return placed.select(
         "source_file", "source_row_number", F.col("chunk").alias("source_chunk"),
         parse.parse_clock_tolerant(cell("Opened")).alias("opened"),
         cell("# of Guests").try_cast("int").alias("guests"), cell("Table").alias("table_code"),
