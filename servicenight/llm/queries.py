@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from servicenight.llm import (bpe, decontaminate, html_extract, language_id, licenses, line_dedup, near_dedup, quality,
-                              secret_scan, suffix_dedup)
+from servicenight.llm import (bpe, decontaminate, html_extract, language_id, licenses, line_dedup, near_dedup, oracles,
+                              quality, secret_scan, suffix_dedup)
 from servicenight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,4 +56,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_secret_scan, op6_line_dedup, op7_bpe,
     op8_quality_rules, op9_near_dedup, op10_language_id)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
