@@ -29,7 +29,7 @@ from servicenight.llm.common import fresh
 KNOWN_WORDS = 400_000
 INDEX_WORDS = 50_000
 
-_WHITE = r"\t-\r\x20\x85\xa0  -     　"
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 
 

@@ -183,6 +183,7 @@ def library_tokens(texts):
 
 
 ODD = ["Hello   World's I'LL <|endoftext|> x<|startoftext|>y", "ΣΑΣ İstanbul ß ẞ ſ K Å", "a\x1cb\x1fc\x85d\xa0e f​g h　j﻿", "१२३ ½ Ⅷ ① ﬁ é",
+       "a\u2003b\u3000c\u1680d\u2028e\u202ff\u205fg\u180eh\u200bi\ufeffj\u0085k\u00a0l",
        "a" * 400, "abab" * 99, "日本語 한국어 العربية 👨‍👩‍👧", "it'S 'Sup ''''s 'rescue <|endoftext|", "\x00\x01", ""]
 
 
