@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from servicenight.llm import textvec
-from servicenight.llm.common import ascii_lower, fresh, same_row, text_key
+from servicenight.llm.common import ascii_lower, fresh, same_row, stored, text_key
 from servicenight.session import materialize
 
 MIN_CHARS = 20
@@ -110,7 +110,8 @@ def edge_runs(ranged: DataFrame) -> dict[tuple[int, int], tuple[int, tuple[int,
 def dropped_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Positions that lose their line: (doc, known, text_key, pos)."""
     keys = ["h1", "h2", F.col("known").desc(), F.col("doc").desc()]
-    rows = line_rows(documents, min_chars)
+    # stored, so that cutting ranges samples these rows and does not split the texts twice
+    rows = stored(line_rows(documents, min_chars))
     ranged = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text_key", "pos"))
     edges = documents.sparkSession.sparkContext.broadcast(edge_runs(ranged))
 
