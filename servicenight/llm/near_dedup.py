@@ -6,9 +6,9 @@ left out. Two classes whose sets are similar enough agree in ``MATCHES`` coordin
 but a share of about 1e-9 of such pairs do), so they also meet under one of their rarest
 ``COORDINATES - MATCHES + 1`` values: longer lists are skipped. Within a list, classes are first
 compared with the list's most central class alone. Classes that this joins into one component need
-no further comparison. A link between two components needs enough shingles that both hold, so each
-class's shingles that other components have are counted, and pairs whose counts cannot reach the
-similarity are skipped. Every link is confirmed on the full shingle sets.
+no further comparison. Of the lists that still hold several components, classes with too few
+shingles in common with other components are left out; the rest is compared in pairs of bounded
+blocks, and only links that join components come out. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ PERCENT = 75
 COORDINATES = 48
 #: Of pairs at the threshold, under one in 10^9 agrees in fewer coordinates.
 MATCHES = 17
+#: Members of a list that one block holds, and rows that one group of block pairs takes in.
+BLOCK = 512
+GROUP_ROWS = 2048
 
 _FACTORS = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -146,13 +149,11 @@ def full_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def links_to_centres(lists: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a list's centre and another member: those compared, and those confirmed."""
-    row = F.struct("node", "n_shingles", "signature")
-    centre = lists.groupBy("token").agg(F.max_by(row, F.struct("weight", "node")).alias("c"))
+def links_to_centres(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed pairs of a list's most central class and another member."""
+    centre = lists.groupBy("token").agg(F.max_by(F.struct("node", "n_shingles", "signature"), F.struct("weight", "node")).alias("c"))
     spokes = lists.alias("m").join(centre, "token").where((F.col("c.node") != F.col("m.node")) & may_link("c", "m"))
-    spokes = stored(spokes.select(F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")).distinct())
-    return spokes, stored(confirmed(spokes, sets))
+    return stored(confirmed(spokes.select(F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")).distinct(), sets))
 
 
 def shared_with_others(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,36 +163,108 @@ def shared_with_others(members: DataFrame, sets: DataFrame) -> DataFrame:
     return held.join(across, "shingle").groupBy("node").agg(F.count("*").alias("common"))
 
 
-def links_between_components(lists: DataFrame, sets: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
-    """Confirmed links between classes of one list that the given links leave in different components.
+def still_open(lists: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, node, root, n_shingles, signature) of lists that the links leave in several components.
 
-    In each list the classes outside its largest component are compared with the others. A pair
-    is skipped if one class's shingles that other components have are too few for the similarity.
+    ``root`` names a class's component so far. A class whose shingles that other components have
+    do not do even with its list's smallest set cannot link and is out.
     """
     roots = components(links).select("node", "root")
     rooted = stored(lists.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least"))
-    open_lists = sizes.groupBy("token").agg(
-        F.max_by("root", F.struct("n", "root")).alias("largest"), F.min("least").alias("least"), F.count("*").alias("roots")).where(F.col("roots") > 1)
-    rest = rooted.join(open_lists.select("token", "largest", "least"), "token")
+    open_lists = rooted.groupBy("token").agg(F.min("n_shingles").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = rooted.join(open_lists.select("token", "least"), "token")
     common = shared_with_others(rest.select("node", "root").distinct(), sets)
-    # a class whose shared shingles do not do even with the smallest partner is out
-    rest = stored(rest.join(common, "node").where(enough(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))))
-    x, y = rest.where(F.col("root") != F.col("largest")).alias("x"), rest.alias("y")
-    most = F.least("x.common", "y.common")
-    pairs = x.join(y, "token").where(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-        & enough(most, F.col("x.n_shingles"), F.col("y.n_shingles")) & may_link("x", "y"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return confirmed(pairs.join(compared, ["a", "b"], "left_anti"), sets)
+    return stored(rest.join(common, "node").where(enough(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))).drop("least", "common"))
+
+
+def in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with their shingles and all their lists, dealt out so that any two of a list meet in some block pair.
+
+    A list of n members is cut into n / ``BLOCK`` blocks by a hash; a member goes to the pairs its
+    block is part of. Small lists share a group; no group outgrows a few thousand rows.
+    """
+    sizes = members.groupBy("token").agg(F.count("*").alias("n"))
+    own = members.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = members.join(sizes, "token").withColumn("block", block).withColumn("pair", F.explode(paired)).select(
+        "token", "pair.i", "pair.j", "block", "node", "root", "signature")
+    groups = dealt.count() // GROUP_ROWS + 1
+    return dealt.join(own, "node").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+
+
+class Forest:
+    """Components of a block pair while its links are found."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while x in self.above:
+            x = self.above[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[a] = b
+        return a != b
+
+
+def block_links(table: pa.Table) -> list[tuple[int, int]]:
+    """Links of one block pair that join components; best agreeing pairs first, each confirmed on the full sets.
+
+    A pair is looked at under the first list that both its classes are in. Pairs whose components
+    are already joined are passed over, so at most one link per member comes out.
+    """
+    node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+    token, first, second = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+    signature = np.stack(table.column("signature").to_numpy())
+    lists, sets = table.column("tokens").to_pylist(), [frozenset(x) for x in table.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    equal = np.zeros((len(left), len(right)), np.int16)
+    for k in range(COORDINATES):
+        equal += signature[left, k][:, None] == signature[right, k][None, :]
+    a, b = np.nonzero(equal >= MATCHES)
+    order = np.argsort(-equal[a, b], kind="stable")
+    a, b = left[a[order]], right[b[order]]
+    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    keep = (root[a] != root[b]) & (100 * small >= PERCENT * large) & ((a < b) | (first != second))
+    forest, out = Forest(), []
+    for x, y in zip(a[keep].tolist(), b[keep].tolist()):
+        if forest.root(int(root[x])) == forest.root(int(root[y])) or next(t for t in lists[x] if t in lists[y]) != token:
+            continue
+        common = len(sets[x] & sets[y])
+        if 100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common) and forest.join(int(root[x]), int(root[y])):
+            out.append((int(node[x]), int(node[y])))
+    return out
+
+
+def links_between_components(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join components of one list: enough to connect whatever is connected."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        _, group = np.unique(np.column_stack([table.column(c).to_numpy() for c in ("token", "i", "j")]), axis=0, return_inverse=True)
+        order = np.argsort(group.ravel(), kind="stable")
+        links: list[tuple[int, int]] = []
+        for rows in np.split(order, np.flatnonzero(np.diff(group.ravel()[order])) + 1):
+            if len(rows) > 1:
+                links += block_links(table.take(pa.array(rows)))
+        a, b = zip(*links) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return in_blocks(members, sets).groupBy("bucket").applyInArrow(work, "a long, b long")
 
 
 def linked_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes: enough of them to connect whatever is connected."""
     lists = stored(posting_lists(classes))
     sets = stored(full_sets(documents, lists.select("node").distinct().join(classes, "node")))
-    compared, links = links_to_centres(lists, sets)
-    return links.union(links_between_components(lists, sets, links, compared))
+    links = links_to_centres(lists, sets)
+    return links.union(links_between_components(still_open(lists, sets, links), sets))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
