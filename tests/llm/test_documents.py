@@ -236,8 +236,10 @@ def test_near_duplicates(documents, rows):
     same(near_dedup.near_duplicate_report(documents), "doc_id n_shingles component_id kept", brute.near_duplicates(rows))
 
 
-def test_near_duplicates_in_chains_and_clusters(spark):
-    """Texts that drift apart step by step, so that many links hang on others."""
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_duplicates_in_chains_and_clusters(spark, monkeypatch, block):
+    """Texts that drift apart step by step, so that many links hang on others; also with lists cut into many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     r = random.Random(8)
     rows = []
     for group in range(12):
