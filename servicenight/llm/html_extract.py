@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from servicenight.llm import textvec
-from servicenight.llm.common import fresh
+from servicenight.llm.common import fresh, stored
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -228,7 +228,8 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     Null and empty html give an empty text. Pages without a host are a host of their own name ''.
     """
     keep = [c for c in keep if c not in ("text", "n_chars")]
-    winners = winning_paths(votes(pages.select("url", "html")))
+    # stored, so that its size is known: few hosts are sent to the pages, many are joined with skew splitting
+    winners = stored(winning_paths(votes(pages.select("url", "html"))))
     source, host, path = fresh(pages, "html_read", "page_host", "winner")
     rows = pages.select(*keep, F.col("html").alias(source), host_of().alias(host))
     rows = rows.join(winners.select(F.col("host").alias(f"{host}_"), F.col("winner").alias(path)), F.col(host) == F.col(f"{host}_"), "left").select(*keep, source, path)
