@@ -182,7 +182,7 @@ def training_rows(documents: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame) -> Model | None:
-    return train([(r.text, r.lang) for r in training_rows(documents).toLocalIterator()])
+    return train([(r.text, r.lang) for r in training_rows(documents).collect()])
 
 
 def identify(documents: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -101,7 +101,7 @@ def edge_runs(ranged: DataFrame) -> dict[tuple[int, int], tuple[int, tuple[int,
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h1", "h2", "n", "known", "doc"])
 
     edges: dict = {}
-    for r in ranged.mapInArrow(work, "h1 long, h2 long, n long, known long, doc long").toLocalIterator():
+    for r in ranged.mapInArrow(work, "h1 long, h2 long, n long, known long, doc long").collect():
         n, top = edges.get((r.h1, r.h2), (0, (-1, 0)))
         edges[r.h1, r.h2] = (n + r.n, max(top, (r.known, r.doc)))
     return edges
