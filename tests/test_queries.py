@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from servicenight.plans import catalog
+from servicenight.plans import catalog, frames
+from servicenight.session import materialize
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -24,6 +25,28 @@ def duck():
     return connection
 
 
+SHARED = ["menu_items", "pulls", "order_facts", "nightly", "cleaned", "timeline"]
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared_frames():
+    """Frames that many queries build are built once; each is also what some query returns or checks."""
+    built, original = {}, {name: getattr(frames, name) for name in SHARED}
+
+    def once(name):
+        def frame(spark, sf):
+            if name not in built:
+                built[name] = materialize(original[name](spark, sf))
+            return built[name]
+        return frame
+
+    for name in SHARED:
+        setattr(frames, name, once(name))
+    yield
+    for name in SHARED:
+        setattr(frames, name, original[name])
+
+
 def comparable(rows, columns):
     order = [columns.index(c) for c in sorted(columns)]
     clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v
