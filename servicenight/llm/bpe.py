@@ -26,8 +26,8 @@ from servicenight.llm import textvec
 from servicenight.llm.common import fresh
 
 #: Words a task remembers before it starts over, and new words that one index takes in.
-KNOWN_WORDS = 400_000
-INDEX_WORDS = 50_000
+KNOWN_WORDS = 200_000
+INDEX_WORDS = 25_000
 
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
@@ -181,7 +181,7 @@ def encode_documents(documents: DataFrame, keep: list[str], path: str, outputs:
         bpe = tokenizer(path)
         for batch in batches:
             _, offsets = textvec.column_bytes(batch.column(read))
-            for first, last in textvec.steps(offsets, 8 << 20):
+            for first, last in textvec.steps(offsets, 4 << 20):
                 part = batch.slice(first, last - first)
                 made: dict[str, list] = {name: [] for name in outputs}
                 for coded, text in bpe.encode([t or "" for t in part.column(read).to_pylist()]):

@@ -24,7 +24,7 @@ BUCKET_BITS = 16
 DIMENSIONS = 16
 #: The classifier is fitted on about this many rows of each language (picked by a hash of doc_id), for
 #: the most frequent languages; none is longer than so many characters. This bounds what the driver holds.
-TRAIN_ROWS = 1200
+TRAIN_ROWS = 600
 TRAIN_LANGUAGES = 200
 TRAIN_CHARS = 40_000
 EPOCHS = 6
@@ -80,7 +80,7 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = folded(np.frombuffer(text.encode(), np.uint8))
     buckets = np.concatenate([ngram_buckets(data, order) for order in ORDERS])
     distinct, counts = np.unique(buckets, return_counts=True)
-    return distinct.astype(np.int64), counts / max(1, len(buckets))
+    return distinct.astype(np.int32), (counts / max(1, len(buckets))).astype(np.float32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ COORDINATES = 48
 MATCHES = 17
 #: Members of a list that one block holds, and rows that one group of block pairs takes in.
 BLOCK = 512
-GROUP_ROWS = 2048
+GROUP_ROWS = 1024
 
 _FACTORS = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled by one vector step; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
