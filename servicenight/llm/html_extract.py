@@ -3,7 +3,8 @@
 Each page is cut into blocks under generalised tag-class paths. A page's containers are scored by
 the text of their paragraphs less that of links, and the page votes for the path of its best one.
 Votes are counted per host in Spark; every page is then extracted again from the containers on its
-host's winning path, or from its own best container where that path is absent.
+host's winning path, or from its own best container where that path is absent or holds next to
+nothing. A container is widened to its article and to the headline, paragraphs and sections around it.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ DROPPED_WORDS = frozenset(
 HEADER_WORDS = frozenset(["header"])
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
 
+#: Text beside a container is taken for part of its article up to this share of link text.
+LINK_SHARE = 0.2
+#: The host's path is left if it holds under this share of a page's best container, whose text has so many
+#: characters at least; the second share holds if the best container is marked as an article and the path's is not.
+LOW_SHARE, LOW_SHARE_OF_ARTICLE, LEAST_CHARS = 0.1, 0.5, 100
+
 
 class Page:
     """The blocks of a page: for each, its text, its link text, and the elements it stands in."""
@@ -182,17 +189,99 @@ class Page:
         scores = self.scores()
         return max(scores.items(), key=lambda s: (s[1], -s[0]), default=(0, 0.0))
 
-    def text_of(self, chosen: set[int]) -> str:
-        """The blocks inside any of the elements, in page order."""
+    def within(self, chosen: set[int]) -> list[bool]:
+        """Which elements are inside any of the chosen ones."""
         inside = [False] * len(self.parent)
         for e in range(len(self.parent)):
             inside[e] = e in chosen or (e > 0 and inside[self.parent[e]])
-        return " ".join(text for element, text, _ in self.blocks if inside[element])
+        return inside
+
+    def article_of(self, element: int) -> int:
+        """The nearest article that the element is or stands in; the element itself where there is none."""
+        e = element
+        while e > 0 and self.tag[e] != "article":
+            e = self.parent[e]
+        return e if e > 0 else element
+
+    def widened(self, chosen: set[int]) -> set[int]:
+        """The blocks of the chosen containers' articles, with the parts of the same article around them.
+
+        What hangs off each ancestor is judged branch by branch. Branches that are mostly links are
+        left out. Paragraphs and headings that stand in an ancestor itself are taken until an h1 is
+        among the blocks; so is a container with an h1. Whole containers beside it are taken inside
+        main and inside a box that has own text, or where section stands beside section. Body and
+        html lay out more than the article, and an article is complete but for its headline.
+        """
+        tops = {self.article_of(e) for e in chosen}
+        inside = self.within(tops)
+        taken = {i for i, (element, _, _) in enumerate(self.blocks) if inside[element]}
+        first = self.longest(tops)
+        chain, e = [], first
+        while e > 0:
+            e = self.parent[e]
+            chain.append(e)
+        if not chain:
+            return taken
+        # where each element leaves the chain, and the branch it leaves by (the ancestor itself for its own text)
+        on_chain, branch = {first, *chain}, list(range(len(self.parent)))
+        anchor, headed, boxed, articles = list(branch), set(), set(), set()
+        for e in range(1, len(self.parent)):
+            if e in on_chain:
+                continue
+            up = self.parent[e]
+            anchor[e] = up if up in on_chain else anchor[up]
+            branch[e] = e if up in on_chain else branch[up]
+            if self.tag[e] in CONTAINERS:
+                boxed.add(branch[e])
+            if self.tag[e] in ("article", "main"):
+                articles.add(branch[e])
+        around: dict[int, dict[int, list[int]]] = {}
+        for i, (element, _, _) in enumerate(self.blocks):
+            if i not in taken and anchor[element] != first:
+                around.setdefault(anchor[element], {}).setdefault(branch[element], []).append(i)
+                if self.tag[element] == "h1":
+                    headed.add(branch[element])
+        has_title = any(self.tag[self.blocks[i][0]] == "h1" for i in taken)
+        whole = self.tag[first] == "article"
+        for a in chain:
+            texts = {b: own for b, own in around.get(a, {}).items()
+                     if sum(self.blocks[i][2] for i in own) <= LINK_SHARE * sum(len(self.blocks[i][1]) for i in own)}
+            top = a == 0 or self.tag[a] in ("html", "body")
+            titled = not has_title and any(b in headed for b in texts)
+            box = not top and not whole and (self.tag[a] == "main" or titled or (
+                (not has_title or a == chain[0]) and any(b not in boxed for b in texts)))
+            for b, own in texts.items():
+                plain = not has_title and (b not in boxed or b in headed) and b not in articles
+                section = not top and not whole and self.tag[b] == self.tag[first] == "section"
+                if plain or section or box and b not in articles:
+                    taken.update(own)
+            has_title = has_title or titled
+            if self.tag[a] == "main":
+                break
+        return taken
+
+    def longest(self, elements: set[int]) -> int:
+        """The element with most text; ties go to the first."""
+        owner, held = list(range(len(self.parent))), dict.fromkeys(sorted(elements), 0)
+        for e in range(1, len(self.parent)):
+            owner[e] = e if e in elements else owner[self.parent[e]]
+        for element, text, _ in self.blocks:
+            if owner[element] in held:
+                held[owner[element]] += len(text)
+        return max(held, key=held.get)
 
     def main_text(self, path: str | None) -> str:
-        on_path = {e for e, p in enumerate(self.path) if e and p == path and not self.dropped[e]} if path else set()
-        text = self.text_of(on_path) if on_path else ""
-        return text or self.text_of({self.best()[0]})
+        best, _ = self.best()
+        along = lambda path: {e for e, p in enumerate(self.path) if e and p == path and not self.dropped[e]}
+        taken = self.widened(along(self.path[best]) or {best})
+        on_path = along(path) if path else set()
+        if on_path and best not in on_path:
+            own = self.widened(on_path)
+            value = lambda blocks: sum(max(0, len(self.blocks[i][1]) - 2 * self.blocks[i][2]) for i in blocks)
+            marked = self.bonus[best] > max(self.bonus[e] for e in on_path)
+            low = value(taken) >= LEAST_CHARS and value(own) < (LOW_SHARE_OF_ARTICLE if marked else LOW_SHARE) * value(taken)
+            taken = own if own and not low else taken
+        return " ".join(text for i, (_, text, _) in enumerate(self.blocks) if i in taken)
 
 
 def host_of(url: str = "url"):

@@ -73,3 +73,34 @@ def test_given_pages(spark):
         wanted[page_id] = " ".join(t for t in texts if t)
     got = {r.page_id: r.text for r in page_report(spark.read.parquet(f"{SF_DIR}/pages.parquet")).collect()}
     assert got == wanted
+
+
+BODY = "<p>" + "The body of the story goes on. " * 20 + "</p>"
+TEXT = ("The body of the story goes on. " * 20).strip()
+TEASERS = '<div class="teasers"><p><a href="/1">One more story to read</a> <a href="/2">And another one</a></p></div>'
+
+
+@pytest.mark.parametrize("body, wanted", [
+    (f'<article><h1>T</h1><p>lead</p><div class="entry-content">{BODY}</div></article>', f"T lead {TEXT}"),
+    (f'<article><h1>T</h1><div class="a">{BODY}</div><div class="b"><p>second part</p></div></article>', f"T {TEXT} second part"),
+    (f'<main><h1>T</h1><p>lead</p><div class="text">{BODY}</div>{TEASERS}</main>', f"T lead {TEXT}"),
+    (f'<main><h1>T</h1><article>{BODY}</article><article><p>Other story</p></article></main>', f"T {TEXT} Other story"),
+    (f'<div class="page"><h1>T</h1><p>lead</p><div class="text">{BODY}</div>{TEASERS}</div>', f"T lead {TEXT}"),
+    (f'<div class="page"><div class="head"><h1>T</h1></div><div class="text">{BODY}</div><div class="end"><p>last</p></div></div>', f"T {TEXT} last"),
+    (f'<div><section class="x">{BODY}</section><section class="y"><p>last part</p></section></div>', f"{TEXT} last part"),
+    (f'<h1>T</h1><p>lead</p><div class="text">{BODY}</div>{TEASERS}', f"T lead {TEXT}"),
+    (f'<div class="wrap"><div class="text">{BODY}</div><div class="box"><p>A box of the layout</p></div></div>', TEXT),
+    (f'<h1>Site</h1><article><h1>T</h1>{BODY}</article>', f"T {TEXT}")])
+def test_a_container_is_widened_to_its_article(body, wanted):
+    assert Page(page(body)).main_text(None) == wanted
+    path = max(Page(page(body)).scores().items(), key=lambda s: s[1])[0]
+    assert Page(page(body)).main_text(Page(page(body)).path[path]) == wanted
+
+
+def test_a_path_that_holds_a_caption_is_left(spark):
+    """The host's path is on the page, but the article stands elsewhere."""
+    rows = [(n, "http://a.example/", page(f'<div class="story">{BODY}</div>')) for n in range(5)]
+    rows += [(5, "http://a.example/x", page(f'<div class="story"><p>A caption</p></div><div class="feature">{BODY}</div>')),
+             (6, "http://a.example/y", page(f'<div class="story"><p>{"A short story. " * 10}</p></div><article>{BODY}</article>'))]
+    got = {r.page_id: r.text for r in page_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got.values()) == {TEXT}
