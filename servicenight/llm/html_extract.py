@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -37,14 +38,28 @@ CLOSED_BY = {
 CONTAINERS = frozenset("article main section div body td html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Elements that never hold the article, and words in a class, id or role that say the same.
+#: Elements beside the article, and words in a class, id or role that say the same.
 DROPPED = frozenset("nav footer aside form button menu dialog fieldset datalist object embed audio video canvas head".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar aside footer colophon masthead topbar toolbar cookie cookies consent gdpr notice notification alert popup modal overlay "
     "newsletter subscribe subscription signup login search comment comments disqus respond replies reply share sharing social related "
     "recommended recommendations widget widgets pagination pager skip complementary contentinfo hidden".split())
-HEADER_WORDS = frozenset(["header"])
+#: Names that drop an element are made of such words alone, or stand between these: "site-footer", "ad-box".
+#: Others ("has-sidebar", "menu-open", "notice-period") speak of something else.
+_BEFORE = ("site|page|main|primary|secondary|global|mobile|desktop|sticky|fixed|floating|top|bottom|left|right|first|second|third|post|entry|article|blog|"
+           "author|header|content|inline|in|google|dfp|gpt|wp|block|visually|[a-z]")
+_AFTER = ("box|area|wrapper|wrap|container|inner|outer|list|items?|block|section|panel|bar|content|body|title|heading|links?|buttons?|icons?|form|unit|slot|row|"
+          "columns?|col|group|posts?|articles?|stories|toggle|site|page|main|primary|secondary|top|bottom|left|right|[a-z]")
+_WORDS = "|".join(sorted(DROPPED_WORDS))
+_DROPPED_NAME = re.compile(rf"(?:(?:{_BEFORE})[^a-z]+)*(?:{_WORDS})(?:[^a-z]+(?:{_WORDS}|{_AFTER}))*[^a-z]*|is-hidden")
+_HEADER_NAME = re.compile(r"(?:(?:site|global|main|top|mobile|desktop|sticky|fixed|[a-z])[^a-z]+)*header(?:[^a-z]+(?:wrapper|wrap|container|inner|outer|bar|top|bottom|main|site|[a-z]))*[^a-z]*")
+#: What is dropped by other names or elements stays if it holds this share of the text in the page's paragraphs: it wraps the page.
+MOST = 0.8
+BESIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments disqus respond replies reply "
+    "nav navbar navigation menu breadcrumb breadcrumbs aside footer colophon contentinfo".split())
+WRAPS = frozenset("form fieldset head header".split())
 ARTICLE_WORDS = frozenset("article content post entry story main".split())
 
 #: Text beside a container is taken for part of its article up to this share of link text.
@@ -54,36 +69,51 @@ LINK_SHARE = 0.2
 LOW_SHARE, LOW_SHARE_OF_ARTICLE, LEAST_CHARS = 0.1, 0.5, 100
 
 
+@lru_cache(maxsize=10_000)
+def says_dropped(name: str) -> tuple[bool, bool]:
+    """Whether a class, id or role names a part beside the article, and whether it could yet wrap the page."""
+    dropped = bool(_DROPPED_NAME.fullmatch(name))
+    return dropped, not (dropped and BESIDE.intersection(_TOKEN.findall(name)))
+
+
 class Page:
     """The blocks of a page: for each, its text, its link text, and the elements it stands in."""
 
     def __init__(self, source: str):
         self.parent, self.path, self.tag, self.dropped = [-1], [""], [""], [False]
+        self.marked: dict[int, bool] = {}  # blocks to drop, and whether one that holds most of the page stays
         self.bonus, self.in_article = [1.0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(source)
+        self._drop()
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        names, hidden = "", False
+        names, labels, hidden = "", [], False
         if attributes:
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
                 if key in ("class", "id", "role"):
                     names += f" {key}={(a or b or c).lower()}"
+                    labels += (a or b or c).lower().split()
                 elif key == "style" and "display:none" in (a or b or c).replace(" ", "").lower():
                     hidden = True
-                elif key == "aria-hidden" and (a or b or c).lower() == "true":
+                elif key == "hidden" or key == "aria-hidden" and (a or b or c).lower() == "true":
                     hidden = True
-            hidden = hidden or bool(re.search(r"(?:^|\s)hidden(?:$|[\s=/])", attributes.lower()))
+            if not hidden and "hidden" in attributes.lower():
+                hidden = bool(re.search(r"(?:^|\s)hidden(?:$|[\s/])", _ATTRIBUTE.sub(" ", attributes).lower()))
         classes = sorted(_DIGITS.sub("#", c) for part in names.split(" class=")[1:] for c in part.split(" id=")[0].split(" role=")[0].split())
         words = set(_TOKEN.findall(names)) - {"class", "id", "role"} if names else set()
         inside_article = self.in_article[parent]
-        drop = hidden or tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(words & DROPPED_WORDS))
-        drop = drop or (not inside_article and tag not in HEADINGS and (tag == "header" or bool(words & HEADER_WORDS)) and tag not in ("html", "body", "article", "main"))
+        named = tag not in HEADINGS and tag not in ("html", "body", "article", "main")
+        said = [says_dropped(x) for x in labels] if named else []
+        drop = hidden or tag in DROPPED or any(x for x, _ in said)
+        drop = drop or (named and not inside_article and (tag == "header" or any(_HEADER_NAME.fullmatch(x) for x in labels)))
+        if drop and tag not in INLINE:
+            self.marked[len(self.parent)] = (tag not in DROPPED or tag in WRAPS) and all(x for _, x in said)
         self.parent.append(parent)
         self.path.append(f"{self.path[parent]}>{'.'.join([tag, *classes])}")
         self.tag.append(tag)
-        self.dropped.append(self.dropped[parent] or drop)
+        self.dropped.append(self.dropped[parent] or drop and tag in INLINE)
         article = tag in ("article", "main") or bool(attributes) and "articlebody" in attributes.lower()
         self.bonus.append(1.5 if article else 1.2 if words & ARTICLE_WORDS else 1.0)
         self.in_article.append(inside_article or article)
@@ -163,6 +193,46 @@ class Page:
                 add(entities.unescape(piece))
         flush()
 
+    def _drop(self) -> None:
+        """Drop what is marked, but for elements that hold the page's article or most of its text.
+
+        An element stays if the page's articles all stand in dropped elements and this one holds main,
+        or articles and half of the paragraphs; or if it may wrap a page and holds ``MOST`` of them.
+        """
+        if not self.marked:
+            return
+        size = len(self.parent)
+        paragraphs = [b for b in self.blocks if self.tag[b[0]] == "p"] or self.blocks
+        value, mains, articles = [0] * size, [0] * size, [0] * size
+        for element, text, links in paragraphs:
+            value[element] += max(0, len(text) - 2 * links)
+        total, below = sum(value), [0] * size
+        for e in range(size - 1, 0, -1):
+            up = self.parent[e]
+            below[up] += below[e] + value[e]
+            mains[up] += mains[e] + (self.tag[e] == "main")
+            articles[up] += articles[e] + (self.tag[e] == "article")
+        stays: set[int] = set()
+
+        def drop_again() -> list[bool]:
+            dropped = list(self.dropped)
+            for e in range(1, size):
+                dropped[e] = dropped[e] or dropped[self.parent[e]] or e in self.marked and e not in stays
+            return dropped
+
+        free_in = lambda dropped: any(t in ("article", "main") and not gone for t, gone in zip(self.tag, dropped))
+        dropped = drop_again()
+        free = free_in(dropped)
+        for e, wraps in sorted(self.marked.items()):
+            if dropped[self.parent[e]] or not (articles[e] or mains[e] or wraps and below[e] >= MOST * total > 0):
+                continue
+            if wraps and below[e] >= MOST * total > 0 or not free and (mains[e] or articles[e] and 2 * below[e] >= total):
+                stays.add(e)
+                dropped = drop_again()
+                free = free_in(dropped)
+        self.dropped = dropped
+        self.blocks = [b for b in self.blocks if not dropped[b[0]]]
+
     def _plain(self, tag: str, parent: int) -> int:
         self.parent.append(parent)
         self.path.append(f"{self.path[parent]}>{tag}")

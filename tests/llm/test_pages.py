@@ -104,3 +104,21 @@ def test_a_path_that_holds_a_caption_is_left(spark):
              (6, "http://a.example/y", page(f'<div class="story"><p>{"A short story. " * 10}</p></div><article>{BODY}</article>'))]
     got = {r.page_id: r.text for r in page_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert set(got.values()) == {TEXT}
+
+
+@pytest.mark.parametrize("body, wanted", [
+    *[(f'<div class="wrap {name}"><article><h1>T</h1>{BODY}</article></div>', f"T {TEXT}") for name in
+      ("has-sidebar", "no-sidebar", "menu-open", "comments-open", "left-sidebar", "sidebar", "widget")],
+    (f'<div class="content-sidebar"><main><h1>T</h1>{BODY}</main><div class="sidebar"><p>Side</p></div></div>', f"T {TEXT}"),
+    (f'<div class="sidebar-right"><h1>T</h1>{BODY}</div><div class="footer">Imprint</div>', f"T {TEXT}"),
+    (f'<form id="page"><input><div class="x"><h1>T</h1>{BODY}</div><nav><a>Menu</a></nav></form>', f"T {TEXT}"),
+    (f'<form><div class="comments"><article>{BODY}</article></div><article><h1>T</h1><p>Short</p></article></form>', "T Short"),
+    (f'<article><h2 id="search">Search</h2>{BODY}<section id="social-history"><p>History</p></section><p class="notice-period">A month</p></article>',
+     f"Search {TEXT} History A month"),
+    (f'<article>{BODY}<p>Of <a title="the hidden figures">figures</a><a hidden>no</a><a hidden="">no</a></p><p HIDDEN>no</p></article>', f"{TEXT} Of figures"),
+    (f'<article>{BODY}</article><div class="related"><article><p>Other</p></article></div>', TEXT),
+    *[(f'<article>{BODY}<div class="{name}"><p>no</p></div></article>', TEXT) for name in
+      ("ad", "ad-box", "google-ads", "cookie-notice", "comment-list", "post-share", "l-sidebar__inner", "Related-Posts", "widget-2", "is-hidden", "visually-hidden", "x nav")],
+    (f'<div class="story">{BODY}</div><div class="comments"><p>{"A reader says a lot. " * 90}</p></div>', TEXT)])
+def test_names_drop_what_they_name(body, wanted):
+    assert Page(page(body)).main_text(None) == wanted
