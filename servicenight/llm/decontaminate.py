@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from servicenight.llm.common import phrase_words, stored, text_key, without
 
 WINDOW = 10
+#: Words to either side of a window's rarest term in which proximity looks for the others.
+REACH = 20
 #: Test vocabularies up to this many words are broadcast (a few MB); larger ones are joined by shuffle.
 BROADCAST_WORDS = 200_000
 #: Follows the last word of each document in the index, so that its position is the word count.
@@ -98,23 +100,35 @@ def exact_matches(documents: DataFrame, items: DataFrame, index: DataFrame, size
 
 
 def proximity_matches(items: DataFrame, index: DataFrame, distance: int, size: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, item_id, at): places of an item's rarest term in whose reach all its words stand.
+    """(doc_id, text_key, item_id, first, at): places of a window's rarest term in whose reach all its words stand.
 
-    Reach is ``distance`` words to either side, in any order. Items with more distinct words than
-    ``size`` are looked up by their first window.
+    Reach is ``distance`` words to either side, in any order. Every window of an item is looked up;
+    ``first`` is the item's word that it begins with.
     """
-    windows = rarest_terms(index, items, size).where(F.col("first") == 0).select("item", "length", "o1")
-    words = items.select("item", "words").dropDuplicates(["item", "words"]).join(windows, "item").select(
-        "item", "o1", F.posexplode(F.slice("words", 1, F.col("length"))).alias("offset", "word")).withColumn("term", term(F.col("word")))
-    rarest = words.where(F.col("offset") == F.col("o1")).select("item", "term")
-    wanted = words.groupBy("item").agg(F.count_distinct("term").alias("wanted"))
-    centres = index.join(rarest, "term").select("doc_id", "text_key", "item", F.col("pos").alias("at")).distinct()
-    near = index.join(words.select("item", "term").distinct(), "term").alias("n")
-    found = centres.alias("c").join(near, (F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))) & (F.col("c.text_key") == F.col("n.text_key"))
-                                    & (F.col("c.item") == F.col("n.item")) & (F.abs(F.col("n.pos") - F.col("c.at")) <= distance))
-    met = found.groupBy("c.doc_id", "c.text_key", "c.item", "c.at").agg(F.count_distinct("n.term").alias("found"))
-    return met.join(wanted, "item").where(F.col("found") == F.col("wanted")).join(items.select("item", "item_id").distinct(), "item").select(
-        "doc_id", "text_key", "item_id", "at")
+    words = items.select("item", "words").dropDuplicates(["item", "words"])
+    windows = rarest_terms(index, items, size).join(words, "item").select(
+        "item", "first", term(F.element_at("words", (F.col("o1") + 1).cast("int"))).alias("term"),
+        F.array_distinct(F.transform(F.slice("words", F.col("first") + 1, F.col("length")), term)).alias("terms"))
+    by_term = stored(windows.groupBy("term").agg(F.collect_list(F.struct("item", "first", "terms")).alias("windows")))
+    # one document's postings: each with the terms around it, compared with all windows of its term in one row
+    reach = Window.partitionBy("doc_id", "text_key").orderBy("pos").rangeBetween(-distance, distance)
+    places = index.select("term", "doc_id", "text_key", "pos", F.collect_list("term").over(reach).alias("near")).join(by_term, "term")
+    met = F.filter("windows", lambda w: F.size(F.array_except(w["terms"], F.col("near"))) == 0)
+    found = places.select("doc_id", "text_key", F.col("pos").alias("at"), F.explode(met).alias("w")).select(
+        "doc_id", "text_key", F.col("w.item").alias("item"), F.col("w.first").alias("first"), "at").distinct()
+    return found.join(items.select("item", "item_id").distinct(), "item").select("doc_id", "text_key", "item_id", "first", "at")
+
+
+def proximity_report(documents: DataFrame, benchmark: DataFrame, distance: int = REACH, size: int = WINDOW) -> DataFrame:
+    """(doc_id, n_near_windows, n_near_items) of every document row: the items' windows that stand close together in it."""
+    items = stored(test_items(benchmark))
+    index = build_index(documents, items)
+    key = ["doc_id", "text_key"]
+    near = proximity_matches(items, index, distance, size).groupBy(*key).agg(
+        F.count_distinct("item_id", "first").alias("n_near_windows"), F.count_distinct("item_id").alias("n_near_items")).alias("r")
+    marks = index.where(F.col("term") == term(F.lit(END))).select(*key).alias("d")
+    return marks.join(near, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left").select(
+        "d.doc_id", F.coalesce("n_near_windows", F.lit(0)).cast("bigint").alias("n_near_windows"), F.coalesce("n_near_items", F.lit(0)).cast("bigint").alias("n_near_items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

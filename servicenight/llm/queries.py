@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op3_license_scan, op4_html_extract, op5_secret_scan, op6_line_dedup, op7_bpe,
+    op1_suffix_dedup, op2_decontaminate, op2_proximity, op3_license_scan, op4_html_extract, op5_secret_scan, op6_line_dedup, op7_bpe,
     op8_quality_rules, op9_near_dedup, op10_language_id)}
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -133,6 +133,47 @@ def test_proximity(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, "q"), (3, "q")}
 
 
+def brute_proximity(docs, items, distance, size=10):
+    found = set()
+    texts = [(i, brute.PHRASE_WORD.findall(brute.lower(t))) for i, t in docs]
+    count = {}
+    for _, w in texts:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    for item_id, text in items:
+        item = brute.PHRASE_WORD.findall(brute.lower(text))
+        for first in range(max(1, len(item) - size + 1) if item else 0):
+            window = item[first:first + size]
+            rarest = min(window, key=lambda x: (count.get(x, 0), window.index(x)))
+            found |= {(i, item_id, first, at) for i, w in texts for at, x in enumerate(w)
+                      if x == rarest and set(window) <= set(w[max(0, at - distance):at + distance + 1])}
+    return found
+
+
+def test_proximity_of_long_items(spark):
+    """Passages from all parts of long items, shuffled and spread, against brute force."""
+    r = random.Random(11)
+    items = [(f"q{k}", words(r, n, 150)) for k, n in enumerate((40, 25, 11, 10, 3))] + [("same", None), ("none", "never said in any document at all")]
+    items.append(("twin", items[1][1]))
+    docs = []
+    for i in range(60):
+        item = items[i % 5][1].split()
+        start = r.randrange(max(1, len(item) - 12))
+        part = item[start:start + 12]
+        r.shuffle(part)
+        docs.append((i, words(r, 15, 150) + " " + " ".join(x for w in part for x in ([w, "between"] if r.random() < 0.3 else [w])) + " " + words(r, 15, 150)))
+    docs += [(100, items[0][1]), (101, " ".join(items[0][1].split()[25:][::-1])), (None, items[1][1]), (102, None), (100, items[0][1]), (103, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    tested = decontaminate.test_items(benchmark)
+    wanted = brute_proximity(docs, items, 8)
+    got = {(x.doc_id, x.item_id, x.first, x.at) for x in decontaminate.proximity_matches(tested, decontaminate.build_index(frame, tested), 8).collect()}
+    assert got == wanted and {f for i, q, f, _ in got if i == 101} >= {25, 30}
+    windows = lambda i: len({(q, f) for d, q, f, _ in wanted if d == i})
+    near = lambda i: len({q for d, q, _, _ in wanted if d == i})
+    same(decontaminate.proximity_report(frame, benchmark, 8), "doc_id n_near_windows n_near_items", [(i, windows(i), near(i)) for i, _ in docs])
+
+
 def test_license_base(documents, rows):
     same(licenses.license_report(documents), "doc_id n_words n_base first_word last_word base_labels", brute.license_base(rows))
 
