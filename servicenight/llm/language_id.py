@@ -29,9 +29,13 @@ TRAIN_LANGUAGES = 200
 TRAIN_CHARS = 40_000
 EPOCHS = 6
 RATE = 8.0
-#: Share of rightly named calibration rows that rejection may cost, and the highest score it may ask for.
+#: Share of rightly named calibration rows that rejection may cost.
 REJECT_SHARE = 0.001
-REJECT_CEILING = 0.4
+#: Scores that are less than this under the threshold differ from it by rounding alone.
+ROUNDING = 1e-9
+#: For calibration, fold after fold is held back and scored by a model fitted without it, until so many rows
+#: are scored or every row is.
+FOLDS, CALIBRATION_ROWS = 5, 2000
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -88,24 +92,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]]) -> Model | None:
-    """Fit the model on (text, language) rows; None without any usable row."""
-    rows = sorted({(t, l) for t, l in rows if t and l is not None and _LETTER.search(t)})
-    if not rows:
-        return None
-    languages = sorted({l for _, l in rows})
-    place = {l: i for i, l in enumerate(languages)}
-    random = np.random.Generator(np.random.PCG64(11))
-    rows = [rows[i] for i in random.permutation(len(rows))]
-    features = [document_features(t) for t, _ in rows]
-    wanted = np.array([place[l] for _, l in rows])
-    cut = len(rows) // 5 if len(rows) >= 50 else 0
+def descend(features: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, rows: np.ndarray, n_languages: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each bucket for each language, and bias, fitted on the numbered rows.
+
+    A single language has no other to be told from: a bucket's score is then how much more often
+    it occurs than if all were alike.
+    """
+    if n_languages == 1:
+        seen = np.full(1 << BUCKET_BITS, 0.5 / (1 << BUCKET_BITS))
+        for i in rows:
+            seen[features[i][0]] += features[i][1] / max(1, len(rows))
+        return np.log(seen / seen.mean())[:, None], np.zeros(1)
     embeddings = random.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
-    layer = random.normal(0, 0.3, (DIMENSIONS, len(languages)))
-    bias = np.zeros(len(languages))
+    layer = random.normal(0, 0.3, (DIMENSIONS, n_languages))
+    bias = np.zeros(n_languages)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for i in cut + random.permutation(len(rows) - cut):
+        for i in random.permutation(rows):
             buckets, shares = features[i]
             mean = shares @ embeddings[buckets]
             error = softmax(mean @ layer + bias)
@@ -114,17 +117,45 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
             layer -= 0.05 * rate * np.outer(mean, error)
             bias -= 0.001 * rate * error
             embeddings[buckets] -= rate * np.outer(shares, back)
-    held = range(cut) if cut else range(len(rows))
-    raw = np.array([features[i][1] @ embeddings[features[i][0]] @ layer + bias for i in held])
-    truth = wanted[list(held)]
-    losses = {t: -np.log(softmax(raw * t)[np.arange(len(raw)), truth] + 1e-12).mean()
+    return embeddings @ layer, bias
+
+
+def probabilities(raw: np.ndarray, temperature: float) -> np.ndarray:
+    """Of each language; a single one is weighed against text in which all n-grams are alike."""
+    alone = raw.shape[1] == 1
+    return softmax((np.column_stack([raw, np.zeros(len(raw))]) if alone else raw) * temperature)[:, :raw.shape[1]]
+
+
+def train(rows: list[tuple[str, str]]) -> Model | None:
+    """Fit the model on (text, language) rows; None without any usable row."""
+    rows = sorted({(t, l) for t, l in rows if t and l is not None and _LETTER.search(t)})
+    if not rows:
+        return None
+    languages = sorted({l for _, l in rows})
+    place = {l: i for i, l in enumerate(languages)}
+    random = np.random.Generator(np.random.PCG64(11))
+    rows = [rows[i] for i in random.permutation(len(rows))]
+    features = [document_features(t) for t, _ in rows]
+    wanted = np.array([place[l] for _, l in rows])
+    everyone = np.arange(len(rows))
+    scores, bias = descend(features, wanted, everyone, len(languages), random)
+    held = everyone[:0]
+    raw = np.empty((len(rows), len(languages)))
+    for k in range(min(FOLDS, len(rows))):
+        if len(held) >= CALIBRATION_ROWS:
+            break
+        fold = everyone[k::FOLDS]
+        others, b = descend(features, wanted, np.delete(everyone, np.s_[k::FOLDS]), len(languages), random)
+        raw[fold] = [features[i][1] @ others[features[i][0]] + b for i in fold]
+        held = np.concatenate([held, fold])
+    raw, truth = raw[held], wanted[held]
+    losses = {t: -np.log(probabilities(raw, t)[np.arange(len(raw)), truth] + 1e-12).mean()
               for t in np.geomspace(0.25, 4, 17)}
-    temperature = float(min(losses, key=losses.get))
-    probable = softmax(raw * temperature)
+    temperature = float(min(losses, key=losses.get)) if len(languages) > 1 else 1.0
+    probable = probabilities(raw, temperature)
     right = probable.max(axis=1)[probable.argmax(axis=1) == truth]
     threshold = float(np.quantile(right, REJECT_SHARE, method="lower")) if len(right) else 0.0
-    return Model(languages, np.ascontiguousarray((embeddings @ layer).T), bias, temperature,
-                 min(threshold, REJECT_CEILING))
+    return Model(languages, np.ascontiguousarray(scores.T), bias, temperature, max(0.0, threshold - ROUNDING))
 
 
 def predictions(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -155,7 +186,7 @@ def predictions(model: Model | None, column: pa.Array) -> tuple[list[str], np.nd
                 values = np.append(row[buckets], 0.0)
                 sums[k, long] += np.add.reduceat(values, np.minimum(marks, len(buckets)))[::2]
             grams[long] += ends - starts
-        probable = softmax((sums / grams + model.bias[:, None]).T * model.temperature)
+        probable = probabilities((sums / grams + model.bias[:, None]).T, model.temperature)
         best = probable.argmax(axis=1)
         for i, k in zip(chosen, best):
             names[first + int(i)] = model.languages[k]

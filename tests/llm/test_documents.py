@@ -321,6 +321,28 @@ def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
     assert np.allclose([a[1][0] for a in alone], together[1], rtol=0, atol=1e-12)
 
 
+SPOKEN = {
+    "en": "the of and to in that was with for this have from they which one were there their what would about when more other time these people water after where".split(),
+    "de": "der die und das nicht ist ein mit sich auch auf für eine werden wird haben sind über nach durch zwischen schon wieder gegen während Menschen Wasser Straße größer".split(),
+    "fr": "le la les des est que dans une pour qui sur avec plus par elle sont cette comme mais nous vous leur être après même aussi toujours français où déjà".split(),
+    "es": "el los las una por con para como más pero sus este entre cuando todo esta ser son dos también fue había era muy años hasta desde está niño mañana".split()}
+
+
+@pytest.mark.parametrize("languages, n", [("en", 60), ("en de", 60), ("en de fr es", 60), ("en de", 12)])
+def test_texts_of_no_learned_language_are_rejected(languages, n):
+    import pyarrow as pa
+    r = random.Random(4)
+    clean = lambda count: [(" ".join(r.choice(SPOKEN[l]) for _ in range(r.randrange(25, 60))), l) for l in languages.split() for _ in range(count)]
+    model = language_id.train(clean(n))
+    strange = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randrange(2, 9))) for _ in range(40)) for _ in range(50)]
+    strange += ["Съешь же ещё этих мягких булок да выпей чаю " * 5, "これは日本語の文章です。学習していない文字です。" * 5, "Η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί " * 4]
+    _, _, rejected = language_id.predictions(model, pa.array(strange, pa.string()))
+    assert rejected.all()
+    fresh = clean(200)
+    names, _, rejected = language_id.predictions(model, pa.array([t for t, _ in fresh], pa.string()))
+    assert names == [l for _, l in fresh] and rejected.mean() <= (0.03 if n == 60 else 0.15)
+
+
 DOCUMENT_QUERIES = {
     "op1": suffix_dedup.repeat_report, "op3": licenses.license_report, "op5": secret_scan.secret_report, "op6": line_dedup.line_report,
     "op7": bpe.encoding_report, "op8": quality.quality_report, "op9": near_dedup.near_duplicate_report, "op10": language_id.language_of}
