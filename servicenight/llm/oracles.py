@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from servicenight.llm import licenses, quality
+from servicenight.llm import collocations, licenses, quality, spelling
 from servicenight.llm.common import LOWER, PHRASE_WORD, UPPER
 from servicenight.llm.secret_scan import RULES
 
@@ -151,6 +151,61 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b F
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b)::BIGINT AS component_id, min(reach.b) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n"""
 
+def _spelling_sql() -> str:
+    """Letters beyond ASCII stand as one byte each while edits are counted, since the distance counts bytes; near words share a way to leave out one letter."""
+    beyond = "".join(map(chr, range(0xC0, 0x100)))
+    plain = "".join(chr(c) for c in [*range(0x21, 0x27), *range(0x28, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), *range(0x41, 0x5B)])[:len(beyond)]
+    bits = "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda b, i: xor(b >> 1, (b & 1) * 3988292384))"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(k)), lambda i: ('0x' || substr(hex(encode(k)), 2 * i + 1, 2))::BIGINT)), lambda crc, byte: {bits})"
+    return f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{spelling.LETTERS}+')) AS run FROM documents WHERE text IS NOT NULL),
+k AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS k, count(*) AS n FROM r WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY 1, 2),
+h AS (SELECT run, n, xor({crc}, 4294967295) AS h FROM k),
+w AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+words AS (SELECT word, sum(n)::BIGINT AS n, translate(word, '{beyond}', {text(plain)}) AS bytes FROM w WHERE length(word) >= {spelling.LEAST_LENGTH}
+  GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+less AS (SELECT DISTINCT word, bytes, n, cut FROM (
+  SELECT word, bytes, n, unnest(list_prepend(bytes, list_transform(range(strlen(bytes)), lambda i: substr(bytes, 1, i) || substr(bytes, i + 2)))) AS cut FROM words)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.cut = b.cut AND a.word <> b.word WHERE levenshtein(a.bytes, b.bytes) = 1),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+told AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= {spelling.FORM_FACTOR} * n THEN other END AS form,
+  CASE WHEN other_n >= {spelling.FORM_FACTOR} * n THEN other_n END::BIGINT AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS step FROM told UNION ALL SELECT chain.word, told.form, step + 1 FROM chain JOIN told ON told.word = chain.root WHERE told.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, (SELECT arg_max(root, step) FROM chain c WHERE c.word = told.word) AS root FROM told"""
+
+
+def _collocation_sql() -> str:
+    phrase = lambda lo, hi: f"array_to_string(w[{lo}:{hi}], ' ')"
+    sizes = range(1, collocations.LONGEST + 1)
+    following = ", ".join(f"lead(w1, {k - 1}) OVER o AS w{k}" for k in sizes[1:])
+    runs = " UNION ALL ".join(f"SELECT lang, {k} AS k, {' || chr(32) || '.join(f'w{j}' for j in sizes[:k])} AS p FROM runs" for k in sizes)
+    cuts = " UNION ALL ".join(f"SELECT lang, p, k, a, {j} AS j, {phrase(1, j)} AS lp, {phrase(j + 1, 'k')} AS rp FROM c WHERE k > {j}" for j in range(1, collocations.LONGEST))
+    inside = " UNION ALL ".join(f"SELECT lang, a, {phrase(i, j)} AS p FROM c WHERE k >= {j} AND k > {j - i + 1}"
+                                for i in range(1, collocations.LONGEST + 1) for j in range(i + 1, collocations.LONGEST + 1))
+    return f"""
+WITH texts AS (SELECT coalesce(lang, '{collocations.NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array({lower('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM texts),
+words AS (SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM pieces),
+runs AS (SELECT lang, w1, {following} FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT *, string_split(p, ' ') AS w FROM (SELECT lang, k, p, count(*) AS a FROM ({runs}) WHERE p IS NOT NULL GROUP BY lang, k, p)),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= {collocations.LEAST_COUNT}),
+cut AS ({cuts}),
+part AS MATERIALIZED (SELECT lang, p, a FROM f WHERE a >= {collocations.LEAST_COUNT}),
+half AS MATERIALIZED (SELECT cut.*, part.a AS l FROM cut JOIN part ON part.lang = cut.lang AND part.p = lp),
+scored AS (SELECT half.lang, half.p, half.a, j, l, part.a AS r, (2000000::HUGEINT * half.a) // (l + part.a) AS score
+  FROM half JOIN part ON part.lang = half.lang AND part.p = rp),
+lowest AS (SELECT lang, p, a, unnest(first(struct_pack(l, r, score) ORDER BY score, j)) FROM scored GROUP BY 1, 2, 3),
+longer AS (SELECT lang, p, max(a) AS most FROM ({inside}) GROUP BY 1, 2),
+ends AS (SELECT lang, p, max(a) FILTER (WHERE side = 'left') AS best_left, max(a) FILTER (WHERE side = 'right') AS best_right FROM (
+  SELECT lang, a, {phrase(2, 'k')} AS p, 'left' AS side FROM c WHERE k > 2 UNION ALL SELECT lang, a, {phrase(1, 'k - 1')}, 'right' FROM c WHERE k > 2) GROUP BY 1, 2),
+ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank
+  FROM lowest LEFT JOIN longer USING (lang, p) WHERE most IS NULL OR 100 * most < {collocations.ABSORBED_PERCENT} * a)
+SELECT ranked.lang, rank::BIGINT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score,
+  best_left::BIGINT AS best_left, best_right::BIGINT AS best_right
+FROM ranked JOIN (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) LEFT JOIN ends USING (lang, p) WHERE rank <= {collocations.TOP}"""
+
+
 ORACLES = {
     "op1_suffix_dedup": SUFFIX_DEDUP, "op2_decontaminate": DECONTAMINATE, "op3_license_scan": _license_sql(), "op5_secret_scan": _secret_sql(),
-    "op6_line_dedup": LINE_DEDUP, "op8_quality_rules": _quality_sql(), "op9_near_dedup": NEAR_DEDUP}
+    "op6_line_dedup": LINE_DEDUP, "op8_quality_rules": _quality_sql(), "op9_near_dedup": NEAR_DEDUP,
+    "op12_spelling": _spelling_sql(), "op13_collocations": _collocation_sql()}

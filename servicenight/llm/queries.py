@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from servicenight.llm import (bpe, decontaminate, html_extract, language_id, licenses, line_dedup, near_dedup, oracles,
-                              quality, secret_scan, suffix_dedup)
+from servicenight.llm import (bpe, collocations, decontaminate, html_extract, language_id, licenses, line_dedup, near_dedup, oracles,
+                              quality, secret_scan, simhash, spelling, suffix_dedup)
 from servicenight.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_decontaminate, op2_proximity, op3_license_scan, op4_html_extract, op5_secret_scan, op6_line_dedup, op7_bpe,
-    op8_quality_rules, op9_near_dedup, op10_language_id)}
+    op8_quality_rules, op9_near_dedup, op10_language_id, op11_simhash, op12_spelling, op13_collocations)}
 ORACLES: dict[str, str] = oracles.ORACLES
