@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from servicenight import rules
 from servicenight.session import ensure_checkpoint_dir, materialize
-from servicenight.sources import exports, ledger, warehouse
+from servicenight.sources import exports, ledger, ranges, warehouse
 from servicenight.plans import standins as S
-from servicenight.plans.registry import query
+from servicenight.plans.registry import ORACLES, query
 from servicenight.plans.sql_base import b, cte, f, i, money, sql, t
 
 _HEADER = ",".join(rules.LAYOUTS["C"])
@@ -48,11 +48,14 @@ SELECT source_file, {i('''2 + coalesce(sum(1 + breaks) OVER (PARTITION BY n ORDE
 FROM x_lines JOIN x_files USING (n)"""))
 def export_records(spark, sf):
     """Records of every export, numbered by the line they start on."""
+    return _record_cells(exports.parse_files(_files(spark, sf)))
+
+
+def _record_cells(records):
     cells = {name: F.col("fields")[rules.LAYOUTS["C"].index(source)] for name, source in {
         "order_id": "Order Id", "checks_text": "Checks", "opened_text": "Opened",
         "guests_text": "# of Guests", "table_text": "Table", "amount_text": "Amount",
         "total_text": "Total"}.items()}
-    records = exports.parse_files(_files(spark, sf))
     return records.where("kind = 'row'").select(
         "source_file", "source_row_number", *[c.alias(n) for n, c in cells.items()])
 
@@ -98,6 +101,55 @@ def committed_rows(spark, sf):
     return ledger.committed(records, log).groupBy("source_file", "load_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+cte("x_items", """
+SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey, l_orderkey % 300 + 1 AS number, l_suppkey, sent_at, menu_item, price_c, discount_c,
+  halves, net_c, is_void, l_partkey
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) AS nth
+      FROM (SELECT i.*, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax, l.l_shipdate FROM lineitem l JOIN v_items i
+            ON i.l_orderkey = l.l_orderkey AND i.item_selection_id = l.l_orderkey * 10 + l.l_linenumber AND i.l_partkey = l.l_partkey
+              AND i.l_suppkey = l.l_suppkey AND i.l_extendedprice = l.l_extendedprice AND i.l_returnflag = l.l_returnflag AND i.l_linestatus = l.l_linestatus))
+WHERE nth = 1""")
+cte("x_item_files", f"""
+SELECT printf('ItemSelectionDetails_%08d.csv', l_orderkey // 100) AS source_file, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY id) + 1 AS line,
+  x.*, strftime(sent_at, '%-m/%-d/%y %-I:%M %p') AS sent FROM x_items x""")
+
+
+@query("folder_files", sql("""
+SELECT source_file, sha256(content) AS file_hash FROM x_files"""))
+def folder_files(spark, sf):
+    """The order exports of a folder, as a scan finds them."""
+    return exports.scan_folder(spark, S.export_folder(spark, sf), "Order*.csv").select("source_file", "file_hash")
+
+
+@query("folder_records", ORACLES["export_records"])
+def folder_records(spark, sf):
+    """Records of the order exports of a folder, each file read in ranges."""
+    folder = S.export_folder(spark, sf)
+    records = ranges.parse_folder(spark, folder, exports.scan_folder(spark, folder, "Order*.csv"))
+    return _record_cells(records)
+
+
+@query("folder_items", sql(f"""
+SELECT source_file, {i('line', 'source_row_number')}, id::VARCHAR AS id, 'Café ' || menu_item AS menu_item, sent FROM x_item_files"""))
+def folder_items(spark, sf):
+    """Records of the item exports of a folder, in Windows-1252, each file read in ranges."""
+    folder = S.export_folder(spark, sf)
+    records = ranges.parse_folder(spark, folder, exports.scan_folder(spark, folder, "Item*.csv"))
+    cell = lambda name: F.col("fields")[rules.LAYOUTS["ITEM_B"].index(name)]
+    return records.where("kind = 'row'").select("source_file", "source_row_number", cell("Item Selection Id").alias("id"),
+                                                cell("Menu Item").alias("menu_item"), cell("Sent Date").alias("sent"))
+
+
+@query("unseen_or_refused", sql(f"""
+SELECT 'OrderDetails_' || right(source_file, 12) AS source_file, sha256(content) AS file_hash FROM x_files WHERE n % 2 = 1 AND n % 3 <> 0"""))
+def unseen_or_refused(spark, sf):
+    """Files still to load where every third one was refused before: those are not parsed again."""
+    files, log = _seen(spark, sf)
+    number = F.regexp_extract("source_file", r"(\d+)\.csv$", 1).cast("bigint")
+    return ledger.unseen_files(files, log, files.where(number % 3 == 0)).select("source_file", "file_hash")
+
+
 @query("legacy_rows", sql(f"""
 SELECT source_file, {i('source_row_number')}, {t('opened_at', 'opened')}, {i('coalesce(guests, 0)', 'guests')},
   table_code, {money('amount', 'total')}
@@ -128,17 +180,6 @@ def _warehouse(spark, sf) -> str:
     return _BUILT[key]
 
 
-cte("x_items", """
-SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey, l_orderkey % 300 + 1 AS number, l_suppkey, sent_at, menu_item, price_c, discount_c,
-  halves, net_c, is_void, l_partkey
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-        ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) AS nth
-      FROM (SELECT i.*, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax, l.l_shipdate FROM lineitem l JOIN v_items i
-            ON i.l_orderkey = l.l_orderkey AND i.item_selection_id = l.l_orderkey * 10 + l.l_linenumber AND i.l_partkey = l.l_partkey
-              AND i.l_suppkey = l.l_suppkey AND i.l_extendedprice = l.l_extendedprice AND i.l_returnflag = l.l_returnflag AND i.l_linestatus = l.l_linestatus))
-WHERE nth = 1""")
-
-
 @query("refreshed_order_facts", sql(f"""
 SELECT {i('order_id')}, {i("strftime(service_date, '%Y%m%d')::BIGINT", 'date_key')}, coalesce(section, 'No table') AS section,
   {money('amount', 'total')}, {i('checks')} FROM v_placed"""))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from servicenight import rules
-from servicenight.operators import menu, prices
+from servicenight.functions import calendar
+from servicenight.operators import intervals, menu, prices
 from servicenight.plans import frames, standins as S
-from servicenight.plans.registry import query
+from servicenight.plans.registry import ORACLES, query
 from servicenight.plans.sql_base import FORCE, b, d, f, i, quoted, sql, t
 
 
@@ -58,6 +59,16 @@ def price_in_force(spark, sf):
         "item_selection_id", "menu_item", "sday", "gross_price", "list_price", "since")
 
 
+@query("price_in_force_swept", ORACLES["price_in_force"])
+def price_in_force_swept(spark, sf):
+    """The same by a sweep over sales and price versions, as if both were large."""
+    items = S.items(spark, sf)
+    versions = prices.price_versions(prices.stored_price_counts(items)).withColumnRenamed("menu_item", "_item")
+    dated = items.withColumn("sday", calendar.service_date(F.col("sent_at")))
+    joined = intervals.interval_join(dated, versions, [("menu_item", "_item")], "sday", "valid_from", "valid_to")
+    return joined.select("item_selection_id", "menu_item", "sday", "gross_price", "list_price", F.col("valid_from").alias("since"))
+
+
 @query("item_facts", sql(f"""
 SELECT {i('item_selection_id')}, {i('order_id')}, {i('check_id')}, {i('date_key')}, {i('menu_item_key')},
   {t('sent_at')}, {f('round(after_seconds / 60.0::DOUBLE, 1)', 'minutes_after_open')}, {f('halves / 2.0', 'qty')},

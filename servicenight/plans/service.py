@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from servicenight import rules
-from servicenight.operators import cleaning, floorplan, occupancy, rates, regression, trend, turns
+from servicenight.functions import calendar
+from servicenight.operators import cleaning, floorplan, intervals, occupancy, rates, regression, trend, turns
 from servicenight.plans import frames, standins as S
-from servicenight.plans.registry import query
+from servicenight.plans.registry import ORACLES, query
+from servicenight.session import materialize
 from servicenight.plans.sql_base import RESERVED, b, d, f, i, quoted, sql, t
 
 NT = rules.RESERVATION_TABLES
@@ -329,6 +331,18 @@ def arrival_conflicts(spark, sf):
         "order_id", "service_date", "slot", "guests", "amount")
 
 
+@query("arrival_conflicts_swept", ORACLES["arrival_conflicts"])
+def arrival_conflicts_swept(spark, sf):
+    """The same by a sweep over arrivals and stays, without a row per slot of a stay."""
+    reserved = materialize(frames.reserved(spark, sf))
+    slot = lambda c: calendar.slot_of(F.col(c), F.col("service_date"))
+    stays = reserved.where("table_code = 'E3' AND guests <= 4 AND paid_at IS NOT NULL").select(
+        F.col("service_date").alias("_night"), slot("opened_at").alias("_from"), slot("paid_at").alias("_to"))
+    arrivals = reserved.where("guests BETWEEN 5 AND 6").withColumn("slot", slot("opened_at"))
+    joined = intervals.interval_join(arrivals, stays, [("service_date", "_night")], "slot", "_from", "_to", "left_semi", closed=True)
+    return joined.select("order_id", "service_date", "slot", "guests", "amount")
+
+
 @query("partner_free", sql(f"""
 SELECT anchor, partner, {i('count(*)', 'parties')}, {i('count(*) FILTER (WHERE NOT taken)', 'free')},
   {f('100.0::DOUBLE * count(*) FILTER (WHERE NOT taken) / count(*)', 'free_pct')} FROM (

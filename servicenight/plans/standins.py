@@ -6,12 +6,14 @@ into the floor plan's years), ``events`` for visits of exports without ids.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.operators import staging
+from servicenight.session import ensure_checkpoint_dir
 
 ORDER_SHIFT_DAYS = 10958    # 30 years
 VISIT_SHIFT_DAYS = 762
@@ -320,6 +322,31 @@ def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(F.concat(F.lit(",".join(rules.LAYOUTS["ITEM_B"]) + "\r\n"), body, F.lit("\r\n")), "ISO-8859-1").alias("content"))
 
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def export_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the order and item exports as files, written once per application under the checkpoint folder.
+
+    The text source ends the last line itself; it writes one file per name, which then gets that name.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS:
+        root = f"{ensure_checkpoint_dir(spark)}/exports-{uuid.uuid4().hex}"
+        files = export_files(spark, sf_dir).unionByName(item_files(spark, sf_dir))
+        files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
+                     F.expr("cast(substring(content, 1, length(content) - 1) as string)").alias("value")).write.partitionBy("name").text(f"{root}/parts")
+        place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files"))
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/parts/name=*/part-*")):
+            name = status.getPath().getParent().getName().removeprefix("name=")
+            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files/{name}"))
+        fs.deleteOnExit(place)
+        _FOLDERS[key] = f"{root}/files"
+    return _FOLDERS[key]
+
+
 def daily_weather(nights: DataFrame) -> DataFrame:
     """A weather table with one row per night, computed from the date; every 17th day is missing."""
     day = F.datediff("service_date", F.lit("2000-01-01").cast("date"))

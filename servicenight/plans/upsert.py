@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from servicenight.functions import measures
 from servicenight.operators import cleaning, floorplan, merge, turns
 from servicenight.plans import frames, standins as S
-from servicenight.plans.registry import query
-from servicenight.sources import exports, legacy
+from servicenight.plans.registry import ORACLES, query
+from servicenight.session import ensure_checkpoint_dir, materialize
+from servicenight.sources import exports, legacy, merged
 from servicenight.plans.sql_base import b, cte, d, f, i, literal, s, sql, t
 
 _FIELDS = ["opened", "guests", "table_code", "discount_c", "amount_c", "tax_c", "tip_c", "gratuity_c",
@@ -66,6 +69,16 @@ def merge_pulls(spark, sf):
     return merge.merge_pulls(frames.pulls(spark, sf))
 
 
+@query("merged_in_steps", ORACLES["merge_pulls"])
+def merged_in_steps(spark, sf):
+    """The same from a stored target that the pulls are merged into one by one, the last one first and the first one twice."""
+    rows = materialize(frames.pulls(spark, sf))
+    root = f"{ensure_checkpoint_dir(spark)}/merged-{uuid.uuid4().hex}"
+    for rank in (2, 0, 1, 0):
+        merged.merge_into(spark, root, rows.where(F.col("pull_rank") == rank), buckets=8)
+    return merged.read(spark, root)
+
+
 _REVISED = " OR ".join(f"(p.{c} IS NOT NULL AND p.{c} IS DISTINCT FROM m.{c})" for c in _FIELDS)
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from servicenight import rules
 from servicenight.functions import calendar, measures, parse
-from servicenight.operators import floorplan, hours, regression, staging, trend
+from servicenight.operators import floorplan, hours, intervals, regression, staging, trend
 from servicenight.plans import frames, standins as S
-from servicenight.plans.registry import query
+from servicenight.plans.registry import ORACLES, query
 from servicenight.plans.sql_base import FORCE, b, d, f, i, literal, money, s, sql, t
 
 # --- parsing ----------------------------------------------------------------------------------
@@ -140,6 +140,14 @@ def table_in_force(spark, sf):
         "order_id", "table_code", "section", "seats_max")
 
 
+@query("table_in_force_swept", ORACLES["table_in_force"])
+def table_in_force_swept(spark, sf):
+    """The same by a sweep over orders and floor-plan rows, as if both were large."""
+    plan = floorplan.tables(spark).withColumnRenamed("table_code", "_code")
+    joined = intervals.interval_join(S.orders(spark, sf), plan, [("table_code", "_code")], "service_date", "valid_from", "valid_to", "left")
+    return joined.select("order_id", "table_code", "section", "seats_max")
+
+
 @query("order_seating", sql(f"""
 SELECT {i('order_id')}, {d('service_date')}, table_code, {i('guests')}, section, seating_fit, seating_unit,
   {i('unit_seats')}, {b('guests_implausible')} FROM v_placed"""))

@@ -7,13 +7,15 @@ next run simply writes it again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.operators.ordering import number_rows
 from servicenight.session import materialize
-from servicenight.sources import exports
+from servicenight.sources import exports, ranges
 
 LOG_SCHEMA = ("load_id bigint, source_file string, file_hash string, export_type string, "
               "row_count int, loaded_at timestamp")
@@ -55,10 +57,11 @@ def read_refusals(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], REFUSAL_SCHEMA) if refused is None else refused
 
 
-def unseen_files(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Files whose bytes were never loaded; of equal files in one batch the first by name."""
+def unseen_files(files: DataFrame, log: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """Files whose bytes were never loaded nor refused; of equal files in one batch the first by name."""
     first = files.groupBy("file_hash").agg(F.min("source_file").alias("source_file"))
-    return first.join(log.select("file_hash"), "file_hash", "left_anti")
+    unseen = first.join(log.select("file_hash"), "file_hash", "left_anti")
+    return unseen if refused is None else unseen.join(refused.select("file_hash"), "file_hash", "left_anti")
 
 
 def assign_load_ids(unseen: DataFrame, log: DataFrame) -> DataFrame:
@@ -84,16 +87,18 @@ def read_raw(spark: SparkSession, root: str, export_type: str) -> DataFrame:
     return committed(stored, read_log(spark, root)).drop("file_hash")
 
 
-def load_files(files: DataFrame, root: str) -> DataFrame:
+def load_files(files: DataFrame, root: str, parse: Callable[[DataFrame], DataFrame] = exports.parse_files,
+               retry_refused: bool = False) -> DataFrame:
     """Load every unseen file that can be read faithfully; record the others with their reason.
 
-    A refused file holds up no other and leaves no row. Returns the log rows added.
+    A refused file holds up no other and leaves no row; its bytes are not parsed again unless
+    ``retry_refused`` says so, as after a rule change. Returns the log rows added.
     """
     spark = files.sparkSession
     log = read_log(spark, root)
-    wanted = unseen_files(files, log)
+    wanted = unseen_files(files, log, None if retry_refused else read_refusals(spark, root))
     # Parsed once and stored: the checks, every layout and the log read the same records.
-    records = materialize(exports.parse_files(files.join(wanted, ["source_file", "file_hash"], "left_semi")))
+    records = materialize(parse(files.join(wanted, ["source_file", "file_hash"], "left_semi")))
     layouts = exports.layout_table(spark)
     refused = materialize(exports.refused_files(records, layouts))
     record_refusals(refused, root)
@@ -129,10 +134,10 @@ def record_refusals(refused: DataFrame, root: str) -> None:
     fresh.write.mode("append").parquet(f"{root}/raw/refused")
 
 
-def load_folder(spark: SparkSession, folder: str, root: str, strict: bool = False) -> DataFrame:
-    """Load a folder's new exports. With ``strict``, raise afterwards if it holds a refused file."""
-    files = exports.scan_folder(spark, folder)
-    added = load_files(files, root)
+def load_folder(spark: SparkSession, folder: str, root: str, strict: bool = False, retry_refused: bool = False) -> DataFrame:
+    """Load a folder's new exports, each read in ranges. With ``strict``, raise afterwards if it holds a refused file."""
+    files = materialize(exports.scan_folder(spark, folder).drop("content"))  # every file's bytes are read for its fingerprint once
+    added = load_files(files, root, lambda wanted: ranges.parse_folder(spark, folder, wanted), retry_refused)
     if strict:
         here = read_refusals(spark, root).join(files.select("file_hash"), "file_hash", "left_semi")
         some = here.orderBy("source_file").limit(5).collect()

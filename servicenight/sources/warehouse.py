@@ -21,14 +21,15 @@ TABLES = ("staging/orders", "staging/item_selections", "staging/order_seating",
 DONE = "_done"
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
+    """A path and its file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Finished versions, oldest first; a version's name starts with the time it was begun."""
-    pattern, fs = _folder(spark, f"{root}/versions/*/{DONE}")
+    pattern, fs = folder_of(spark, f"{root}/versions/*/{DONE}")
     return sorted(s.getPath().getParent().getName() for s in fs.globStatus(pattern) or [])
 
 
@@ -87,10 +88,10 @@ def refresh(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     placed = floorplan.with_placement(orders, plan, combos)
     store("analytics/fact_order", facts.order_facts(placed, units))
     store("analytics/fact_item_selection", facts.item_facts(items, orders, menu))
-    done, fs = _folder(spark, f"{folder}/{DONE}")
+    done, fs = folder_of(spark, f"{folder}/{DONE}")
     fs.mkdirs(done)
     for old in versions(spark, root)[:-2]:
-        fs.delete(_folder(spark, f"{root}/versions/{old}")[0], True)
+        fs.delete(folder_of(spark, f"{root}/versions/{old}")[0], True)
     return out
 
 
