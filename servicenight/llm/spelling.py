@@ -82,12 +82,13 @@ def signatures(words: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """(a, an, b, bn): every pair of words one edit apart, once, with their counts."""
-    posted = stored(signatures(words))
-    a = posted.select("signature", F.col("longer").alias("al"), F.col("word").alias("a"), F.col("n").alias("an"))
-    b = posted.select("signature", F.col("longer").alias("bl"), F.col("word").alias("b"), F.col("n").alias("bn"))
-    meet = (F.col("al").isNull() & (F.col("a") < F.col("b"))) | (F.col("al") & ~F.col("bl"))
-    pairs = a.join(b, "signature").where(meet & (F.levenshtein("a", "b", 1) == 1))
-    return pairs.select("a", "an", "b", "bn").distinct()
+    # words are dealt out anew, since each becomes many rows; both sides of the join read one shuffle
+    dealt = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    posted = signatures(dealt).repartition("signature")
+    # one expression over both sides: a part of it pushed to one side would make two shuffles
+    meet = F.when(F.col("a.longer").isNull(), F.col("a.word") < F.col("b.word")).otherwise(F.col("a.longer") & ~F.col("b.longer"))
+    pairs = posted.alias("a").join(posted.alias("b"), (F.col("a.signature") == F.col("b.signature")) & meet & (F.levenshtein("a.word", "b.word", 1) == 1))
+    return pairs.select(F.col("a.word").alias("a"), F.col("a.n").alias("an"), F.col("b.word").alias("b"), F.col("b.n").alias("bn")).distinct()
 
 
 def roots_of(forms: DataFrame) -> DataFrame:
