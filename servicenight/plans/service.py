@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from servicenight import rules
 from servicenight.functions import calendar
-from servicenight.operators import cleaning, floorplan, intervals, occupancy, rates, regression, trend, turns
+from servicenight.operators import cleaning, floorplan, intervals, medians, occupancy, rates, regression, trend, turns
 from servicenight.plans import frames, standins as S
 from servicenight.plans.registry import ORACLES, query
 from servicenight.session import materialize
@@ -121,6 +121,13 @@ def turn_gaps(spark, sf):
 _GAP = f"{i('count(*)', 'turns')}, {f('median(turn_gap)', 'median_gap')}, {f('avg(turn_gap)', 'mean_gap')}"
 
 
+@query("gap_medians", sql(f"""
+SELECT table_code, service_dow, {f('median(turn_gap)', 'median_gap')} FROM t_res WHERE turn_gap IS NOT NULL GROUP BY table_code, service_dow"""))
+def gap_medians(spark, sf):
+    """The median gap per table and weekday, selected by refining histograms."""
+    return medians.median_of(materialize(frames.reserved_turns(spark, sf)), ["table_code", "service_dow"], "turn_gap", "median_gap")
+
+
 @query("gap_by_weekday", sql(f"""
 SELECT service_dow, {i('turns')}, {f('median_gap')}, {f('mean_gap')}, {f('turns_per_table_night')} FROM
   (SELECT service_dow, count(*) AS turns, median(turn_gap) AS median_gap, avg(turn_gap) AS mean_gap
