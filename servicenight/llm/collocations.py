@@ -6,7 +6,9 @@ forwards and backwards. A phrase is a pair of intervals, one in each. Extending
 length by a word, to the left in one transform or to the right in the other, gives the phrases one word
 longer with their counts; the other interval follows from the counts of smaller words. Each new
 phrase also tells which phrases it is without its first and without its last word: both have to be frequent.
-Counts are summed across shards, and the frequent phrases go back to the shards that hold them.
+Counts are summed across shards. A sieve of bounded size holds the frequent phrases of a length; for the next
+length each shard goes on from those of its phrases that the sieve lets through. What it lets through in
+excess costs work, but no result: a longer phrase counts only if both its shorter ones are frequent in fact.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ NO_LANGUAGE = "und"
 #: Words of one shard, and of all shards that a task holds open.
 SHARD_WORDS = 1 << 20
 OPEN_WORDS = 3 << 20
-#: Shards whose counts of a phrase are brought together in one row.
-BLOCK = 512
+#: Bits of the largest sieve; more phrases let more others through, and lose none.
+SIEVE_BITS = 1 << 28
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -115,26 +117,21 @@ def shards(documents: DataFrame) -> DataFrame:
 
 @dataclass
 class Phrases:
-    """Phrases of one length in a shard: intervals in both transforms, ids, and what they extend (places in the list before)."""
+    """Phrases of one length in a shard: the ids of their words, one column per word, and their intervals in both transforms."""
 
+    words: np.ndarray
     low: np.ndarray
     back: np.ndarray
     size: np.ndarray
-    ids: np.ndarray | None = None
-    prefix: np.ndarray | None = None
-    suffix: np.ndarray | None = None
 
-    def take(self, rows: np.ndarray, ids: np.ndarray) -> Phrases:
-        return Phrases(self.low[rows], self.back[rows], self.size[rows], ids)
+    def take(self, rows: np.ndarray) -> Phrases:
+        return Phrases(self.words[rows], self.low[rows], self.back[rows], self.size[rows])
 
 
 def transform(text: np.ndarray) -> np.ndarray:
-    """The Burrows-Wheeler transform with rotations in order of their first ``LONGEST`` words, which is all that phrases need."""
-    rank, width = text.astype(np.int64), 1
-    while width < LONGEST:
-        rank = np.unique(rank * (int(rank.max()) + 1) + np.roll(rank, -width), return_inverse=True)[1].ravel()
-        width *= 2
-    return text[np.argsort(rank) - 1]
+    """The Burrows-Wheeler transform with rotations in order of their first three words, which is all that intervals of ``LONGEST - 1`` words need."""
+    wide, n = text.astype(np.int64), int(text.max()) + 1
+    return text[np.argsort((wide * n + np.roll(wide, -1)) * n + np.roll(wide, -2)) - 1]
 
 
 def last_to_first(column: np.ndarray) -> np.ndarray:
@@ -151,10 +148,10 @@ class Index:
         self.forward, self.backward, self.ids = forward, backward, ids
         self._steps: dict[bool, np.ndarray] = {}
 
-    def words(self) -> Phrases:
+    def single_words(self) -> Phrases:
         size = np.bincount(self.forward, minlength=len(self.ids) + 1)
         low = (np.cumsum(size) - size)[1:]
-        return Phrases(low, low, size[1:], self.ids)
+        return Phrases(self.ids[:, None], low, low, size[1:])
 
     def extended(self, phrases: Phrases, left: bool) -> Phrases:
         """The phrases with one more word on a side, where both of their shorter phrases are among the given ones."""
@@ -162,44 +159,28 @@ class Index:
         if left not in self._steps:
             self._steps[left] = last_to_first(column)
         here, there = (phrases.low, phrases.back) if left else (phrases.back, phrases.low)
-        size, none = phrases.size, np.zeros(0, np.int64)
+        size = phrases.size
         if not len(size):
-            return Phrases(none, none, none, None, none, none)
+            none = np.zeros(0, np.int64)
+            return Phrases(np.zeros((0, phrases.words.shape[1] + 1), np.int64), none, none, none)
         owner = np.repeat(np.arange(len(size)), size)
         begin = np.cumsum(size) - size
         rows = np.arange(int(size.sum())) - begin[owner] + here[owner]
         key = owner * (len(self.ids) + 1) + column[rows]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        order = np.argsort(key)
+        key, rows = key[order], rows[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
         owner, word = key[first] // (len(self.ids) + 1), key[first] % (len(self.ids) + 1)
-        low = self._steps[left][rows[order[first]]]
+        low = self._steps[left][np.minimum.reduceat(rows, first)]
         other = there[owner] + first - begin[owner]
         by_low = np.argsort(here)
         place = by_low[np.maximum(np.searchsorted(here[by_low], low, "right") - 1, 0)]
         keep = (word > 0) & (low >= here[place]) & (low < here[place] + size[place])
         low, other, count, owner, place = low[keep], other[keep], count[keep], owner[keep], place[keep]
-        return Phrases(low, other, count, None, place, owner) if left else Phrases(other, low, count, None, owner, place)
-
-
-def longer(index: Index, known: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[Phrases, Phrases]:
-    """The phrases one word longer than the known ones, which are given by length from two words on, and those they extend.
-
-    Left and right extension take turns, so that each needs the interval that the other kept up.
-    """
-    phrases = index.words()
-    for depth, (prefix, suffix, ids) in enumerate(known):
-        found = index.extended(phrases, depth % 2 == 0)
-        order = np.argsort(phrases.ids)
-        place = lambda x: order[np.searchsorted(phrases.ids[order], x)]
-        wanted = place(prefix) * len(order) + place(suffix)
-        by_key = np.argsort(wanted)
-        key = found.prefix * len(order) + found.suffix
-        at = by_key[np.minimum(np.searchsorted(wanted[by_key], key), len(wanted) - 1)] if len(wanted) else np.zeros(0, np.int64)
-        rows = np.flatnonzero(wanted[at] == key) if len(wanted) else at
-        phrases = found.take(rows, ids[at[rows]])
-    return index.extended(phrases, len(known) % 2 == 0), phrases
+        prefix, suffix = (place, owner) if left else (owner, place)
+        words = np.column_stack([phrases.words[prefix], phrases.words[suffix][:, -1]])
+        return Phrases(words, low, other, count) if left else Phrases(words, other, low, count)
 
 
 _INDEX_SCHEMA = "shard long, n_tokens long, forward binary, backward binary, ids array<long>"
@@ -227,45 +208,77 @@ def build_indexes(cut: DataFrame, frequent: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(work, _INDEX_SCHEMA))
 
 
-def extensions(indexes: DataFrame, known: list[DataFrame]) -> DataFrame:
-    """(shard, prefix, suffix, n): each shard's phrases one word longer than the known ones."""
-    rows, depth = indexes, len(known)
-    for k, lists in enumerate(known):
-        rows = rows.join(lists.withColumnRenamed("known", f"known{k}"), "shard")
+def word_columns(size: int) -> list[str]:
+    return [f"w{k}" for k in range(1, size + 1)]
+
+
+def sieve_places(words: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        h = textvec.mix(h * np.uint64(textvec.BASE) + words[:, k].astype(np.uint64) + np.uint64(1))
+    return [(part & np.uint64(bits - 1)).astype(np.int64) for part in (h, h >> np.uint64(32))]
+
+
+def sifted(phrases: Phrases, sieve: np.ndarray) -> Phrases:
+    a, b = sieve_places(phrases.words, 64 * len(sieve))
+    bit = lambda at: sieve[at >> 6] >> (at & 63).astype(np.uint64)
+    return phrases.take(np.flatnonzero(bit(a) & bit(b) & np.uint64(1)))
+
+
+def make_sieve(frequent: DataFrame, size: int) -> np.ndarray:
+    """Bits at two places of every frequent phrase, as words of 64; of ``SIEVE_BITS`` at most, whatever the number of phrases."""
+    bits, names = min(SIEVE_BITS, 1 << max(12, (16 * frequent.count()).bit_length())), word_columns(size)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(sieve_places(np.column_stack([batch.column(c).to_numpy() for c in names]), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    filled = frequent.select(*names).mapInArrow(work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def extensions(indexes: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
+    """(w1, w2, ..., n): each shard's phrases one word longer than the last sieve's, which start with two words, and their counts there.
+
+    Left and right extension take turns, so that each needs the interval that the other kept up.
+    """
+    names = [*word_columns(len(sieves) + 2), "n"]
+    held = indexes.sparkSession.sparkContext.broadcast(sieves)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                cell = lambda name: batch.column(name)[i]  # noqa: B023, E731
-                n, shard = cell("n_tokens").as_py(), cell("shard").as_py()
-                index = Index(unpacked(cell("forward").as_py(), n), unpacked(cell("backward").as_py(), n), cell("ids").values.to_numpy())
-                lists = [tuple(cell(f"known{k}").values.field(c).to_numpy() for c in ("prefix", "suffix", "id")) for k in range(depth)]
-                found, shorter = longer(index, lists)
+            for n, forward, backward, ids in zip(*(batch.column(c) for c in ("n_tokens", "forward", "backward", "ids"))):
+                index = Index(unpacked(forward.as_py(), n.as_py()), unpacked(backward.as_py(), n.as_py()), ids.values.to_numpy())
+                found = index.extended(index.single_words(), True)
+                for depth, sieve in enumerate(held.value):
+                    found = index.extended(sifted(found, sieve), depth % 2 == 1)
                 for first in range(0, len(found.size), 1 << 17):
                     part = slice(first, first + (1 << 17))
-                    ids = [shorter.ids[found.prefix[part]], shorter.ids[found.suffix[part]], found.size[part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[0]), shard)), *map(pa.array, ids)], ["shard", "prefix", "suffix", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*found.words[part].T, found.size[part])], names)
 
-    return rows.mapInArrow(work, "shard long, prefix long, suffix long, n long")
+    return indexes.select("n_tokens", "forward", "backward", "ids").mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
-def summed(found: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """The phrases frequent over all shards (id, prefix, suffix, a), and which shards hold which (shard, known)."""
-    # a shard's number starts with that of its task, so a block holds the shards of so many tasks
-    block = F.shiftright("shard", 33 + BLOCK.bit_length() - 1).alias("block")
-    together = stored(found.groupBy("prefix", "suffix", block).agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")))
-    frequent = stored(together.groupBy("prefix", "suffix").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()))
-    back = together.join(frequent, ["prefix", "suffix"]).select("prefix", "suffix", "id", F.explode("shards").alias("shard"))
-    return frequent, back.groupBy("shard").agg(F.collect_list(F.struct("prefix", "suffix", "id")).alias("known"))
+def summed(found: DataFrame, least: int) -> DataFrame:
+    """(w1, w2, ..., a) of the phrases frequent over all shards; a shard sends each phrase once, already counted."""
+    names = found.columns[:-1]
+    return stored(found.repartition(*names).groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least))
 
 
-def described(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
-    """Phrases with their words and the counts of their parts, from the phrases one word shorter."""
-    f, p, s = frequent.alias("f"), shorter.alias("p"), shorter.alias("s")
-    return stored(f.join(p, F.col("f.prefix") == F.col("p.id")).join(s, F.col("f.suffix") == F.col("s.id")).select(
-        "f.id", "f.prefix", "f.suffix", "p.lang", F.concat_ws(" ", "p.phrase", "s.last_word").alias("phrase"), "s.last_word", "f.a",
-        F.col("p.first").alias("first"), F.col("s.last").alias("last"), F.col("p.a").alias("head"), F.col("s.a").alias("tail"),
-        F.col("p.head").alias("inner_head"), F.col("s.tail").alias("inner_tail")))
+def described(frequent: DataFrame, shorter: DataFrame, size: int) -> DataFrame:
+    """Phrases with their text and the counts of their parts, from the phrases one word shorter, which both have to be there."""
+    names = word_columns(size)
+    p = shorter.select(*[F.col(c).alias(f"p_{c}") for c in shorter.columns])
+    s = shorter.select(*[F.col(c).alias(f"s_{c}") for c in shorter.columns])
+    starts = [F.col(c) == F.col(f"p_{c}") for c in names[:-1]]
+    ends = [F.col(c) == F.col(f"s_w{k}") for k, c in enumerate(names[1:], 1)]
+    return stored(frequent.join(p, starts).join(s, ends).select(
+        *names, F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "s_last_word").alias("phrase"), F.col("s_last_word").alias("last_word"), "a",
+        F.col("p_first").alias("first"), F.col("s_last").alias("last"), F.col("p_a").alias("head"), F.col("s_a").alias("tail"),
+        F.col("p_head").alias("inner_head"), F.col("s_tail").alias("inner_tail")))
 
 
 def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> tuple[DataFrame, list[DataFrame]]:
@@ -276,13 +289,14 @@ def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int =
     words = stored(counts.where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()))
     indexes = build_indexes(cut, words)
     none = F.lit(None).cast("long")
-    levels = [words.select("id", none.alias("prefix"), none.alias("suffix"), "lang", "phrase", F.col("phrase").alias("last_word"), "a", F.col("a").alias("first"),
-                           F.col("a").alias("last"), none.alias("head"), none.alias("tail"), none.alias("inner_head"), none.alias("inner_tail"))]
-    known: list[DataFrame] = []
+    levels = [words.select(F.col("id").alias("w1"), "lang", "phrase", F.col("phrase").alias("last_word"), "a", F.col("a").alias("first"), F.col("a").alias("last"),
+                           none.alias("head"), none.alias("tail"), none.alias("inner_head"), none.alias("inner_tail"))]
+    sieves: list[np.ndarray] = []
     while len(levels) < longest:
-        frequent, lists = summed(extensions(indexes, known), least)
-        levels.append(described(frequent, levels[-1]))
-        known.append(stored(lists))
+        frequent = summed(extensions(indexes, sieves), least)
+        levels.append(described(frequent, levels[-1], len(levels) + 1))
+        if len(levels) < longest:
+            sieves.append(make_sieve(frequent, len(levels)))
     return totals, levels
 
 
@@ -302,10 +316,11 @@ def candidates(levels: list[DataFrame]) -> DataFrame:
     out = None
     for size, phrases in enumerate(levels[1:], 2):
         told = phrases.withColumn("c", F.array_min(F.array(*cuts[size])))
-        for side, link in (("best_left", "suffix"), ("best_right", "prefix")):
+        names = word_columns(size)
+        for side, shift in (("best_left", 1), ("best_right", 0)):
             if size < len(levels):
-                best = levels[size].groupBy(F.col(link).alias("id")).agg(F.max("a").alias(side))
-                told = told.join(best, "id", "left")
+                inner = [F.col(f"w{k + shift}").alias(c) for k, c in enumerate(names, 1)]
+                told = told.join(levels[size].groupBy(*inner).agg(F.max("a").alias(side)), names, "left")
             else:
                 told = told.withColumn(side, F.lit(None).cast("long"))
         rows = told.select("lang", "phrase", "a", "c.l", "c.r", "c.score", "best_left", "best_right")
