@@ -43,9 +43,13 @@ def one_row_each(rows: DataFrame) -> DataFrame:
     return rows.withColumn(IDENTITY, identity(rows)).groupBy(IDENTITY, *merge.KEY).agg(*newest)
 
 
+def _name(folder: str) -> str:
+    return "merged_" + folder.rsplit("-", 1)[-1]
+
+
 def _table(spark: SparkSession, root: str, folder: str) -> DataFrame:
     """A stored version with its buckets known to the planner; the catalog may be that of a new application."""
-    name = "merged_" + folder.rsplit("-", 1)[-1]
+    name = _name(folder)
     buckets = int(spark.read.text(f"{root}/buckets").first().value)
     schema = spark.read.parquet(folder).schema
     if not spark.catalog.tableExists(name):
@@ -95,6 +99,7 @@ def merge_into(spark: SparkSession, root: str, rows: DataFrame, buckets: int = B
         kept = int(spark.read.text(f"{root}/buckets").first().value)
         folder = _write(spark, root, joined(_table(spark, root, current(spark, root)), delta.repartition(kept, IDENTITY)), kept)
     for old in versions(spark, root)[:-2]:
+        spark.sql(f"DROP TABLE IF EXISTS {_name(old)}")
         place, fs = folder_of(spark, f"{root}/versions/{old}")
         fs.delete(place, True)
     return read(spark, root)
