@@ -216,18 +216,20 @@ def sieve_places(words: np.ndarray, bits: int) -> list[np.ndarray]:
     h = np.zeros(len(words), np.uint64)
     for k in range(words.shape[1]):
         h = textvec.mix(h * np.uint64(textvec.BASE) + words[:, k].astype(np.uint64) + np.uint64(1))
-    return [(part & np.uint64(bits - 1)).astype(np.int64) for part in (h, h >> np.uint64(32))]
+    g = textvec.mix(h)
+    return [(part & np.uint64(bits - 1)).astype(np.int64) for part in (h, h >> np.uint64(32), g, g >> np.uint64(32))]
 
 
 def sifted(phrases: Phrases, sieve: np.ndarray) -> Phrases:
-    a, b = sieve_places(phrases.words, 64 * len(sieve))
-    bit = lambda at: sieve[at >> 6] >> (at & 63).astype(np.uint64)
-    return phrases.take(np.flatnonzero(bit(a) & bit(b) & np.uint64(1)))
+    through = np.ones(len(phrases.size), np.uint64)
+    for at in sieve_places(phrases.words, 64 * len(sieve)):
+        through &= sieve[at >> 6] >> (at & 63).astype(np.uint64)
+    return phrases.take(np.flatnonzero(through))
 
 
 def make_sieve(frequent: DataFrame, size: int) -> np.ndarray:
-    """Bits at two places of every frequent phrase, as words of 64; of ``SIEVE_BITS`` at most, whatever the number of phrases."""
-    bits, names = min(SIEVE_BITS, 1 << max(12, (16 * frequent.count()).bit_length())), word_columns(size)
+    """Bits at four places of every frequent phrase, as words of 64; of ``SIEVE_BITS`` at most, whatever the number of phrases."""
+    bits, names = min(SIEVE_BITS, 1 << max(12, (64 * frequent.count()).bit_length())), word_columns(size)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
