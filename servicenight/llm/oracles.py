@@ -99,25 +99,28 @@ FROM marked GROUP BY doc_id"""
 
 
 def _quality_sql() -> str:
-    measures = list(quality.LEAST_SPREAD)
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM c WHERE NOT base_failed" for m in measures)
-    least = " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in quality.LEAST_SPREAD.items())
-    rules = " ".join(
-        f"WHEN {m} > coalesce(g.{m}_high, a.{m}_high) + {v * quality.FENCE}::DOUBLE * sqrt({quality.MIN_WORDS}::DOUBLE / greatest(n_words, 1)) "
-        f"OR {m} < coalesce(g.{m}_low, a.{m}_low) - {v * quality.FENCE}::DOUBLE * sqrt({quality.MIN_WORDS}::DOUBLE / greatest(n_words, 1)) THEN '{m}'"
-        for m, v in quality.LEAST_SPREAD.items())
+    measures = ["word_length", "symbol_share", "line_share"]
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM c" for m in measures)
+
+    def beyond(measure: str, size: str) -> str:
+        fence = lambda side: f"(g.total * g.{measure}_{side} + {quality.PRIOR} * a.{measure}_{side}) / (g.total + {quality.PRIOR})"
+        noise = f"{quality.NOISE}::DOUBLE * sqrt({measure} / greatest({size}, 1))"
+        return f"WHEN {measure} - {noise} > {fence('high')} OR {measure} + {noise} < {fence('low')} THEN '{measure}'"
+
+    rules = " ".join(map(beyond, measures, ["n_words", "n_words", "full_lines"]))
+    middle = f"CASE WHEN bin < 0 THEN 0 ELSE {quality.SMALLEST}::DOUBLE * pow({quality.BIN_WIDTH}::DOUBLE, bin + 0.5::DOUBLE) END"
 
     def fences(groups: str, rows: str) -> str:
         by = f"{groups}, " if groups else ""
         sides = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {side} END) AS {m}_{side}" for m in measures for side in ("low", "high"))
         return f"""SELECT {by}{sides}, max(total) AS total FROM (
   SELECT {by}measure, total, q1 - {quality.FENCE}::DOUBLE * spread AS low, q3 + {quality.FENCE}::DOUBLE * spread AS high FROM (
-    SELECT *, greatest(q3 - q1, CASE measure {least} END) AS spread FROM (
-      SELECT {by}measure, max(total) AS total,
-        arg_min(CASE WHEN bin < 0 THEN 0 ELSE {quality.SMALLEST}::DOUBLE * pow({quality.BIN_WIDTH}::DOUBLE, bin + 0.5::DOUBLE) END, bin) FILTER (WHERE seen >= 0.25 * total) AS q1,
-        arg_min(CASE WHEN bin < 0 THEN 0 ELSE {quality.SMALLEST}::DOUBLE * pow({quality.BIN_WIDTH}::DOUBLE, bin + 0.5::DOUBLE) END, bin) FILTER (WHERE seen >= 0.75 * total) AS q3
-      FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}measure) AS total FROM (
-        SELECT {by}measure, bin, count(*) AS n FROM {rows} GROUP BY {by}measure, bin)) GROUP BY {by}measure))) {f'GROUP BY {groups}' if groups else ''}"""
+    SELECT *, greatest(q3 - q1, off, {quality.BIN_WIDTH - 1}::DOUBLE * q3) AS spread FROM (
+      SELECT {by}measure, max(total) AS total, sum(n * abs(v - median)) / max(total) AS off,
+        min(v) FILTER (WHERE seen >= 0.25 * total) AS q1, min(v) FILTER (WHERE seen >= 0.75 * total) AS q3
+      FROM (SELECT *, min(CASE WHEN seen >= 0.5 * total THEN v END) OVER (PARTITION BY {by}measure) AS median FROM (
+        SELECT *, {middle} AS v, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}measure) AS total FROM (
+          SELECT {by}measure, bin, count(*) AS n FROM {rows} GROUP BY {by}measure, bin))) GROUP BY {by}measure))) {f'GROUP BY {groups}' if groups else ''}"""
 
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
@@ -134,7 +137,7 @@ c AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
     CASE WHEN full_lines > 0 THEN n_dup_lines / full_lines::DOUBLE ELSE 0 END AS line_share FROM b),
 v AS (SELECT lang, source, measure, CASE WHEN v < {quality.SMALLEST} THEN -1 ELSE floor(ln(v / {quality.SMALLEST}::DOUBLE) / ln({quality.BIN_WIDTH}::DOUBLE)) END AS bin FROM ({long})),
 a AS ({fences('', 'v')}),
-g AS (SELECT * FROM ({fences('lang, source', 'v')}) WHERE total >= {quality.MIN_GROUP}),
+g AS ({fences('lang, source', 'v')}),
 judged AS (SELECT c.*, CASE WHEN base_failed THEN 'base' {rules} END AS failed_rule
   FROM c LEFT JOIN g ON g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source LEFT JOIN a ON TRUE)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,

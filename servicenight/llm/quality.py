@@ -2,8 +2,11 @@
 
 Measures of a document are counted over its whole text. Each measure is summed up per language and
 source in a quantile sketch: a histogram over logarithmic bins, whose relative error is fixed by
-the bin width and which merges by adding counts, in any order and with the same result. Fences
-drawn from the sketches' quartiles replace fixed cutoffs and are joined back to the documents.
+the bin width and which merges by adding counts, in any order and with the same result. All
+documents are in the sketches. Fences drawn from a sketch's quartiles and its own spread replace
+fixed cutoffs and are joined back to the documents; the fewer documents a group has, the more its
+fences lean on those of the whole table. A measure is a count over words or lines, so a document is
+out only if its value is beyond a fence by more than the noise of such a count.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ REPEAT_PERCENT = 20
 #: A sketch's bins are this factor wide; values under the smallest bin count as zero.
 BIN_WIDTH = 1.02
 SMALLEST = 1e-4
-#: Quartile distances between a quartile and its fence, and the least distance per measure.
-FENCE = 4.0
-LEAST_SPREAD = {"word_length": 0.5, "symbol_share": 0.05, "line_share": 0.08}
-#: Groups under this many documents take the fences of all documents.
-MIN_GROUP = 30
+#: What the rules compare: a count of a document and the count it is a share of.
+SHARES = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "n_words"), "line_share": ("n_dup_lines", "n_full_lines")}
+#: Spreads of the sketch between a quartile and its fence (outer fences).
+FENCE = 3.0
+#: A group of this many documents has fences half its own, half the whole table's.
+PRIOR = 30
+#: Standard errors of a document's own count that a value may lie beyond its fence.
+NOISE = 2.0
 
 #: Counts travel under names with this prefix, out of the way of the table's own columns.
 COUNT = "quality__"
@@ -112,24 +118,28 @@ def bin_middle(number: Column) -> Column:
 def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Merged histograms: (groups, measure, bin, n). Sketches of parts of a table add up to the whole's."""
     long = rows.select(*groups, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), bin_of(F.col(f"{COUNT}{m}")).alias("bin")) for m in LEAST_SPREAD])).alias("m"))
+        F.struct(F.lit(m).alias("measure"), bin_of(F.col(f"{COUNT}{m}")).alias("bin")) for m in SHARES])).alias("m"))
     return long.groupBy(*groups, "m.measure", "m.bin").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
     """Lower and upper fence of each measure per group, as columns ``<measure>_low`` and ``_high``.
 
-    The windows run over a group's bins, whose number the bin width bounds, not over documents.
+    The spread is the distance of the quartiles or, if that is larger, the mean distance from the
+    median, so that a measure which is zero for most documents has one too; it is never under the
+    sketch's own error. The windows run over a group's bins, whose number the bin width bounds,
+    not over documents.
     """
     one = Window.partitionBy(*groups, "measure") if groups else Window.partitionBy("measure")
     ranked = sketch.withColumn("seen", F.sum("n").over(one.orderBy(F.col("bin").asc_nulls_first()))).withColumn("total", F.sum("n").over(one))
-    quartile = lambda q: F.min(F.when(F.col("seen") >= q * F.col("total"), F.struct(F.coalesce("bin", F.lit(-1)).alias("k"), bin_middle(F.col("bin")).alias("v"))))["v"]
-    low_high = ranked.groupBy(*groups, "measure").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("total").alias("total"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv])[F.col("measure")]
-    spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
+    least = lambda q: F.min(F.when(F.col("seen") >= q * F.col("total"), F.struct(F.coalesce("bin", F.lit(-1)).alias("k"), bin_middle(F.col("bin")).alias("v"))))
+    ranked = ranked.withColumn("off", F.col("n") * F.abs(bin_middle(F.col("bin")) - least(0.5).over(one)["v"]))
+    low_high = ranked.groupBy(*groups, "measure").agg(
+        least(0.25)["v"].alias("q1"), least(0.75)["v"].alias("q3"), (F.sum("off") / F.max("total")).alias("off"), F.max("total").alias("total"))
+    spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.col("off"), (BIN_WIDTH - 1) * F.col("q3"))
     edges = low_high.select(*groups, "measure", "total", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
     return edges.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in LEAST_SPREAD for side in ("low", "high")],
+        *[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in SHARES for side in ("low", "high")],
         F.max("total").alias("group_size"))
 
 
@@ -138,36 +148,34 @@ def counted(documents: DataFrame, keep: list[str]) -> DataFrame:
     lang, source = (f"{COUNT}lang", f"{COUNT}source")
     named = documents.withColumns({lang: F.col("lang").cast("string"), source: F.col("source").cast("string")})
     rows = with_measures(named, [*keep, lang, source])
-    n, lines = F.col(f"{COUNT}n_words"), F.col(f"{COUNT}n_full_lines")
-    share = lambda part, of: F.when(of > 0, F.col(f"{COUNT}{part}") / of).otherwise(0.0)
+    n = F.col(f"{COUNT}n_words")
+    share = lambda part, of: F.when(F.col(f"{COUNT}{of}") > 0, F.col(f"{COUNT}{part}") / F.col(f"{COUNT}{of}")).otherwise(0.0)
     return rows.withColumns({
         f"{COUNT}base_failed": (n < MIN_WORDS) | (100 * F.col(f"{COUNT}n_repeat_words") > REPEAT_PERCENT * n),
-        f"{COUNT}word_length": share("word_chars", n), f"{COUNT}symbol_share": share("n_symbols", n), f"{COUNT}line_share": share("n_dup_lines", lines)})
+        **{f"{COUNT}{m}": share(part, of) for m, (part, of) in SHARES.items()}})
 
 
 def judged(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The named columns of counted rows with the counts, ``base_failed``, ``kept`` and ``failed_rule``.
 
-    Language and source may be null; null is a group of its own. Documents that fail the base
-    rules do not enter the sketches. Groups too small for fences of their own take those of all.
+    Language and source may be null; null is a group of its own. A group of n documents has
+    fences that are its own by n / (n + ``PRIOR``) and the whole table's by the rest.
     """
     groups = [f"{COUNT}lang", f"{COUNT}source"]
-    sketch = sketches(rows.where(~F.col(f"{COUNT}base_failed")), groups)
+    sketch = sketches(rows, groups)
     whole = sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    edges = [f"{m}_{side}" for m in LEAST_SPREAD for side in ("low", "high")]
-    own = fences(sketch, groups).where(F.col("group_size") >= MIN_GROUP)
-    own = own.select(*[F.col(g).alias(f"{g}_group") for g in groups], *[F.col(e).alias(f"{COUNT}{e}") for e in edges])
+    edges = [f"{m}_{side}" for m in SHARES for side in ("low", "high")]
     common = (fences(whole, []).select(*edges).first() or {e: None for e in edges})  # one row for the whole table
+    weight = F.col("group_size") / (F.col("group_size") + PRIOR)
+    own = fences(sketch, groups).select(*[F.col(g).alias(f"{g}_group") for g in groups], *[
+        (weight * F.col(e) + (1 - weight) * F.lit(common[e]).cast("double")).alias(f"{COUNT}{e}") for e in edges])
     same = [F.col(g).eqNullSafe(F.col(f"{g}_group")) for g in groups]
     marked = rows.join(own, same[0] & same[1], "left")
-    n = F.col(f"{COUNT}n_words")
     rule = F.lit(None).cast("string")
-    for m in LEAST_SPREAD:
-        low, high = (F.coalesce(f"{COUNT}{m}_{side}", F.lit(common[f"{m}_{side}"]).cast("double")) for side in ("low", "high"))
-        # few words swing wide: the fence opens with the inverse root of their number
-        room = F.lit(LEAST_SPREAD[m] * FENCE) * F.sqrt(F.lit(float(MIN_WORDS)) / F.greatest(n, F.lit(1)))
+    for m, (_, of) in SHARES.items():
         value = F.col(f"{COUNT}{m}")
-        rule = F.coalesce(rule, F.when((value > high + room) | (value < low - room), F.lit(m)))
+        noise = NOISE * F.sqrt(value / F.greatest(F.col(f"{COUNT}{of}"), F.lit(1)))
+        rule = F.coalesce(rule, F.when((value - noise > F.col(f"{COUNT}{m}_high")) | (value + noise < F.col(f"{COUNT}{m}_low")), F.lit(m)))
     rule = F.when(F.col(f"{COUNT}base_failed"), F.lit("base")).otherwise(rule)
     keep = [c for c in keep if c not in ADDED]
     return marked.select(*keep, *[F.col(f"{COUNT}{c}").alias(c) for c in (*MEASURES, "base_failed")], rule.isNull().alias("kept"), rule.alias("failed_rule"))

@@ -259,6 +259,30 @@ def test_quality_fences_follow_the_group(spark):
     assert kept[900] in [(False, "symbol_share"), (False, "word_length")] and kept[902] == (False, "base")
 
 
+def test_each_quality_rule_fires_on_its_kind(spark):
+    r = random.Random(4)
+    lines = lambda n: [words(r, 8) for _ in range(n)]
+    rows = [(i, "\n".join(lines(12)), f"s{i % 2}") for i in range(120)]
+    rows.append((500, "\n".join(x for line in lines(40) for x in (line, "more")), "s0"))  # no five words stand there twice
+    rows.append((501, "\n".join(lines(12)) + " #|" * 60, "s1"))
+    rows.append((502, " ".join(w * 4 for w in words(r, 90).split()), "s0"))
+    rows.append((503, "\n".join(lines(12)) + " cost $ 5", "s1"))  # a single symbol is within its noise
+    rows.append((504, "\n".join([*lines(2), "more", "more"]), "s0"))  # and so is a single line
+    frame = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.failed_rule for x in quality.quality_report(frame).collect()}
+    assert {i: got[i] for i in (500, 502, 503, 504)} == {500: "line_share", 502: "word_length", 503: None, 504: None}
+    assert got[501] in ("symbol_share", "base") and not any(got[i] for i in range(120))
+
+
+def test_small_groups_lean_on_the_whole_table(spark):
+    r = random.Random(5)
+    odd = lambda: " ".join(w + "|" for w in words(r, 60).split())
+    rows = [(i, words(r, 60), "en", "plain") for i in range(200)] + [(i, odd(), "en", "large") for i in range(1000, 1200)] + [(2000, odd(), "de", "small")]
+    rows += [(i, words(r, 60), "de", "plain") for i in range(3000, 4000)]
+    got = {x.doc_id: x.kept for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(1000, 1200)) and not got[2000]
+
+
 def test_sketches_merge_and_keep_their_error(spark):
     r = np.random.Generator(np.random.PCG64(2))
     values = r.lognormal(1, 1, 4000)
