@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servicenight import rules
-from servicenight.functions import calendar
+from servicenight.functions import bitmaps, calendar
 
 
 def _settled(total: Column) -> Column:
@@ -66,12 +66,13 @@ def utilization_by_slot(occupancy: DataFrame, sections: list[str], table_count:
     nights times tables; ``mean_utilization_pct`` counts table-nights instead.
     """
     rows = occupancy.where(F.col("section").isin(sections))
-    # one reduction to (night, slot, table) feeds every count below
-    cells = rows.groupBy("service_dow", "service_date", "slot", "table_code").agg(
-        F.sum("slot_revenue").alias("revenue"))
-    nights = cells.groupBy("service_dow").agg(F.countDistinct("service_date").alias("nights"))
-    per_table = cells.groupBy("service_dow", "slot", "table_code").agg(
-        F.count(F.lit(1)).alias("table_nights"), F.sum("revenue").alias("revenue"))
+    # one reduction to bitmaps of nights per (slot, table) feeds every count below
+    words = rows.groupBy("service_dow", "slot", "table_code", bitmaps.word_of(F.col("service_date")).alias("word")).agg(
+        F.bit_or(bitmaps.bit_of(F.col("service_date"))).alias("bits"), F.sum("slot_revenue").alias("revenue"))
+    nights = words.groupBy("service_dow", "word").agg(F.bit_or("bits").alias("bits")).groupBy("service_dow").agg(
+        F.sum(F.bit_count("bits")).alias("nights"))
+    per_table = words.groupBy("service_dow", "slot", "table_code").agg(
+        F.sum(F.bit_count("bits")).alias("table_nights"), F.sum("revenue").alias("revenue"))
     per_slot = per_table.groupBy("service_dow", "slot").agg(
         F.count("table_code").alias("tables_occupied"),
         F.sum("table_nights").alias("table_nights"), _settled(F.sum("revenue")).alias("revenue"))

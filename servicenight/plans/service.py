@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from servicenight import rules
 from servicenight.functions import calendar
-from servicenight.operators import cleaning, floorplan, intervals, medians, occupancy, rates, regression, trend, turns
+from servicenight.operators import cleaning, floorplan, intervals, medians, occupancy, peaks, rates, regression, trend, turns
 from servicenight.plans import frames, standins as S
 from servicenight.plans.registry import ORACLES, query
 from servicenight.session import materialize
@@ -221,6 +221,30 @@ def room_summary(spark, sf):
     return occupancy.room_summary(frames.room(spark, sf))
 
 
+_TAKEN = f"""(SELECT service_date, minute, count(DISTINCT table_code) AS tables FROM (
+  SELECT service_date, table_code, unnest(range(open_clock // 60, paid_clock // 60 + 1)) AS minute FROM t_seated
+  WHERE order_type = 'Seated' AND seconds BETWEEN 0 AND 21600 AND section IN ({RESERVED})) GROUP BY service_date, minute)"""
+
+
+@query("minute_peaks", sql(f"""
+SELECT {d('service_date')}, {i('tables', 'peak_tables')}, {i('minute', 'peak_minute')},
+  printf('%02d:%02d', minute // 60, minute % 60) AS peak_clock
+FROM (SELECT *, row_number() OVER (PARTITION BY service_date ORDER BY tables DESC, minute) AS k FROM {_TAKEN}) WHERE k = 1"""))
+def minute_peaks(spark, sf):
+    """Most reservation tables taken at one time, per night."""
+    return peaks.minute_peaks(frames.reserved(spark, sf))
+
+
+@query("check_minute_peaks", sql(f"""
+SELECT {i('count(*)', 'nights')}, {i(f'count(*) FILTER (WHERE peak > {NT})', 'over_floor')},
+  {i('count(*) FILTER (WHERE peak > slots)', 'over_slots')}, {i('count(*) FILTER (WHERE peak < slots)', 'under_slots')}
+FROM (SELECT service_date, max(tables) AS peak FROM {_TAKEN} GROUP BY service_date)
+JOIN (SELECT service_date, max(tables_occupied) AS slots FROM t_room GROUP BY service_date) USING (service_date)"""))
+def check_minute_peaks(spark, sf):
+    """No night's peak is over the floor or over the peak of its quarter hours."""
+    return peaks.against_slots(peaks.minute_peaks(frames.reserved(spark, sf)), frames.room(spark, sf), NT)
+
+
 @query("utilization_by_slot", sql(f"""
 SELECT service_dow, {_CLOCK} AS clock_label, {i('clock_minutes')}, {i('tables_occupied')}, {i('nights')}, {f('revenue')},
   {f(f'100.0::DOUBLE * tables_occupied / (nights * {NT})', 'utilization_pct')},
