@@ -2,6 +2,7 @@
 
 A refresh writes all layers into a version folder of its own and marks it done at the end.
 Readers take the latest version that is done, so a refresh that fails leaves the last one in use.
+So does one whose tables do not fit together; they are measured while they are written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight.operators import facts, floorplan, merge, prices, staging
-from servicenight.sources import ledger
+from servicenight.sources import ledger, measured
 
 # Partitioned by month of the date key, so a report over a period reads only its months.
 FACT_TABLES = ("fact_order", "fact_item_selection")
@@ -73,9 +74,10 @@ def refresh(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     raw = lambda layout: ledger.read_raw(spark, root, layout)
     plan, combos = floorplan.tables(spark), floorplan.combinations(spark)
     out: dict[str, DataFrame] = {}
+    checks = measured.Measured()
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        out[name.split("/")[-1]] = _write(df, folder, name)
+        out[name.split("/")[-1]] = _write(checks.watch(name, df), folder, name)
         return out[name.split("/")[-1]]
 
     # an interval has no Parquet type that every reader knows; seconds are stored instead
@@ -88,6 +90,7 @@ def refresh(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     placed = floorplan.with_placement(orders, plan, combos)
     store("analytics/fact_order", facts.order_facts(placed, units))
     store("analytics/fact_item_selection", facts.item_facts(items, orders, menu))
+    measured.settle(checks, lambda name: spark.read.parquet(f"{folder}/{name}"))
     done, fs = folder_of(spark, f"{folder}/{DONE}")
     fs.mkdirs(done)
     for old in versions(spark, root)[:-2]:
