@@ -1,8 +1,10 @@
 """Load each export once, each file by itself.
 
-Rows are written under their load id first, the log row last. Readers keep only rows whose
-load id and fingerprint are in the log, so a load that died half way is never seen, and the
-next run simply writes it again.
+Rows are written first, the log rows last. The files that are loaded together share one folder per
+layout, named ``load_id=`` and the first id of their batch, so a table has as many folders as there were
+batches, however many files came. Readers keep only rows whose folder and fingerprint are in the log and
+take the load id from there, so a load that died half way is never seen; the next run gets the same
+first id and simply writes the folder again.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from servicenight.session import materialize
 from servicenight.sources import exports, ranges
 
 LOG_SCHEMA = ("load_id bigint, source_file string, file_hash string, export_type string, "
-              "row_count int, loaded_at timestamp")
+              "row_count int, loaded_at timestamp, folder_id bigint")
 REFUSAL_SCHEMA = "source_file string, file_hash string, reason string, refused_at timestamp"
 
 
@@ -76,15 +78,24 @@ def committed(raw: DataFrame, log: DataFrame) -> DataFrame:
     return raw.join(log.select("load_id", "file_hash"), ["load_id", "file_hash"], "left_semi")
 
 
-def read_raw(spark: SparkSession, root: str, export_type: str) -> DataFrame:
-    """Committed rows of one layout with lineage columns, all cells as text."""
+def read_raw(spark: SparkSession, root: str, export_type: str, after: int = 0) -> DataFrame:
+    """Committed rows of one layout with lineage columns, all cells as text; of loads after an id only their batches' folders are opened.
+
+    ``after`` must be the last id of a batch. Loads logged without a folder have one of their own.
+    """
     names = rules.LAYOUTS[export_type]
     schema = ", ".join(["source_file string", "file_hash string", "source_row_number int",
                         *[f"`{n}` string" for n in names], "load_id bigint"])
     stored = _read(spark, f"{root}/raw/{rules.RAW_TABLES[export_type]}", schema)
     if stored is None:
         stored = spark.createDataFrame([], schema)
-    return committed(stored, read_log(spark, root)).drop("file_hash")
+    log = read_log(spark, root)
+    loads = log.select("load_id", "file_hash", F.coalesce("folder_id", "load_id").alias("_folder"))
+    if after:
+        stored, loads = stored.where(F.col("load_id") > after), loads.where(F.col("load_id") > after)
+    loads = loads.groupBy("_folder", "file_hash").agg(F.min("load_id").alias("load_id"))  # a load that is logged twice counts once
+    return stored.withColumnRenamed("load_id", "_folder").join(loads, ["_folder", "file_hash"]).select(
+        "source_file", "source_row_number", *[f"`{n}`" for n in names], "load_id")
 
 
 def load_files(files: DataFrame, root: str, parse: Callable[[DataFrame], DataFrame] = exports.parse_files,
@@ -111,17 +122,17 @@ def load_files(files: DataFrame, root: str, parse: Callable[[DataFrame], DataFra
         return spark.createDataFrame([], LOG_SCHEMA)
     if _read(spark, f"{root}/raw/load_log", LOG_SCHEMA) is None:
         spark.createDataFrame([], LOG_SCHEMA).coalesce(1).write.parquet(f"{root}/raw/load_log")
-    typed = records.where(F.col("kind") == "row").join(loads.select("file_hash", "load_id", "export_type"), "file_hash")
+    folder_id = loads.agg(F.min("load_id")).first()[0]
+    rows = records.where(F.col("kind") == "row")
     for export_type in [r.export_type for r in loads.select("export_type").distinct().collect()]:
-        rows = typed.where(F.col("export_type") == export_type)
+        those = loads.where(F.col("export_type") == export_type).select("file_hash")
         cells = [F.col("fields")[i].alias(n) for i, n in enumerate(rules.LAYOUTS[export_type])]
-        (rows.select("source_file", "file_hash", "source_row_number", *cells, "load_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("load_id").parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}"))
+        (rows.join(those, "file_hash", "left_semi").select("source_file", "file_hash", "source_row_number", *cells)
+         .write.mode("overwrite").parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}/load_id={folder_id}"))
 
     added = materialize(loads.select(
         "load_id", "source_file", "file_hash", "export_type", "row_count",
-        F.current_timestamp().alias("loaded_at")).coalesce(1))
+        F.current_timestamp().alias("loaded_at"), F.lit(folder_id).cast("bigint").alias("folder_id")).coalesce(1))
     added.write.mode("append").parquet(f"{root}/raw/load_log")
     return added
 

@@ -131,7 +131,7 @@ def refresh(spark: SparkSession, root: str) -> dict[str, list[int]]:
     if latest <= covered:
         return {}
     month = month_key(F.col("service_date"))
-    fresh = materialize(staged(ledger.read_raw(spark, root, "C").where(F.col("load_id") > covered)))
+    fresh = materialize(staged(ledger.read_raw(spark, root, "C", covered)))
     ids = fresh.select("order_id")
     values = lambda df, c: {r[0] for r in df.select(c).distinct().collect()}
     buckets = values(fresh, bucket(F.col("order_id")))

@@ -4,6 +4,7 @@ import shutil
 
 import pytest
 
+from servicenight import rules
 from servicenight.operators import cleaning, floorplan, merge, turns
 from servicenight.sources import exports, ledger, legacy, warehouse, weather
 from servicenight.streaming.loads import stream_exports
@@ -152,3 +153,51 @@ def test_pull_order_is_by_range_end_then_file_time(spark):
     ranked = merge.rank_pulls(spark.createDataFrame(files, "source_file string, modified timestamp"))
     assert [r.source_file for r in ranked.orderBy("pull_rank").collect()] == [
         "older.csv", "undated.csv", "b_2026_02_01-2026_03_01 (1).csv", "a_2026_01_01-2026_03_01.csv"]
+
+
+def test_files_loaded_together_share_a_folder(venue, tmp_path):
+    for name in "abc":
+        venue.write(f"{name}.csv", "A", line("A"))
+    venue.write("items.csv", "ITEM", line("ITEM"))
+    assert venue.load() == 4
+    venue.write("d.csv", "A", line("A"), line("A"))
+    assert venue.load() == 1
+    folders = lambda name: sorted(p.name for p in (tmp_path / "warehouse" / "raw" / name).glob("load_id=*"))
+    assert folders("order_details_a") == ["load_id=1", "load_id=5"] and folders(rules.RAW_TABLES["ITEM"]) == ["load_id=1"]
+    assert sorted((r.source_file, r.load_id) for r in venue.raw("A").collect()) == [("a.csv", 1), ("b.csv", 2), ("c.csv", 3), ("d.csv", 5), ("d.csv", 5)]
+    assert [(r.source_file, r.load_id) for r in venue.raw("ITEM").collect()] == [("items.csv", 4)]
+    for part in (tmp_path / "warehouse" / "raw" / "order_details_a" / "load_id=1").glob("part-*"):
+        part.write_bytes(b"must not be opened")
+    assert [r.load_id for r in ledger.read_raw(venue.spark, venue.root, "A", after=4).collect()] == [5, 5]
+
+
+def test_rows_of_a_dead_batch_do_not_come_back_when_their_file_is_loaded_later(venue, spark):
+    late = venue.write("late.csv", "A", line("A"), line("A"))
+    content = late.read_bytes()
+    venue.write("a.csv", "A", line("A"))
+    venue.load()
+    late.unlink()
+    # what a batch from id 3 on left when it died: the same rows under the same fingerprint
+    (log,) = venue.log().where("source_file = 'late.csv'").collect()
+    spark.read.parquet(f"{venue.root}/raw/order_details_a/load_id=1").where(f"file_hash = '{log.file_hash}'").write.parquet(
+        f"{venue.root}/raw/order_details_a/load_id=3")
+    assert venue.raw("A").count() == 3
+    venue.write("items.csv", "ITEM", line("ITEM"))
+    late.write_bytes(content + (line("A") + "\r\n").encode())
+    assert venue.load() == 2 and venue.raw("A").count() == 6
+
+
+def test_loads_logged_without_a_folder_are_read_from_their_own(venue, spark):
+    """What was stored before batches had folders: one folder per load, and a log that names none."""
+    venue.write("a.csv", "A", line("A"))
+    venue.write("b.csv", "A", line("A"), line("A"))
+    venue.load()
+    old_log = venue.log().drop("folder_id").localCheckpoint()
+    stored = spark.read.parquet(f"{venue.root}/raw/order_details_a").drop("load_id").join(
+        old_log.select("file_hash", "load_id"), "file_hash").localCheckpoint()
+    old_log.write.mode("overwrite").parquet(f"{venue.root}/raw/load_log")
+    stored.write.mode("overwrite").partitionBy("load_id").parquet(f"{venue.root}/raw/order_details_a")
+    assert [r.load_id for r in venue.raw("A").orderBy("load_id").collect()] == [1, 2, 2]
+    venue.write("c.csv", "A", line("A"))
+    assert venue.load() == 1
+    assert [r.load_id for r in venue.raw("A").orderBy("load_id").collect()] == [1, 2, 2, 3]
