@@ -7,13 +7,18 @@ into the floor plan's years), ``events`` for visits of exports without ids.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.operators import staging
-from servicenight.session import ensure_checkpoint_dir
+from servicenight.session import ensure_checkpoint_dir, travels
+
+travels(__name__)
 
 ORDER_SHIFT_DAYS = 10958    # 30 years
 VISIT_SHIFT_DAYS = 762
@@ -322,27 +327,39 @@ def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(F.concat(F.lit(",".join(rules.LAYOUTS["ITEM_B"]) + "\r\n"), body, F.lit("\r\n")), "ISO-8859-1").alias("content"))
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write (name, content) as files of an existing folder; a task that runs again writes the same bytes once more."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                # readers pass over names that start with a dot
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    return files.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 _FOLDERS: dict[tuple[str, str], str] = {}
 
 
 def export_folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the order and item exports as files, written once per application under the checkpoint folder.
 
-    The text source ends the last line itself; it writes one file per name, which then gets that name.
+    Every task writes its files under their own names, so neither the driver nor a commit touches them one by one.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FOLDERS:
         root = f"{ensure_checkpoint_dir(spark)}/exports-{uuid.uuid4().hex}"
-        files = export_files(spark, sf_dir).unionByName(item_files(spark, sf_dir))
-        files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
-                     F.expr("cast(substring(content, 1, length(content) - 1) as string)").alias("value")).write.partitionBy("name").text(f"{root}/parts")
         place = spark._jvm.org.apache.hadoop.fs.Path(root)
         fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
         fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files"))
-        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/parts/name=*/part-*")):
-            name = status.getPath().getParent().getName().removeprefix("name=")
-            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files/{name}"))
         fs.deleteOnExit(place)
+        files = export_files(spark, sf_dir).unionByName(item_files(spark, sf_dir))
+        write_files(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), f"{root}/files")
         _FOLDERS[key] = f"{root}/files"
     return _FOLDERS[key]
 

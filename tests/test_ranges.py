@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from servicenight.plans import standins
 from servicenight.rules import LAYOUTS
 from servicenight.sources import exports, ranges
 from tests.fixtures import header, line
@@ -64,3 +65,11 @@ def test_rows_of_layouts_and_chosen_files(spark, tmp_path):
     assert {(x.source_row_number, x.chunk, x.file_hash) for x in records.where("kind = 'row'").collect()} == {
         (2, 0, files.first().file_hash), (4, 1, files.first().file_hash)}
     assert ranges.parse_folder(spark, str(tmp_path), files.limit(0)).count() == 0
+
+
+def test_files_are_written_by_the_tasks_that_hold_them(spark, tmp_path):
+    contents = {f"{n}.csv": f"A,B\r\n{n},é\r\n".encode("cp1252") for n in range(7)} | {"no end.csv": b"A", "empty.csv": b""}
+    frame = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "name string, content binary").repartition(3)
+    for _ in range(2):  # a task that runs again replaces its files
+        assert standins.write_files(frame, f"file:{tmp_path}") == len(contents)
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == contents
