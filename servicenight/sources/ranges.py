@@ -25,6 +25,8 @@ travels(__name__)
 
 #: Bytes of lines in one piece; a longer line is a piece of its own.
 PIECE_BYTES = 4 << 20
+#: Up to so many files are opened by their paths. More are found by one listing of their folder, as Spark lists given paths one by one.
+BY_PATH = 1000
 
 _OPENING = re.compile(rb'(?:\A|(?<=[,\r\n]))"')
 _CLOSING = re.compile(rb'(?:[^"]++|"")*+"')
@@ -99,11 +101,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The files' lines in stored pieces (source_file, start, part, content) with what the states are computed from."""
+def pieces(spark: SparkSession, paths: list[str], span: tuple[str, str] | None = None) -> DataFrame:
+    """The files' lines in stored pieces (source_file, start, part, content) with what the states are computed from.
+
+    ``span``, the first and the last name to read, tells which files of a folder are opened.
+    """
     # the name comes with its special characters as in a URI, where a plus is a plus
     name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
-    lines = spark.read.option("lineSep", "\n").text([_GLOB.sub(r"\\\g<0>", p) for p in paths]).select(
+    lines = spark.read.option("lineSep", "\n").text([_GLOB.sub(r"\\\g<0>", p) for p in paths])
+    lines = (lines if span is None else lines.where(name.between(*span))).select(
         name.alias("name"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"),
         F.col("value").cast("binary").alias("line"))
     return materialize(lines.mapInArrow(_pack, _PIECE_SCHEMA))
@@ -232,12 +238,18 @@ def told_apart(cut: DataFrame, files: DataFrame) -> DataFrame:
 def parse_folder(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
     """Records of a folder's exports like those of ``exports.parse_files``; ``files`` (source_file, file_hash) picks some of them.
 
-    An empty file has no line to read and no record. The names are listed on the driver, as Spark lists the folder.
+    An empty file has no line to read and no record. Of many files the driver gets the first and the last name; files between
+    them that are not wanted are dropped before their records are cut.
     """
     files = scan_folder(spark, folder).select("source_file", "file_hash") if files is None else files.select("source_file", "file_hash")
     files = materialize(files)
-    names = [r.source_file for r in files.select("source_file").collect()]
-    if not names:
+    few = sorted(r.source_file for r in files.select("source_file").limit(BY_PATH + 1).collect())
+    if not few:
         return spark.createDataFrame([], "source_file string, file_hash string, kind string, source_row_number int, chunk int, fields array<string>, error string")
-    packed = pieces(spark, [f"{folder}/{n}" for n in names])
-    return told_apart(cut_records(packed, materialize(piece_states(packed))), files)
+    if len(few) <= BY_PATH:
+        packed = pieces(spark, [f"{folder}/{n}" for n in few])
+        states = piece_states(packed)
+    else:
+        packed = pieces(spark, [folder], tuple(files.agg(F.min("source_file"), F.max("source_file")).first()))
+        states = piece_states(packed).join(files, "source_file", "left_semi")
+    return told_apart(cut_records(packed, materialize(states)), files)

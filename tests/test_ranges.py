@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from servicenight.plans import standins
 from servicenight.rules import LAYOUTS
@@ -67,6 +68,23 @@ def test_rows_of_layouts_and_chosen_files(spark, tmp_path):
     assert ranges.parse_folder(spark, str(tmp_path), files.limit(0)).count() == 0
 
 
+def test_many_files_are_found_by_one_listing(spark, tmp_path, monkeypatch):
+    """By the folder or by their paths: the same records, whatever else lies between the wanted files."""
+    names = ["b.csv", "b 1+2.csv", "b%20.csv", "d é[1].csv"]
+    for name in [*names, "a.csv", "c.csv", "e.csv"]:
+        (tmp_path / name).write_bytes(f'A,B\n"{name}\nx",1\n2,3\n'.encode())
+    (tmp_path / "c.txt").write_bytes(b"\x81 not an export")
+    files = exports.scan_folder(spark, str(tmp_path)).where(F.col("source_file").isin(names))
+    seen, pieces = [], ranges.pieces
+    monkeypatch.setattr(ranges, "pieces", lambda spark, paths, *span: seen.append((len(paths), *span)) or pieces(spark, paths, *span))
+    found = []
+    for most in (100, 2):
+        monkeypatch.setattr(ranges, "BY_PATH", most)
+        found.append(sorted(tuple(r) for r in ranges.parse_folder(spark, str(tmp_path), files).collect()))
+    assert seen == [(4,), (1, ("b 1+2.csv", "d é[1].csv"))]
+    assert found[0] == found[1] and len(found[0]) == 3 * len(names)
+
+
 def test_files_are_written_by_the_tasks_that_hold_them(spark, tmp_path):
     contents = {f"{n}.csv": f"A,B\r\n{n},é\r\n".encode("cp1252") for n in range(7)} | {"no end.csv": b"A", "empty.csv": b""}
     frame = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "name string, content binary").repartition(3)
