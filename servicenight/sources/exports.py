@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
@@ -84,23 +85,22 @@ def read_records(content: bytes) -> Iterator[tuple[str, int, int, list[str] | No
         yield "error", line, chunk, None, f"line {line}: {fault}"
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
+_RECORDS = pa.schema([("source_file", pa.string()), ("file_hash", pa.string()), ("kind", pa.string()), ("source_row_number", pa.int32()),
+                      ("chunk", pa.int32()), ("fields", pa.list_(pa.string())), ("error", pa.string())])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file in batch.itertuples():
-            rows = []
-            for kind, line, chunk, cells, error in read_records(bytes(file.content)):
-                rows.append((file.source_file, file.file_hash, kind, line, chunk, cells, error))
-                if len(rows) == _BATCH_ROWS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+        for name, file_hash, content in zip(*(batch.column(c) for c in ("source_file", "file_hash", "content"))):
+            records = read_records(content.as_py())
+            while rows := list(itertools.islice(records, _BATCH_ROWS)):
+                same = [[x.as_py()] * len(rows) for x in (name, file_hash)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*same, *zip(*rows)], _RECORDS)], schema=_RECORDS)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """Records of every file; one file is read by one task."""
-    return files.select("source_file", "file_hash", "content").mapInPandas(_parse, RECORD_SCHEMA)
+    return files.select("source_file", "file_hash", "content").mapInArrow(_parse, RECORD_SCHEMA)
 
 
 def layout_table(spark: SparkSession) -> DataFrame:

@@ -91,3 +91,15 @@ def test_files_are_written_by_the_tasks_that_hold_them(spark, tmp_path):
     for _ in range(2):  # a task that runs again replaces its files
         assert standins.write_files(frame, f"file:{tmp_path}") == len(contents)
     assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == contents
+
+
+def test_files_that_are_rows_have_the_reader_s_records(spark):
+    contents = {n: c if isinstance(c, bytes) else c.encode() for n, c in FILES.items()} | {"empty.csv": b"", "long.csv": b"A,B\n" + b"1,2\n" * 20_001}
+    frame = spark.createDataFrame([(n, f"hash of {n}", bytearray(c)) for n, c in contents.items()], "source_file string, file_hash string, content binary")
+    parsed = exports.parse_files(frame)
+    assert "MapInArrow" in parsed._jdf.queryExecution().toString()
+    found = {}
+    for r in parsed.collect():
+        assert r.file_hash == f"hash of {r.source_file}"
+        found.setdefault(r.source_file, []).append((r.kind, r.source_row_number, r.chunk, r.fields, r.error))
+    assert found == {n: list(exports.read_records(c)) for n, c in contents.items()}
