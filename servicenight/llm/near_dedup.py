@@ -6,9 +6,10 @@ left out. Two classes whose sets are similar enough agree in ``MATCHES`` coordin
 but a share of about 1e-9 of such pairs do), so they also meet under one of their rarest
 ``COORDINATES - MATCHES + 1`` values: longer lists are skipped. Within a list, classes are first
 compared with the list's most central class alone. Classes that this joins into one component need
-no further comparison. Of the lists that still hold several components, classes with too few
-shingles in common with other components are left out; the rest is compared in pairs of bounded
-blocks, and only links that join components come out. Every link is confirmed on the full sets.
+no further comparison. The classes of lists that still hold several components are compared through
+their shingles: a class with ``common`` shingles in larger components that links to one of them by
+``need`` shared ones has one of its ``common - need + 1`` rarest there too, so it probes with these alone.
+Only links that join components come out. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ PERCENT = 75
 COORDINATES = 48
 #: Of pairs at the threshold, under one in 10^9 agrees in fewer coordinates.
 MATCHES = 17
-#: Members of a list that one block holds, and rows that one group of block pairs takes in.
+#: Classes that probe a shingle, or hold it, in one block, and rows that one group of block pairs takes in.
 BLOCK = 512
 GROUP_ROWS = 1024
+#: Sizes of sets in one band differ by a part of 1 / BANDS; need is counted band by band.
+BANDS = 100
 
 _FACTORS = np.random.Generator(np.random.PCG64(9)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -156,42 +159,61 @@ def links_to_centres(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(confirmed(spokes.select(F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")).distinct(), sets))
 
 
-def shared_with_others(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, common): how many of a class's shingles some class of another component has too."""
-    held = members.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
-    across = stored(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
-    return held.join(across, "shingle").groupBy("node").agg(F.count("*").alias("common"))
-
-
-def still_open(lists: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(token, node, root, n_shingles, signature) of lists that the links leave in several components.
+def still_open(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root, rank, n_shingles, band, signature) of the classes of lists that the links leave in several components.
 
-    ``root`` names a class's component so far. A class whose shingles that other components have
-    do not do even with its list's smallest set cannot link and is out.
+    ``root`` names a class's component so far, ``rank`` orders the components by how many of these classes they hold.
     """
     roots = components(links).select("node", "root")
     rooted = stored(lists.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    open_lists = rooted.groupBy("token").agg(F.min("n_shingles").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = rooted.join(open_lists.select("token", "least"), "token")
-    common = shared_with_others(rest.select("node", "root").distinct(), sets)
-    return stored(rest.join(common, "node").where(enough(F.col("common"), F.col("n_shingles"), F.greatest("least", "common"))).drop("least", "common"))
+    open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = stored(rooted.join(open_lists.select("token"), "token").dropDuplicates(["node"]).select("node", "root", "n_shingles", "signature"))
+    sizes = stored(rest.groupBy("root").agg(F.count("*").alias("n")))
+    return stored(rest.join(sizes, "root").select(
+        "node", "root", F.struct("n", "root").alias("rank"), "n_shingles", F.floor(F.log("n_shingles") * BANDS).cast("int").alias("band"), "signature"))
 
 
-def in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with their shingles and all their lists, dealt out so that any two of a list meet in some block pair.
+def probes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, node, probe): under each probed shingle of a band, the classes that probe it and those of the band that hold it.
 
-    A list of n members is cut into n / ``BLOCK`` blocks by a hash; a member goes to the pairs its
-    block is part of. Small lists share a group; no group outgrows a few thousand rows.
+    Of two classes that can link, the one of the smaller component probes the other one's band. Rare shingles are taken
+    first, so what a whole group of copies has in common is probed only by a class that has enough of it to link.
+    """
+    held = members.join(sets, "node").select("node", "root", "rank", "n_shingles", "band", F.explode("shingles").alias("shingle"))
+    across = stored(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
+    held = stored(held.drop("root").join(across, "shingle"))
+    places = stored(held.groupBy("shingle", "band").agg(
+        F.count("*").alias("n"), F.max("rank").alias("top"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")))
+    own = held.select("shingle", "node", F.col("rank").alias("own_rank"), F.col("n_shingles").alias("size"))
+    reach = own.join(places, "shingle").where(
+        (F.col("top") > F.col("own_rank")) & (100 * F.col("most") >= PERCENT * F.col("size")) & (100 * F.col("size") >= PERCENT * F.col("least")))
+    # 100 * common >= PERCENT * (size + least - common), solved for common
+    need = F.ceil(PERCENT * (F.col("size") + F.col("least")) / (100 + PERCENT)).cast("int")
+    chosen = reach.groupBy("node", "own_rank", "size", "band").agg(
+        F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common")).where(F.size("common") >= need)
+    probing = stored(chosen.select("node", "own_rank", "band", F.explode(F.slice("common", F.lit(1), F.size("common") - need + 1)).alias("s")).select(
+        "s.shingle", "band", "node", "own_rank"))
+    probed = stored(probing.groupBy("shingle", "band").agg(F.min("own_rank").alias("lowest")))
+    holding = held.join(probed, ["shingle", "band"]).where(F.col("rank") > F.col("lowest")).select("shingle", "band", "node", F.lit(False).alias("probe"))
+    both = probing.select("shingle", "band", "node", F.lit(True).alias("probe")).union(holding)
+    return stored(both.select(F.xxhash64("shingle", "band").alias("token"), "node", "probe").groupBy("token", "node").agg(F.max("probe").alias("probe")))
+
+
+def in_blocks(lists: DataFrame) -> DataFrame:
+    """Rows (bucket, token, i, j, left, node) that bring each probing class of a list together with each class of the list.
+
+    The p probing classes of a list are cut into p / ``BLOCK`` blocks by a hash, all its n classes into n / ``BLOCK``:
+    group (i, j) has block i of the ones on its left, block j of the others on its right. Small lists share a bucket.
     """
-    sizes = members.groupBy("token").agg(F.count("*").alias("n"))
-    own = members.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    paired = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = members.join(sizes, "token").withColumn("block", block).withColumn("pair", F.explode(paired)).select(
-        "token", "pair.i", "pair.j", "block", "node", "root", "signature")
-    groups = dealt.count() // GROUP_ROWS + 1
-    return dealt.join(own, "node").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+    sizes = stored(lists.groupBy("token").agg(F.count("*").alias("n"), F.count_if("probe").alias("p")))
+    blocks, probing = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "p"))
+    at, at_left = (F.pmod(F.xxhash64("node"), k).cast("int") for k in (blocks, probing))
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    right = F.transform(F.sequence(F.lit(0), probing - 1), lambda k: place(k, at, False))
+    left = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: place(at_left, k, True))
+    dealt = lists.join(sizes, "token").select("token", "node", F.explode(F.when(F.col("probe"), F.concat(left, right)).otherwise(right)).alias("place"))
+    rows = sizes.agg(F.sum(F.col("n") * probing + F.col("p") * blocks)).first()[0] or 0
+    return dealt.select("token", "place.*", "node").withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(rows // GROUP_ROWS + 1)))
 
 
 class Forest:
@@ -213,29 +235,31 @@ class Forest:
 
 
 def block_links(table: pa.Table) -> list[tuple[int, int]]:
-    """Links of one block pair that join components; best agreeing pairs first, each confirmed on the full sets.
+    """Links between the two sides of a group that join components; best agreeing pairs first, each confirmed on the full sets.
 
-    A pair is looked at under the first list that both its classes are in. Pairs whose components
-    are already joined are passed over, so at most one link per member comes out.
+    Pairs whose components are already joined are passed over, so at most one link per member comes out.
     """
-    node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-    token, first, second = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+    node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+    on_left = table.column("left").to_numpy()
+    left, right = np.flatnonzero(on_left), np.flatnonzero(~on_left)
     signature = np.stack(table.column("signature").to_numpy())
-    lists, sets = table.column("tokens").to_pylist(), [frozenset(x) for x in table.column("shingles").to_pylist()]
-    size = np.array([len(x) for x in sets])
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
     equal = np.zeros((len(left), len(right)), np.int16)
     for k in range(COORDINATES):
         equal += signature[left, k][:, None] == signature[right, k][None, :]
     a, b = np.nonzero(equal >= MATCHES)
     order = np.argsort(-equal[a, b], kind="stable")
     a, b = left[a[order]], right[b[order]]
+    size = table.column("n_shingles").to_numpy()
     small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    keep = (root[a] != root[b]) & (100 * small >= PERCENT * large) & ((a < b) | (first != second))
+    keep = (root[a] != root[b]) & (100 * small >= PERCENT * large)
+    shingles, sets = table.column("shingles"), {}
     forest, out = Forest(), []
     for x, y in zip(a[keep].tolist(), b[keep].tolist()):
-        if forest.root(int(root[x])) == forest.root(int(root[y])) or next(t for t in lists[x] if t in lists[y]) != token:
+        if forest.root(int(root[x])) == forest.root(int(root[y])):
             continue
+        for r in (x, y):
+            if r not in sets:
+                sets[r] = frozenset(shingles[r].as_py())
         common = len(sets[x] & sets[y])
         if 100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common) and forest.join(int(root[x]), int(root[y])):
             out.append((int(node[x]), int(node[y])))
@@ -243,7 +267,7 @@ def block_links(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def links_between_components(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that join components of one list: enough to connect whatever is connected."""
+    """Confirmed links (a, b) that join components of the members: enough to connect whatever is connected."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -256,7 +280,8 @@ def links_between_components(members: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = zip(*links) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return in_blocks(members, sets).groupBy("bucket").applyInArrow(work, "a long, b long")
+    dealt = in_blocks(probes(members, sets)).join(members.select("node", "root", "n_shingles", "signature"), "node").join(sets, "node")
+    return dealt.groupBy("bucket").applyInArrow(work, "a long, b long")
 
 
 def linked_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
@@ -264,7 +289,7 @@ def linked_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     lists = stored(posting_lists(classes))
     sets = stored(full_sets(documents, lists.select("node").distinct().join(classes, "node")))
     links = links_to_centres(lists, sets)
-    return links.union(links_between_components(still_open(lists, sets, links), sets))
+    return links.union(links_between_components(still_open(lists, links), sets))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -318,6 +318,26 @@ def test_near_duplicates_in_chains_and_clusters(spark, monkeypatch, block):
     same(near_dedup.near_duplicate_report(frame), "doc_id n_shingles component_id kept", brute.near_duplicates(rows))
 
 
+def test_near_duplicates_of_one_large_group(spark, monkeypatch):
+    """Copies of one text, many of them too far from each other to link: what is compared in blocks does not grow with their square."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    dealt, in_blocks = [], near_dedup.in_blocks
+    monkeypatch.setattr(near_dedup, "in_blocks", lambda *a: dealt.append(in_blocks(*a)) or dealt[-1])
+    r = random.Random(5)
+    base = words(r, 150, 100_000).split()
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for place in r.sample(range(0, 150, 5), r.randrange(2, 8)):
+            text[place] = f"n{r.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute.near_duplicates(rows)
+    assert 10 < len({w[2] for w in wanted}) < 120
+    same(near_dedup.near_duplicate_report(frame), "doc_id n_shingles component_id kept", wanted)
+    assert dealt[0].count() < 32 * len(rows)
+
+
 def test_language_rules(documents, rows):
     got = {(r.doc_id, r.lang_pred, r.held_out) for r in language_id.language_of(documents).collect()}
     assert {x[1] for x in got} <= {"en", "de", "und"}
