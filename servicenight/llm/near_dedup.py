@@ -160,28 +160,34 @@ def links_to_centres(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def still_open(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root, rank, n_shingles, band, signature) of the classes of lists that the links leave in several components.
+    """(node, root, rank, n_shingles, least, band, signature) of the classes of lists that the links leave in several components.
 
-    ``root`` names a class's component so far, ``rank`` orders the components by how many of these classes they hold.
+    ``root`` names a class's component so far, ``rank`` orders the components by how many of these classes they hold,
+    ``least`` is the smallest set in the class's lists.
     """
     roots = components(links).select("node", "root")
     rooted = stored(lists.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = stored(rooted.join(open_lists.select("token"), "token").dropDuplicates(["node"]).select("node", "root", "n_shingles", "signature"))
+    open_lists = rooted.groupBy("token").agg(F.min("n_shingles").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = stored(rooted.join(open_lists.select("token", "least"), "token").groupBy("node").agg(
+        F.first("root").alias("root"), F.first("n_shingles").alias("n_shingles"), F.min("least").alias("least"), F.first("signature").alias("signature")))
     sizes = stored(rest.groupBy("root").agg(F.count("*").alias("n")))
     return stored(rest.join(sizes, "root").select(
-        "node", "root", F.struct("n", "root").alias("rank"), "n_shingles", F.floor(F.log("n_shingles") * BANDS).cast("int").alias("band"), "signature"))
+        "node", "root", F.struct("n", "root").alias("rank"), "n_shingles", "least", F.floor(F.log("n_shingles") * BANDS).cast("int").alias("band"), "signature"))
 
 
 def probes(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(token, node, probe): under each probed shingle of a band, the classes that probe it and those of the band that hold it.
 
     Of two classes that can link, the one of the smaller component probes the other one's band. Rare shingles are taken
-    first, so what a whole group of copies has in common is probed only by a class that has enough of it to link.
+    first, so what a whole group of copies has in common is probed only by a class that has enough of it to link. A class
+    whose shingles that other components have do not do even with the smallest set it may meet is out.
     """
-    held = members.join(sets, "node").select("node", "root", "rank", "n_shingles", "band", F.explode("shingles").alias("shingle"))
+    held = members.join(sets, "node").select("node", "root", "rank", "n_shingles", "least", "band", F.explode("shingles").alias("shingle"))
     across = stored(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     held = stored(held.drop("root").join(across, "shingle"))
+    able = stored(held.groupBy("node").agg(F.count("*").alias("common"), F.first("n_shingles").alias("n"), F.first("least").alias("least")).where(
+        enough(F.col("common"), F.col("n"), F.greatest("least", "common"))).select("node"))
+    held = held.drop("least").join(able, "node")
     places = stored(held.groupBy("shingle", "band").agg(
         F.count("*").alias("n"), F.max("rank").alias("top"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")))
     own = held.select("shingle", "node", F.col("rank").alias("own_rank"), F.col("n_shingles").alias("size"))
