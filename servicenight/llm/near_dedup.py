@@ -180,25 +180,29 @@ def probes(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     Of two classes that can link, the one of the smaller component probes the other one's band. Rare shingles are taken
     first, so what a whole group of copies has in common is probed only by a class that has enough of it to link. A class
-    whose shingles that other components have do not do even with the smallest set it may meet is out.
+    whose shingles that other components have do not do even with the smallest set it may meet is out. The shingles to
+    probe are chosen over all sizes, one row for each shingle of a class; only the chosen ones meet the bands, and of
+    these the first ones that do for the band's sizes.
     """
     held = members.join(sets, "node").select("node", "root", "rank", "n_shingles", "least", "band", F.explode("shingles").alias("shingle"))
     across = stored(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     held = stored(held.drop("root").join(across, "shingle"))
     able = stored(held.groupBy("node").agg(F.count("*").alias("common"), F.first("n_shingles").alias("n"), F.first("least").alias("least")).where(
         enough(F.col("common"), F.col("n"), F.greatest("least", "common"))).select("node"))
-    held = held.drop("least").join(able, "node")
-    places = stored(held.groupBy("shingle", "band").agg(
-        F.count("*").alias("n"), F.max("rank").alias("top"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")))
-    own = held.select("shingle", "node", F.col("rank").alias("own_rank"), F.col("n_shingles").alias("size"))
-    reach = own.join(places, "shingle").where(
-        (F.col("top") > F.col("own_rank")) & (100 * F.col("most") >= PERCENT * F.col("size")) & (100 * F.col("size") >= PERCENT * F.col("least")))
+    held = stored(held.drop("least").join(able, "node"))
+    spread = (F.max("rank").alias("top"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    within = (F.col("top") > F.col("own_rank")) & (100 * F.col("most") >= PERCENT * F.col("size")) & (100 * F.col("size") >= PERCENT * F.col("least"))
     # 100 * common >= PERCENT * (size + least - common), solved for common
     need = F.ceil(PERCENT * (F.col("size") + F.col("least")) / (100 + PERCENT)).cast("int")
-    chosen = reach.groupBy("node", "own_rank", "size", "band").agg(
-        F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common")).where(F.size("common") >= need)
-    probing = stored(chosen.select("node", "own_rank", "band", F.explode(F.slice("common", F.lit(1), F.size("common") - need + 1)).alias("s")).select(
-        "s.shingle", "band", "node", "own_rank"))
+    own = held.select("shingle", "node", F.col("rank").alias("own_rank"), F.col("n_shingles").alias("size"))
+    shared = own.join(stored(held.groupBy("shingle").agg(F.count("*").alias("n"), *spread)), "shingle").where(within)
+    ranked = shared.groupBy("node", "own_rank", "size").agg(
+        F.greatest(F.min("least"), F.ceil(PERCENT * F.col("size") / 100)).alias("least"),
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("shingles")).withColumn("common", F.size("shingles")).where(F.col("common") >= need)
+    chosen = stored(ranked.select("node", "own_rank", "size", "common", F.posexplode(F.slice("shingles", F.lit(1), F.col("common") - need + 1)).alias("place", "s")).select(
+        "node", "own_rank", "size", "common", "place", "s.shingle"))
+    places = stored(held.groupBy("shingle", "band").agg(*spread))
+    probing = stored(chosen.join(places, "shingle").where(within & (F.col("place") + need <= F.col("common"))).select("shingle", "band", "node", "own_rank"))
     probed = stored(probing.groupBy("shingle", "band").agg(F.min("own_rank").alias("lowest")))
     holding = held.join(probed, ["shingle", "band"]).where(F.col("rank") > F.col("lowest")).select("shingle", "band", "node", F.lit(False).alias("probe"))
     both = probing.select("shingle", "band", "node", F.lit(True).alias("probe")).union(holding)

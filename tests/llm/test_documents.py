@@ -338,6 +338,34 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert dealt[0].count() < 32 * len(rows)
 
 
+def test_near_duplicates_probe_no_shingle_once_per_band(spark, monkeypatch):
+    """Copies of one text of many lengths: a shared shingle stands in many bands of sizes, and its classes do not meet each of them."""
+    r = random.Random(13)
+    base = words(r, 150, 100_000).split()
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for place in r.sample(range(0, 150, 5), r.randrange(2, 8)):
+            text[place] = f"n{r.randrange(10**6)}"
+        rows.append((k, " ".join(text + [f"t{k}x{i}" for i in range(r.randrange(30))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    met, held, frames, probes = [], [], type(frame), near_dedup.probes
+    join = frames.join
+
+    def counted(left, right, on=None, how=None):
+        out = join(left, right, on, how)
+        if isinstance(on, str) and on == "shingle" and "own_rank" in out.columns:
+            met.append(out)
+        return out
+
+    monkeypatch.setattr(near_dedup, "probes", lambda members, sets: held.append(members) or probes(members, sets))
+    monkeypatch.setattr(frames, "join", counted)
+    same(near_dedup.near_duplicate_report(frame), "doc_id n_shingles component_id kept", brute.near_duplicates(rows))
+    shingles = held[0].agg(F.sum("n_shingles")).first()[0]
+    assert held[0].select("band").distinct().count() > 5
+    assert 0 < met[0].count() <= shingles
+
+
 def test_language_rules(documents, rows):
     got = {(r.doc_id, r.lang_pred, r.held_out) for r in language_id.language_of(documents).collect()}
     assert {x[1] for x in got} <= {"en", "de", "und"}
