@@ -32,6 +32,10 @@ NO_LANGUAGE = "und"
 #: Words of one shard, and of all shards that a task holds open.
 SHARD_WORDS = 1 << 20
 OPEN_WORDS = 3 << 20
+#: Rows that a task gathers from its shards before it adds up those of one phrase.
+GATHERED_ROWS = 1 << 18
+#: Tasks per core that extend phrases from the second sieve on: each sends such a phrase once, however many shards it has.
+TASKS_PER_CORE = 2
 #: Bits of the largest sieve; more phrases let more others through, and lose none.
 SIEVE_BITS = 1 << 28
 
@@ -242,15 +246,39 @@ def make_sieve(frequent: DataFrame, size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def added_up(parts: list[pa.RecordBatch]) -> pa.Table:
+    *words, n = parts[0].schema.names
+    total = pa.Table.from_batches(parts).group_by(words, use_threads=False).aggregate([(n, "sum")])
+    return pa.table([*(total.column(c) for c in words), total.column(f"{n}_sum")], [*words, n])
+
+
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with those of one phrase added up, as far as ``GATHERED_ROWS`` rows at a time allow."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows >= GATHERED_ROWS:
+            total = added_up(held)
+            held, rows = total.to_batches(), total.num_rows
+            if 2 * rows > GATHERED_ROWS:
+                yield from total.to_batches(1 << 17)
+                held, rows = [], 0
+    if held:
+        yield from added_up(held).to_batches(1 << 17)
+
+
 def extensions(indexes: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
     """(w1, w2, ..., n): each shard's phrases one word longer than the last sieve's, which start with two words, and their counts there.
 
-    Left and right extension take turns, so that each needs the interval that the other kept up.
+    Left and right extension take turns, so that each needs the interval that the other kept up. Phrases that two sieves
+    have let through are few and recur from shard to shard, so a few tasks take many shards each and add their counts up.
     """
+    cores, recurring = indexes.sparkSession.sparkContext.defaultParallelism, len(sieves) > 1
     names = [*word_columns(len(sieves) + 2), "n"]
     held = indexes.sparkSession.sparkContext.broadcast(sieves)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, forward, backward, ids in zip(*(batch.column(c) for c in ("n_tokens", "forward", "backward", "ids"))):
                 index = Index(unpacked(forward.as_py(), n.as_py()), unpacked(backward.as_py(), n.as_py()), ids.values.to_numpy())
@@ -261,11 +289,15 @@ def extensions(indexes: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
                     part = slice(first, first + (1 << 17))
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*found.words[part].T, found.size[part])], names)
 
-    return indexes.select("n_tokens", "forward", "backward", "ids").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(counted(batches)) if recurring else counted(batches)
+
+    read = indexes.select("n_tokens", "forward", "backward", "ids")
+    return (read.coalesce(TASKS_PER_CORE * cores) if recurring else read).mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 def summed(found: DataFrame, least: int) -> DataFrame:
-    """(w1, w2, ..., a) of the phrases frequent over all shards; a shard sends each phrase once, already counted."""
+    """(w1, w2, ..., a) of the phrases frequent over all shards; a shard or a task with several sends each phrase once, already counted."""
     names = found.columns[:-1]
     return stored(found.repartition(*names).groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= least))
 

@@ -218,6 +218,25 @@ def test_few_of_many_collocations(spark):
     same(collocations.collocations(frame, top=7), COLLOCATION, plain_collocations(rows, 7))
 
 
+@pytest.mark.parametrize("gathered_rows", [1 << 20, 50])
+def test_collocations_of_many_shards(spark, monkeypatch, gathered_rows):
+    """What every shard has is not sent by every shard."""
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 100)
+    monkeypatch.setattr(collocations, "OPEN_WORDS", 200)
+    monkeypatch.setattr(collocations, "GATHERED_ROWS", gathered_rows)
+    extensions, found = collocations.extensions, []
+    monkeypatch.setattr(collocations, "extensions", lambda *a: found.append(extensions(*a)) or found[-1])
+    r = random.Random(6)
+    rows = [("en" if i % 3 else "de", " ".join(r.choice("abc") for _ in range(100))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    same(collocations.collocations(frame), COLLOCATION, plain_collocations(rows))
+    tasks = collocations.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for longer in found[2:] if gathered_rows > 50 else []:
+        phrases = longer.drop("n").distinct().count()
+        assert phrases >= 2 * 3 ** (len(longer.columns) - 1)
+        assert longer.count() <= tasks * phrases < 600 * phrases / 3
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(None, "", "en"), (2, " . ;", "en")]])
 def test_nothing_to_find(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
