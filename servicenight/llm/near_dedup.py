@@ -182,7 +182,8 @@ def probes(members: DataFrame, sets: DataFrame) -> DataFrame:
     first, so what a whole group of copies has in common is probed only by a class that has enough of it to link. A class
     whose shingles that other components have do not do even with the smallest set it may meet is out. The shingles to
     probe are chosen over all sizes, one row for each shingle of a class; only the chosen ones meet the bands, and of
-    these the first ones that do for the band's sizes.
+    these the first ones that do for the band's sizes. Copies share whole runs of shingles, which make the same list over
+    and over; one of them stays.
     """
     held = members.join(sets, "node").select("node", "root", "rank", "n_shingles", "least", "band", F.explode("shingles").alias("shingle"))
     across = stored(held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
@@ -206,7 +207,14 @@ def probes(members: DataFrame, sets: DataFrame) -> DataFrame:
     probed = stored(probing.groupBy("shingle", "band").agg(F.min("own_rank").alias("lowest")))
     holding = held.join(probed, ["shingle", "band"]).where(F.col("rank") > F.col("lowest")).select("shingle", "band", "node", F.lit(False).alias("probe"))
     both = probing.select("shingle", "band", "node", F.lit(True).alias("probe")).union(holding)
-    return stored(both.select(F.xxhash64("shingle", "band").alias("token"), "node", "probe").groupBy("token", "node").agg(F.max("probe").alias("probe")))
+    return unrepeated(stored(both.select(F.xxhash64("shingle", "band").alias("token"), "node", "probe").groupBy("token", "node").agg(F.max("probe").alias("probe"))))
+
+
+def unrepeated(lists: DataFrame) -> DataFrame:
+    """One list (token, node, probe) of those that hold the same rows, told by their number and 128 bits of hash."""
+    alike = lists.groupBy("token").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(salt), "node", "probe")).alias(f"h{salt}") for salt in (1, 2)])
+    first = stored(alike.groupBy("n", "h1", "h2").agg(F.min("token").alias("token")).select("token"))
+    return stored(lists.join(first, "token"))
 
 
 def in_blocks(lists: DataFrame) -> DataFrame:
@@ -227,7 +235,7 @@ def in_blocks(lists: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Components of a block pair while its links are found."""
+    """Components of a bucket while its links are found."""
 
     def __init__(self):
         self.above: dict[int, int] = {}
@@ -244,49 +252,70 @@ class Forest:
         return a != b
 
 
-def block_links(table: pa.Table) -> list[tuple[int, int]]:
-    """Links between the two sides of a group that join components; best agreeing pairs first, each confirmed on the full sets.
+class Bucket:
+    """The groups of a bucket, their columns laid out once."""
 
-    Pairs whose components are already joined are passed over, so at most one link per member comes out.
-    """
-    node, root = (table.column(c).to_numpy() for c in ("node", "root"))
-    on_left = table.column("left").to_numpy()
-    left, right = np.flatnonzero(on_left), np.flatnonzero(~on_left)
-    signature = np.stack(table.column("signature").to_numpy())
-    equal = np.zeros((len(left), len(right)), np.int16)
-    for k in range(COORDINATES):
-        equal += signature[left, k][:, None] == signature[right, k][None, :]
-    a, b = np.nonzero(equal >= MATCHES)
-    order = np.argsort(-equal[a, b], kind="stable")
-    a, b = left[a[order]], right[b[order]]
-    size = table.column("n_shingles").to_numpy()
-    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    keep = (root[a] != root[b]) & (100 * small >= PERCENT * large)
-    shingles, sets = table.column("shingles"), {}
-    forest, out = Forest(), []
-    for x, y in zip(a[keep].tolist(), b[keep].tolist()):
-        if forest.root(int(root[x])) == forest.root(int(root[y])):
-            continue
-        for r in (x, y):
-            if r not in sets:
-                sets[r] = frozenset(shingles[r].as_py())
-        common = len(sets[x] & sets[y])
-        if 100 * common >= PERCENT * (len(sets[x]) + len(sets[y]) - common) and forest.join(int(root[x]), int(root[y])):
-            out.append((int(node[x]), int(node[y])))
-    return out
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.node, self.root, self.size, self.on_left = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles", "left"))
+        self.signature = table.column("signature").chunk(0).flatten().to_numpy().reshape(-1, COORDINATES)
+        shingles = table.column("shingles").chunk(0)
+        self.places, self.shingles = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+        _, group = np.unique(np.column_stack([table.column(c).to_numpy() for c in ("token", "i", "j")]), axis=0, return_inverse=True)
+        order = np.argsort(group.ravel(), kind="stable")
+        self.groups = np.split(order, np.flatnonzero(np.diff(group.ravel()[order])) + 1)
+        self.forest = Forest()
+        self.tried: set[tuple[int, int]] = set()
+
+    def linked(self, x: int, y: int) -> bool:
+        """Whether the full sets of two rows are similar enough."""
+        a, b = (self.shingles[self.places[r]:self.places[r + 1]] for r in (x, y))
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+    def candidates(self, rows: np.ndarray) -> tuple[list[int], list[int]]:
+        """Pairs of the two sides of a group that may link two components, best agreeing ones first."""
+        left, right = rows[self.on_left[rows]], rows[~self.on_left[rows]]
+        equal = np.zeros((len(left), len(right)), np.int16)
+        x, y = self.signature[left], self.signature[right]
+        if equal.size <= BLOCK:
+            equal += (x[:, None] == y[None]).sum(2, dtype=np.int16)
+        else:
+            for k in range(COORDINATES):
+                equal += x[:, k][:, None] == y[:, k][None, :]
+        a, b = np.nonzero(equal >= MATCHES)
+        order = np.argsort(-equal[a, b], kind="stable")
+        a, b = left[a[order]], right[b[order]]
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        keep = (self.root[a] != self.root[b]) & (100 * small >= PERCENT * large)
+        return a[keep].tolist(), b[keep].tolist()
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links within groups that join components, each confirmed on the full sets.
+
+        Pairs whose components are already joined are passed over, so at most one link per member comes out;
+        a pair of several groups is compared once.
+        """
+        out = []
+        for rows in self.groups:
+            for x, y in zip(*self.candidates(rows)):
+                a, b = int(self.root[x]), int(self.root[y])
+                pair = int(self.node[x]), int(self.node[y])
+                if self.forest.root(a) == self.forest.root(b) or pair in self.tried:
+                    continue
+                if self.linked(x, y):
+                    self.forest.join(a, b)
+                    out.append(pair)
+                else:
+                    self.tried.update((pair, pair[::-1]))
+        return out
 
 
 def links_between_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) that join components of the members: enough to connect whatever is connected."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        _, group = np.unique(np.column_stack([table.column(c).to_numpy() for c in ("token", "i", "j")]), axis=0, return_inverse=True)
-        order = np.argsort(group.ravel(), kind="stable")
-        links: list[tuple[int, int]] = []
-        for rows in np.split(order, np.flatnonzero(np.diff(group.ravel()[order])) + 1):
-            if len(rows) > 1:
-                links += block_links(table.take(pa.array(rows)))
+        links = Bucket(pa.Table.from_batches(list(batches))).links()
         a, b = zip(*links) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

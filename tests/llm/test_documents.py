@@ -246,6 +246,25 @@ def test_bpe_of_odd_texts_and_decoding(spark, monkeypatch):
         assert got[i].ids == x and got[i].decoded == library.decode(x, skip_special_tokens=False)
 
 
+def test_bpe_rounds_equal_the_index():
+    """Short words merge in vector rounds, whatever stands around them."""
+    r = random.Random(3)
+    new = sorted({"".join(r.choice("aabehlnorst" if k % 2 else "aé日'!9ß") for _ in range(r.randrange(1, 30))) for k in range(600)} | {"a" * 64, "ab" * 32, "é"})
+    by_rounds, by_index = (bpe.WordBpe(bpe.vocabulary_path()) for _ in range(2))
+    by_rounds.learn_by_rounds(new)
+    by_index.learn_by_index(new)
+    assert by_rounds.ids_of == by_index.ids_of and by_rounds.tokens_of == by_index.tokens_of and len(by_index.ids_of) == len(new)
+    texts = ["Runs, of words; don't<|ENDOFTEXT|> <|endoftext|>x", "a\x1db c", "", "  "]
+    ids, _ = library_tokens(texts)
+    assert [array.array("I", x).tolist() for x, _ in by_rounds.encode(texts)] == ids
+
+
+def test_runs_between_white_space_hold_whole_words():
+    """All that str.split cuts at is white space of the words, but for the separators told apart."""
+    cuts = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and len(f"a{c}b".split()) == 2]
+    assert [c for c in cuts if bpe._WORD.findall(c)] == list(bpe._SEPARATORS)
+
+
 def test_quality_counts(documents, rows):
     same(quality.quality_report(documents), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed", brute.quality(rows))
 
@@ -366,6 +385,25 @@ def test_near_duplicates_probe_no_shingle_once_per_band(spark, monkeypatch):
     assert 0 < met[0].count() <= shingles
 
 
+def test_near_duplicates_compare_no_list_twice(spark, monkeypatch):
+    """A run of shingles that the same texts share makes the same list for each of them; one is compared."""
+    lists, in_blocks = [], near_dedup.in_blocks
+    monkeypatch.setattr(near_dedup, "in_blocks", lambda given: lists.append(given) or in_blocks(given))
+    r = random.Random(21)
+    rows = []
+    for _ in range(30):
+        base = words(r, 400, 100_000).split()
+        for _ in range(6):
+            text = list(base)
+            for place in r.sample(range(400), r.randrange(4, 16)):
+                text[place] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    same(near_dedup.near_duplicate_report(frame), "doc_id n_shingles component_id kept", brute.near_duplicates(rows))
+    held = [tuple(sorted(x.rows)) for x in lists[0].groupBy("token").agg(F.collect_list(F.struct("node", "probe")).alias("rows")).collect()]
+    assert held and len(held) == len(set(held))
+
+
 def test_language_rules(documents, rows):
     got = {(r.doc_id, r.lang_pred, r.held_out) for r in language_id.language_of(documents).collect()}
     assert {x[1] for x in got} <= {"en", "de", "und"}
