@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.operators import staging
-from servicenight.session import ensure_checkpoint_dir, travels
+from servicenight.session import ensure_checkpoint_dir, shuffles_freed, travels
 
 travels(__name__)
 
@@ -302,11 +302,10 @@ def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item exports in Windows-1252: one line per item id, the orders of a hundred keys per file."""
-    l = _item_columns(table(spark, sf_dir, "lineitem"))
-    one = [F.col(c) for c in ("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")]
-    names = ["_sent", "_item", "_price", "_discount", "_net", "_halves", "l_suppkey", "l_partkey", "l_returnflag"]
-    l = l.groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct(*names), F.struct(*one)).alias("x")).select(
-        "l_orderkey", "l_linenumber", "x.*")
+    one = ["l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag"]
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*one)).alias("x"))
+    # the cells are made after the shuffle, which moves numbers instead
+    l = _item_columns(l.select("l_orderkey", "l_linenumber", "x.*"))
     text = lambda c: c.cast("string")
     sent = F.date_format("_sent", "M/d/yy h:mm a")
     cells = [text(F.col("l_orderkey")), text(F.col("l_orderkey") % 300 + 1), sent, sent, text(F.col("l_suppkey")), F.lit("O3"),
@@ -359,7 +358,8 @@ def export_folder(spark: SparkSession, sf_dir: str) -> str:
         fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files"))
         fs.deleteOnExit(place)
         files = export_files(spark, sf_dir).unionByName(item_files(spark, sf_dir))
-        write_files(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), f"{root}/files")
+        with shuffles_freed(spark):
+            write_files(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), f"{root}/files")
         _FOLDERS[key] = f"{root}/files"
     return _FOLDERS[key]
 

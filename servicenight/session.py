@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -71,6 +74,49 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark 4.1 and later; before, shuffle files stay until the driver's garbage collector finds that nothing refers to them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action go as soon as it has ended; for jobs that store what they read again."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+class Spool:
+    """Large frames stored compressed in a folder of their own, until ``drop`` or the application's end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark)}/spool-{uuid.uuid4().hex}"
+        place, fs = self._place(self.root)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        with shuffles_freed(self.spark):
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        """Delete one frame, or all of them."""
+        place, fs = self._place(f"{self.root}/{name}".rstrip("/"))
+        fs.delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Store a frame reliably so that later plans read it instead of recomputing it."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from servicenight.session import materialize, travels
+from servicenight.session import Spool, materialize, shuffles_freed, travels
 from servicenight.sources.exports import scan_folder
 
 travels(__name__)
@@ -102,7 +102,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pieces(spark: SparkSession, paths: list[str], span: tuple[str, str] | None = None) -> DataFrame:
-    """The files' lines in stored pieces (source_file, start, part, content) with what the states are computed from.
+    """The files' lines in pieces (source_file, start, part, content) with what the states are computed from.
 
     ``span``, the first and the last name to read, tells which files of a folder are opened.
     """
@@ -112,7 +112,7 @@ def pieces(spark: SparkSession, paths: list[str], span: tuple[str, str] | None =
     lines = (lines if span is None else lines.where(name.between(*span))).select(
         name.alias("name"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"),
         F.col("value").cast("binary").alias("line"))
-    return materialize(lines.mapInArrow(_pack, _PIECE_SCHEMA))
+    return lines.mapInArrow(_pack, _PIECE_SCHEMA)
 
 
 def piece_states(packed: DataFrame) -> DataFrame:
@@ -195,16 +195,16 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"source_file": row["source_file"], "line": at, "fields": c, "error": e} for at, c, e in found], _CUT)
 
 
-def cut_records(packed: DataFrame, states: DataFrame) -> DataFrame:
-    """(source_file, line, fields, error) of every record."""
+def cut_records(packed: DataFrame, states: DataFrame, spool: Spool) -> DataFrame:
+    """(source_file, line, fields, error) of every record, stored once."""
     key = ["source_file", "start", "part"]
     placed = packed.select(*key, "content").join(states.where(F.col("fault_line").isNull()), key)
-    cut = materialize(placed.mapInArrow(_cut, _CUT_SCHEMA))
+    cut = spool.store("cut", placed.mapInArrow(_cut, _CUT_SCHEMA))
     # a record in pieces is as long as its cells, whatever the file's size
     apart = cut.where(F.col("piece").isNotNull()).groupBy("source_file", "owner").agg(
         F.array_sort(F.collect_list(F.struct("start", "part", "line", "piece"))).alias("pieces"))
     encodings = states.groupBy("source_file").agg(F.min("utf8").alias("utf8"))
-    joined = apart.join(encodings, "source_file").mapInArrow(_join, _CUT_SCHEMA)
+    joined = spool.store("joined", apart.join(encodings, "source_file").mapInArrow(_join, _CUT_SCHEMA))
     out = ["source_file", "line", "fields", "error"]
     unread = states.where(F.col("fault_line").isNotNull()).groupBy("source_file").agg(F.min("fault_line").alias("line")).select(
         "source_file", F.lit(0).cast("long").alias("line"), F.lit(None).cast("array<string>").alias("fields"),
@@ -213,9 +213,12 @@ def cut_records(packed: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def told_apart(cut: DataFrame, files: DataFrame) -> DataFrame:
-    """The records in the form of ``exports.RECORD_SCHEMA``: headers, repeats of them, rows, and a file's first fault, after which nothing counts."""
-    cut = materialize(cut)
-    headers = materialize(cut.where(F.col("fields").isNotNull()).groupBy("source_file").agg(F.min_by("fields", "line").alias("header"), F.min("line").alias("header_line")))
+    """The records in the form of ``exports.RECORD_SCHEMA``: headers, repeats of them, rows, and a file's first fault, after which nothing counts.
+
+    ``cut`` should be stored, as it is read three times.
+    """
+    with shuffles_freed(cut.sparkSession):
+        headers = materialize(cut.where(F.col("fields").isNotNull()).groupBy("source_file").agg(F.min_by("fields", "line").alias("header"), F.min("line").alias("header_line")))
     size = lambda c: F.size(c).cast("string")
     wide = F.when(F.size("fields") != F.size("header"), F.concat(
         F.lit("line "), F.col("line").cast("string"), F.lit(": "), size("fields"), F.lit(" fields, header has "), size("header")))
@@ -225,31 +228,34 @@ def told_apart(cut: DataFrame, files: DataFrame) -> DataFrame:
     told = cut.join(headers, "source_file", "left").withColumn("kind", kind).withColumn(
         "error", F.when(F.col("kind") == "error", F.coalesce("error", wide, nul)))
     # an export repeats its header once per report in it
-    marks = told.where(F.col("kind").isin("repeat", "error")).groupBy("source_file").agg(
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "repeat", F.col("line")))).alias("repeats"),
-        F.min(F.when(F.col("kind") == "error", F.col("line"))).alias("fault"))
+    with shuffles_freed(cut.sparkSession):
+        marks = materialize(told.where(F.col("kind").isin("repeat", "error")).groupBy("source_file").agg(
+            F.sort_array(F.collect_list(F.when(F.col("kind") == "repeat", F.col("line")))).alias("repeats"),
+            F.min(F.when(F.col("kind") == "error", F.col("line"))).alias("fault")))
     chunk = F.coalesce(F.size(F.filter("repeats", lambda r: r <= F.col("line"))), F.lit(0))
-    placed = told.join(materialize(marks), "source_file", "left").where(F.col("fault").isNull() | (F.col("line") <= F.col("fault")))
+    placed = told.join(marks, "source_file", "left").where(F.col("fault").isNull() | (F.col("line") <= F.col("fault")))
     return placed.join(files.select("source_file", "file_hash"), "source_file").select(
         "source_file", "file_hash", "kind", F.col("line").cast("int").alias("source_row_number"), chunk.cast("int").alias("chunk"),
         F.when(F.col("kind").isin("row", "header"), F.col("fields")).alias("fields"), "error")
 
 
-def parse_folder(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+def parse_folder(spark: SparkSession, folder: str, files: DataFrame | None = None, spool: Spool | None = None) -> DataFrame:
     """Records of a folder's exports like those of ``exports.parse_files``; ``files`` (source_file, file_hash) picks some of them.
 
     An empty file has no line to read and no record. Of many files the driver gets the first and the last name; files between
-    them that are not wanted are dropped before their records are cut.
+    them that are not wanted are dropped before their records are cut. The records are read from ``spool``, which the caller may drop after use.
     """
     files = scan_folder(spark, folder).select("source_file", "file_hash") if files is None else files.select("source_file", "file_hash")
     files = materialize(files)
     few = sorted(r.source_file for r in files.select("source_file").limit(BY_PATH + 1).collect())
     if not few:
         return spark.createDataFrame([], "source_file string, file_hash string, kind string, source_row_number int, chunk int, fields array<string>, error string")
-    if len(few) <= BY_PATH:
-        packed = pieces(spark, [f"{folder}/{n}" for n in few])
+    spool = spool or Spool(spark)
+    with shuffles_freed(spark):
+        span = () if len(few) <= BY_PATH else (tuple(files.agg(F.min("source_file"), F.max("source_file")).first()),)
+        packed = spool.store("pieces", pieces(spark, [folder] if span else [f"{folder}/{n}" for n in few], *span))
         states = piece_states(packed)
-    else:
-        packed = pieces(spark, [folder], tuple(files.agg(F.min("source_file"), F.max("source_file")).first()))
-        states = piece_states(packed).join(files, "source_file", "left_semi")
-    return told_apart(cut_records(packed, materialize(states)), files)
+        states = materialize(states.join(files, "source_file", "left_semi") if span else states)
+        cut = cut_records(packed, states, spool)
+    spool.drop("pieces")
+    return told_apart(cut, files)

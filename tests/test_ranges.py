@@ -1,12 +1,15 @@
 """Files cut into byte ranges against the reader that takes a file whole."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from servicenight.plans import standins
 from servicenight.rules import LAYOUTS
+from servicenight.session import FREE_SHUFFLES, shuffles_freed
 from servicenight.sources import exports, ranges
 from tests.fixtures import header, line
 
@@ -85,6 +88,39 @@ def test_many_files_are_found_by_one_listing(spark, tmp_path, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 3 * len(names)
 
 
+def test_records_are_stored_once(spark, tmp_path, monkeypatch):
+    """Neither the pieces nor a second copy of the records stay on disk, and no checkpoint holds any of them."""
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_bytes(b'A,B\n1,2\n"x\ny",3\n')
+    checkpoints, materialize = [], ranges.materialize
+    monkeypatch.setattr(ranges, "materialize", lambda df: checkpoints.append(df.columns) or materialize(df))
+    files = exports.scan_folder(spark, str(tmp_path))
+    spool = ranges.Spool(spark)
+    records = ranges.parse_folder(spark, str(tmp_path), files, spool)
+    assert records.count() == 9 and not any({"content", "fields"} & set(names) for names in checkpoints)
+    stored = lambda: {p.name for p in Path(spool.root.removeprefix("file:")).glob("*")}
+    assert stored() == {"cut", "joined"}
+    spool.drop()
+    assert not stored()
+
+
+def test_shuffle_files_go_with_the_action(spark, tmp_path):
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(i)).split("_")[1] for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(FREE_SHUFFLES, None)
+    with shuffles_freed(spark):
+        spark.range(1000).repartition(5, "id").write.parquet(str(tmp_path / "out"))
+    for _ in range(100):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(FREE_SHUFFLES, None) == setting
+    spark.range(1000).repartition(5, "id").write.parquet(str(tmp_path / "other"))
+    assert shuffles() - before
+
+
 def test_files_are_written_by_the_tasks_that_hold_them(spark, tmp_path):
     contents = {f"{n}.csv": f"A,B\r\n{n},é\r\n".encode("cp1252") for n in range(7)} | {"no end.csv": b"A", "empty.csv": b""}
     frame = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "name string, content binary").repartition(3)
