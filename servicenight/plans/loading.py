@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from servicenight import rules
-from servicenight.session import ensure_checkpoint_dir, materialize
+from servicenight.session import Spool, ensure_checkpoint_dir, materialize
 from servicenight.sources import exports, ledger, monthly, ranges, warehouse
 from servicenight.plans import standins as S
 from servicenight.plans.registry import ORACLES, query
@@ -173,8 +173,12 @@ def _warehouse(spark, sf) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILT:
         root = f"{ensure_checkpoint_dir(spark)}/warehouse-{uuid.uuid4().hex}"
-        files = S.export_files(spark, sf).unionByName(S.item_files(spark, sf))
-        ledger.load_files(exports.describe_files(files), root)
+        spool = Spool(spark)
+        try:  # a load reads its files twice
+            files = spool.store("files", S.export_files(spark, sf).unionByName(S.item_files(spark, sf)))
+            ledger.load_files(exports.describe_files(files), root)
+        finally:
+            spool.drop()
         warehouse.refresh(spark, root)
         _BUILT[key] = root
     return _BUILT[key]

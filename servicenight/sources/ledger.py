@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight import rules
 from servicenight.operators.ordering import number_rows
-from servicenight.session import materialize
+from servicenight.session import Spool, materialize, shuffles_freed
 from servicenight.sources import exports, ranges
 
 LOG_SCHEMA = ("load_id bigint, source_file string, file_hash string, export_type string, "
@@ -105,11 +105,21 @@ def load_files(files: DataFrame, root: str, parse: Callable[[DataFrame], DataFra
     A refused file holds up no other and leaves no row; its bytes are not parsed again unless
     ``retry_refused`` says so, as after a rule change. Returns the log rows added.
     """
+    spark = files.sparkSession
+    spool = Spool(spark)
+    try:
+        with shuffles_freed(spark):
+            return _load(files, root, parse, retry_refused, spool)
+    finally:
+        spool.drop()
+
+
+def _load(files: DataFrame, root: str, parse: Callable[[DataFrame], DataFrame], retry_refused: bool, spool: Spool) -> DataFrame:
     spark = files.sparkSession
     log = read_log(spark, root)
     wanted = unseen_files(files, log, None if retry_refused else read_refusals(spark, root))
     # Parsed once and stored: the checks, every layout and the log read the same records.
-    records = materialize(parse(files.join(wanted, ["source_file", "file_hash"], "left_semi")))
+    records = spool.store("records", parse(files.join(wanted, ["source_file", "file_hash"], "left_semi")))
     layouts = exports.layout_table(spark)
     refused = materialize(exports.refused_files(records, layouts))
     record_refusals(refused, root)
@@ -128,7 +138,7 @@ def load_files(files: DataFrame, root: str, parse: Callable[[DataFrame], DataFra
         those = loads.where(F.col("export_type") == export_type).select("file_hash")
         cells = [F.col("fields")[i].alias(n) for i, n in enumerate(rules.LAYOUTS[export_type])]
         (rows.join(those, "file_hash", "left_semi").select("source_file", "file_hash", "source_row_number", *cells)
-         .write.mode("overwrite").parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}/load_id={folder_id}"))
+         .write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/raw/{rules.RAW_TABLES[export_type]}/load_id={folder_id}"))
 
     added = materialize(loads.select(
         "load_id", "source_file", "file_hash", "export_type", "row_count",
@@ -148,7 +158,11 @@ def record_refusals(refused: DataFrame, root: str) -> None:
 def load_folder(spark: SparkSession, folder: str, root: str, strict: bool = False, retry_refused: bool = False) -> DataFrame:
     """Load a folder's new exports, each read in ranges. With ``strict``, raise afterwards if it holds a refused file."""
     files = materialize(exports.scan_folder(spark, folder).drop("content"))  # every file's bytes are read for its fingerprint once
-    added = load_files(files, root, lambda wanted: ranges.parse_folder(spark, folder, wanted), retry_refused)
+    spool = Spool(spark)
+    try:
+        added = load_files(files, root, lambda wanted: ranges.parse_folder(spark, folder, wanted, spool), retry_refused)
+    finally:
+        spool.drop()
     if strict:
         here = read_refusals(spark, root).join(files.select("file_hash"), "file_hash", "left_semi")
         some = here.orderBy("source_file").limit(5).collect()

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servicenight.operators import facts, floorplan, merge, prices, staging
+from servicenight.session import shuffles_freed
 from servicenight.sources import ledger, measured
 
 # Partitioned by month of the date key, so a report over a period reads only its months.
@@ -46,9 +47,9 @@ def _write(df: DataFrame, folder: str, name: str) -> DataFrame:
     if name.split("/")[-1] in FACT_TABLES:
         monthly = df.withColumn("month_key", F.floor(F.col("date_key") / 100).cast("int"))
         # rows of a month come together before they are written; a large month is split over tasks
-        monthly.hint("rebalance", "month_key").write.partitionBy("month_key").parquet(path)
+        monthly.hint("rebalance", "month_key").write.option("compression", "zstd").partitionBy("month_key").parquet(path)
     else:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -77,7 +78,8 @@ def refresh(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     checks = measured.Measured()
 
     def store(name: str, df: DataFrame) -> DataFrame:
-        out[name.split("/")[-1]] = _write(checks.watch(name, df), folder, name)
+        with shuffles_freed(spark):
+            out[name.split("/")[-1]] = _write(checks.watch(name, df), folder, name)
         return out[name.split("/")[-1]]
 
     # an interval has no Parquet type that every reader knows; seconds are stored instead

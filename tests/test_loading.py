@@ -1,11 +1,13 @@
 """Loading exports file by file, and the chain from exports without ids to turn gaps."""
 
 import shutil
+from pathlib import Path
 
 import pytest
 
 from servicenight import rules
 from servicenight.operators import cleaning, floorplan, merge, turns
+from servicenight.session import FREE_SHUFFLES, Spool
 from servicenight.sources import exports, ledger, legacy, warehouse, weather
 from servicenight.streaming.loads import stream_exports
 from tests.fixtures import Venue, header, line
@@ -201,3 +203,19 @@ def test_loads_logged_without_a_folder_are_read_from_their_own(venue, spark):
     venue.write("c.csv", "A", line("A"))
     assert venue.load() == 1
     assert [r.load_id for r in venue.raw("A").orderBy("load_id").collect()] == [1, 2, 2, 3]
+
+
+def test_a_load_leaves_nothing_but_the_warehouse(venue, spark, monkeypatch):
+    """The parsed records and what they were read from are gone after a load, also after one that failed."""
+    spools, store = [], Spool.store
+    monkeypatch.setattr(Spool, "store", lambda self, name, df: spools.append((self.root, name)) or store(self, name, df))
+    venue.write("a.csv", "A", line("A"))
+    setting = spark.conf.get(FREE_SHUFFLES, None)
+    assert venue.load() == 1
+    assert {"pieces", "cut", "records"} <= {name for _, name in spools}
+    monkeypatch.setattr(exports, "file_layouts", lambda *a: 1 / 0)
+    venue.write("b.csv", "A", line("A"))
+    with pytest.raises(ZeroDivisionError):
+        venue.load()
+    assert not any(Path(root.removeprefix("file:")).exists() for root, _ in spools)
+    assert spark.conf.get(FREE_SHUFFLES, None) == setting
